@@ -16,8 +16,8 @@ ignored. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,6 +136,18 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], size: int) -> Da
     return docs.mapInArrow(run, RESULT.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
+def item_blocks(items: DataFrame, block_bytes: int):
+    """(i, t) rows in lists of about ``block_bytes``, one at least; one list is on the driver at a time."""
+    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0))), F.lit(0)).alias("b")).first()["b"]
+    blocks = -(-bytes_ // block_bytes) or 1
+    if blocks == 1:
+        yield [(r["i"], r["t"]) for r in bounded_rows(items, block_bytes, "benchmark")]
+        return
+    items = stored(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(2 * blocks))), "benchmark")
+    for k in range(2 * blocks):
+        yield [(r["i"], r["t"]) for r in items.where(F.col("b") == k).select("i", "t").collect()]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
     """One row for each document: doc_id, n_words, hit_runs (word index ranges) and items found.
 
@@ -145,13 +157,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0)).alias("b")).first()["b"]
-    blocks = -(-bytes_ // block_bytes) or 1
-    if blocks == 1:
-        return _pass(rows, [(r["i"], r["t"]) for r in bounded_rows(items, block_bytes, "benchmark")], size)
-    items = stored(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(2 * blocks))), "benchmark")
+    blocks = item_blocks(items, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _pass(rows, first, size)
     keyed = stored(rows.withColumn("doc_id", F.struct(F.monotonically_increasing_id().alias("row"), "doc_id")), "documents")
-    found = [_pass(keyed, [(r["i"], r["t"]) for r in items.where(F.col("b") == k).select("i", "t").collect()], size) for k in range(2 * blocks)]
+    found = [_pass(keyed, block, size) for block in chain([first, second], blocks)]
     merged = found[0]
     for other in found[1:]:
         merged = merged.unionByName(other)
@@ -164,10 +176,19 @@ def n_hit():
     return F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"])
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 10) -> DataFrame:
-    """``docs`` without the contaminated ones. Ids shared by rows stand or fall together."""
-    hit = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, size=size).where(F.size("hit_runs") > 0).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti")
+def clean_only(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
+    """``docs`` without the contaminated ones; a narrow filter for each block of the benchmark."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
+    where, out = docs.columns.index(text_col), docs
+    for block in item_blocks(items, block_bytes):
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(block, size))
+
+        def run(batches, searcher=searcher):
+            for b in batches:
+                yield b.filter(pa.array([not searcher.value.scan(t)[1] for t in b.column(where).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,11 +314,12 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (of rows that share it, one)."""
+    """``docs`` with one document of each group: the one with the smallest id (of rows that share it, one). Rows without an id are kept."""
     id_col = options.get("id_col", "doc_id")
     groups = near_groups(docs, **options)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,16 +215,17 @@ def _release(spark: SparkSession) -> None:
 class Blocks:
     """The corpus as a table bucketed by block in the warehouse."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carried: list[str]):
         self.spark = docs.sparkSession
         self.name = f"tidemark_blocks_{uuid.uuid4().hex}"
         text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
-        rows = docs.select(F.col(id_col).cast("long").alias("own"), text.alias("text"))
+        rest = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("struct<none:int>")
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), text.alias("text"), rest.alias("rest"))
         self.total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         number = max(1, -(-self.total // block_bytes))
         block = F.pmod(F.xxhash64("own", F.octet_length("text")), F.lit(number)).cast("int")
         n = max(1, min(parts_for(self.spark), number))
-        rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text")
+        rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text", "rest")
         rows.repartition(n, "block").write.option("compression", "zstd").bucketBy(n, "block").sortBy("block").saveAsTable(self.name)
         atexit.register(self.drop)
 
@@ -236,9 +237,9 @@ class Blocks:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket_keys: int, emit, schema: str) -> DataFrame:
-    """Run both steps and ``emit(block, ids, removed mask)`` for every block."""
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
+def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket_keys: int, emit, schema: str, carried: list[str] | None = None) -> DataFrame:
+    """Run both steps and ``emit(block, rows, removed mask)`` for every block; rows are in the block's order."""
+    blocks = Blocks(docs, id_col, text_col, block_bytes, carried or [])
     plan, spark = Plan(length, blocks.total, bucket_keys), blocks.spark
 
     def send_sample(key, t):
@@ -280,14 +281,14 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
         rows = _rows(answers)
         first, second = ([r for r, s in zip(rows, step) if s == k] for k in (1, 2))
         at = _candidates(plan, block, first) if block.n else np.zeros(0, np.int64)
-        return emit(block, ranks.column("own").take(pa.array(block.order)), _removed(plan, block, at, second))
+        return emit(block, ranks.select(["own", "rest"]).take(pa.array(block.order)), _removed(plan, block, at, second))
 
-    t = blocks.table()
+    t, slim = blocks.table(), blocks.table().select("block", "id", "text")
     # a block's messages all go out; each bucket then is one group
-    sample = t.groupBy("block").applyInArrow(send_sample, MESSAGE)
+    sample = slim.groupBy("block").applyInArrow(send_sample, MESSAGE)
     ranks = stored(sample.groupBy("bucket").applyInArrow(rank_sample, ANSWER), "ranks")
     _release(spark)
-    suffixes = t.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, MESSAGE)
+    suffixes = slim.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, MESSAGE)
     ties = stored(suffixes.groupBy("bucket").applyInArrow(sort_bucket, ANSWER), "ties")
     _release(spark)
     both = ranks.withColumn("step", F.lit(1)).unionByName(ties.withColumn("step", F.lit(2)))
@@ -307,7 +308,7 @@ def _spans(mask: np.ndarray) -> int:
 def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_keys: int = 3_000_000) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def emit(block: Block, own, mask: np.ndarray) -> pa.Table:
+    def emit(block: Block, rows: pa.Table, mask: np.ndarray) -> pa.Table:
         removed, spans, digest = [], [], []
         for text, start in zip(block.texts, block.starts.tolist()):
             m = mask[start : start + len(text)]
@@ -315,19 +316,20 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             removed.append(n)
             spans.append(_spans(m) if n else 0)
             digest.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~m].tobytes() if n else text).hexdigest())
-        return pa.table({"doc_id": own, "n_bytes": pa.array(block.lens), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+        return pa.table({"doc_id": rows.column("own"), "n_bytes": pa.array(block.lens), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
     return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_keys, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_keys: int = 3_000_000) -> DataFrame:
-    """(doc_id, text): what is left of each document.
+    """``docs`` with what is left of each text; all other columns as they are.
 
     A character of which only some bytes are covered is kept whole, so that the
-    text stays valid.
+    text stays valid. A null text stays null.
     """
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name != text_col]
 
-    def emit(block: Block, own, mask: np.ndarray) -> pa.Table:
+    def emit(block: Block, rows: pa.Table, mask: np.ndarray) -> pa.Table:
         left = []
         for text, start in zip(block.texts, block.starts.tolist()):
             m = mask[start : start + len(text)]
@@ -339,9 +341,14 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 left.append(raw[~whole[char]].tobytes().decode())
             else:
                 left.append(text.decode())
-        return pa.table({"doc_id": own, "text": pa.array(left, pa.string())})
-
-    return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_keys, emit, "doc_id long, text string")
+        return pa.table({"rest": rows.column("rest"), "left": pa.array(left, pa.string())})
+
+    rest = ", ".join(f"`{n}`: {k}" for n, k in kinds)
+    carried = [n for n, _ in kinds]
+    flagged = docs.withColumn("__null", F.col(f"`{text_col}`").isNull())
+    out = _remove_map(flagged, id_col, text_col, length, block_bytes, bucket_keys, emit, f"rest struct<{rest}, `__null`: boolean>, left string", [*carried, "__null"])
+    text = F.when(~F.col("rest.__null"), F.col("left"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
