@@ -1,0 +1 @@
+"""Market-signal analytics on Spark: bars, signals, ensembles, evaluation and document feeds."""
