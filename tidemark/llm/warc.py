@@ -106,10 +106,10 @@ def crawl_log(pages: DataFrame) -> DataFrame:
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every revisit of the crawl log of ``pages`` with its response, status and merged headers."""
+    """Every revisit of the crawl log of ``pages`` with its response (-1: none), status and merged headers."""
     found = resolve_revisits(crawl_log(table(spark, sf_dir, "pages")))
     flat = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
-    return found.select("record_id", "canonical_url", "target_id", "status", flat.alias("headers"))
+    return found.select("record_id", "canonical_url", F.coalesce("target_id", F.lit(-1)).alias("target_id"), "status", F.coalesce(flat, F.lit("")).alias("headers"))
 
 
 OP2_SQL = r"""
@@ -143,7 +143,7 @@ WITH p AS (
          ELSE 'unverified' END AS status, f.page_id
   FROM again a LEFT JOIN best b ON a.record_id = b.record_id LEFT JOIN full_ f ON f.record_id = b.target_id
 )
-SELECT record_id, key AS canonical_url, target_id, status,
-  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60; content-length: ' || page_id || '; content-type: text/html; date: ' || day || '; etag: ' || fetag END AS headers
+SELECT record_id, key AS canonical_url, coalesce(target_id, -1) AS target_id, status,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60; content-length: ' || page_id || '; content-type: text/html; date: ' || day || '; etag: ' || fetag ELSE '' END AS headers
 FROM j
 """
