@@ -165,6 +165,28 @@ def prepared(bars):
     )
 
 
+#: Rolling columns that several models share: name -> builder over ``prepared`` columns.
+SHARED: dict[str, Callable[[], Column]] = {
+    **{f"sma_{n}": (lambda n=n: sma("close", n)) for n in (20, 50, 100, 200)},
+    "sd_20": lambda: stddev("close", 20),
+    **{f"rv_{n}": (lambda n=n: realized_vol(n)) for n in (20, 63, 100)},
+    **{f"vsma_{n}": (lambda n=n: sma("volume", n)) for n in (20, 100)},
+    **{f"hi_{n}": (lambda n=n: roll(F.max, "high", n)) for n in (14, 20)},
+    **{f"lo_{n}": (lambda n=n: roll(F.min, "low", n)) for n in (14, 20)},
+    "up_14": lambda: sma("up", 14),
+    "down_14": lambda: sma("down", 14),
+    **{f"lag_{k}": (lambda k=k: lag("close", k)) for k in (5, 20, 21, 62, 63, 125, 126, 251, 252)},
+}
+
+
+def featured(bars):
+    """``prepared`` with the shared columns, each computed once however many models read it.
+
+    The optimizer prunes those that nothing reads.
+    """
+    return prepared(bars).select("*", *[f().alias(k) for k, f in SHARED.items()], is_last().alias("_last"))
+
+
 def is_last() -> Column:
     """Marks the last row of each asset on the shared window; filter on it after a select."""
     return F.lead(DAY).over(series()).isNull()

@@ -19,7 +19,7 @@ def walk_forward(bars: DataFrame, *, first: int = 253, step: int = 21) -> DataFr
     Trailing windows see no later row, so a model's column is its walk-forward
     value; no prefix is computed twice.
     """
-    rows = ts.prepared(bars)
+    rows = ts.featured(bars)
     ahead = {h: F.lead("close", k).over(ts.series()) for h, k in HORIZONS.items()}
     forward = [F.when(F.col("close") > 0, F.try_divide(x, F.col("close")) - 1).alias(f"f_{h}") for h, x in ahead.items()]
     wide = rows.select("asset", "d", "n", *forward, *[clip(m()).alias(k) for k, m in HISTORY_MODELS.items()])
@@ -32,7 +32,6 @@ def hit_rate(bars: DataFrame, tags: DataFrame, *, least: float = 0.05) -> DataFr
     w = walk_forward(bars).where(F.abs("signal") >= least)
     long = w.unpivot(["asset", "model", "signal"], [F.col(f"f_{h}").alias(h) for h in HORIZONS], "horizon", "f").where("f is not null and f <> 0")
     j = long.join(F.broadcast(tags.select("asset", "grp")), "asset", "left").withColumn("hit", ((F.col("signal") > 0) == (F.col("f") > 0)).cast("long"))
-    j.createOrReplaceTempView("tidemark_hits")
     g = j.groupingSets([[F.col("model"), F.col("horizon")], [F.col("model"), F.col("horizon"), F.col("grp")]], F.col("model"), F.col("horizon"), F.col("grp")).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"), F.grouping("grp").alias("all_"))
     return g.select("model", F.when(F.col("all_") == 1, "all").otherwise(F.col("grp")).alias("grp"), "horizon", "hits", "n", F.round(F.try_divide("hits", "n"), 3).alias("hit_rate"))
 
@@ -41,9 +40,9 @@ def signal_history(bars: DataFrame, tags: DataFrame, *, months: int = 12, least:
     """Month-end factor-rotation signals: the last bar of each asset in a month, ranked among its peers there."""
     from tidemark.operators.models import _time_series_momentum
 
-    rows = ts.prepared(bars)
+    rows = ts.featured(bars)
     month = F.trunc("d", "month")
-    r12 = F.when(F.col("n") >= 254, F.try_divide(ts.lag("close", 21), ts.lag("close", 252)) - 1)
+    r12 = F.when(F.col("n") >= 254, F.try_divide("lag_21", "lag_252") - 1)
     wide = rows.select("asset", "d", "n", month.alias("m"), clip(_time_series_momentum()).alias("ts"), r12.alias("r12"), F.lead(month).over(ts.series()).alias("next"))
     ends = wide.where("next is null or next <> m").where(F.col("n") >= least)
     recent = ends.agg(F.add_months(F.max("m"), -(months - 1)).alias("from"))

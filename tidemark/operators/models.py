@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ts
 from tidemark.functions.signal import make_signal
-from tidemark.functions.ts import change, clip, lag, roll, sma, stddev
+from tidemark.functions.ts import clip, sma
 
 
 @dataclass(frozen=True)
@@ -29,45 +29,58 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(ts.col(a), ts.col(b))
 
 
+def since(k: int) -> Column:
+    """Close over its value ``k`` rows ago, less one; over the shared columns."""
+    return F.try_divide("close", f"lag_{k}") - 1
+
+
+def zscore_20() -> Column:
+    return (F.col("close") - F.col("sma_20")) / (F.col("sd_20") + 1e-9)
+
+
+def rsi_14() -> Column:
+    return 100 - 100 / (1 + F.col("up_14") / (F.col("down_14") + 1e-9))
+
+
 def _momentum() -> Column:
-    return F.when(F.col("n") >= 131, F.tanh(3 * change("close", 125)))
+    return F.when(F.col("n") >= 131, F.tanh(3 * since(125)))
 
 
 def _channel() -> Column:
-    hi, lo = ts.donchian()
+    hi, lo = F.col("hi_20"), F.col("lo_20")
     return F.when(hi == lo, 0.0).otherwise(2 * (F.try_divide(F.col("close") - lo, hi - lo) - 0.5))
 
 
 def _trend() -> Column:
-    legs = F.array_compact(F.array(*[F.when(F.col("n") > k, F.signum(change("close", k - 1))) for k in (21, 63, 126, 252)]))
+    legs = F.array_compact(F.array(*[F.when(F.col("n") > k, F.signum(since(k - 1))) for k in (21, 63, 126, 252)]))
     return F.when(F.size(legs) > 0, F.aggregate(legs, F.lit(0.0), lambda a, x: a + x) / F.size(legs))
 
 
 def _multi_ma() -> Column:
-    legs = F.array_compact(F.array(*[F.when(sma("close", k).isNotNull(), F.when(F.col("close") > sma("close", k), 1.0).otherwise(-1.0)) for k in (20, 50, 100, 200)]))
+    legs = F.array_compact(F.array(*[F.when(F.col(f"sma_{k}").isNotNull(), F.when(F.col("close") > F.col(f"sma_{k}"), 1.0).otherwise(-1.0)) for k in (20, 50, 100, 200)]))
     return F.when(F.size(legs) > 0, F.aggregate(legs, F.lit(0.0), lambda a, x: a + x) / F.size(legs))
 
 
 def _bollinger() -> Column:
-    m, sd = sma("close", 20), stddev("close", 20)
+    m, sd = F.col("sma_20"), F.col("sd_20")
     lower = m - 2 * sd
     pctb = (F.col("close") - lower) / ((m + 2 * sd) - lower + 1e-9)
     return F.when(sd == 0, 0.0).otherwise((0.5 - pctb) * 2)
 
 
 def _stochastic() -> Column:
-    hi, lo = ts.donchian(n=14)
+    hi, lo = F.col("hi_14"), F.col("lo_14")
     return F.when(hi == lo, 0.0).otherwise((50 - 100 * F.try_divide(F.col("close") - lo, hi - lo)) / 35)
 
 
 def _time_series_momentum() -> Column:
     """Weighted volatility-scaled legs, the longest without its last month, squashed."""
-    vol = ts.realized_vol(63)
+    vol = F.col("rv_63")
     vol = F.when(vol.isNull() | (vol <= 0), 0.10).otherwise(vol)
     legs = ((21, 0, 0.15), (63, 0, 0.25), (126, 0, 0.25), (252, 21, 0.35))
     total, weight = F.lit(0.0), F.lit(0.0)
     for back, skip, w in legs:
-        r = F.try_divide(lag("close", skip) if skip else F.col("close"), lag("close", back)) - 1
+        r = F.try_divide(F.col(f"lag_{skip}") if skip else F.col("close"), F.col(f"lag_{back}")) - 1
         ok = (F.col("n") > back + 1) & r.isNotNull()
         total += F.when(ok, w * r / (vol * ((back - skip) / 252) ** 0.5 + 1e-9)).otherwise(0.0)
         weight += F.when(ok, w).otherwise(0.0)
@@ -75,34 +88,34 @@ def _time_series_momentum() -> Column:
 
 
 def _volume_flow() -> Column:
-    sign = F.when(F.col("n") > 21, F.signum(change("close", 20))).otherwise(0.0)
-    return (ratio(sma("volume", 20), sma("volume", 100)) - 1) * sign
+    sign = F.when(F.col("n") > 21, F.signum(since(20))).otherwise(0.0)
+    return (ratio("vsma_20", "vsma_100") - 1) * sign
 
 
 def _vol_regime() -> Column:
-    return -(ratio(ts.realized_vol(20), ts.realized_vol(100)) - 1)
+    return -(ratio("rv_20", "rv_100") - 1)
 
 
 MODELS: dict[str, Model] = {
     "momentum": Model(_momentum, "months"),
-    "ma_single_200": Model(lambda: (ratio("close", sma("close", 200)) - 1) * 8, "months"),
-    "ma_cross_50_200": Model(lambda: (ratio(sma("close", 50), sma("close", 200)) - 1) * 12, "months"),
+    "ma_single_200": Model(lambda: (ratio("close", "sma_200") - 1) * 8, "months"),
+    "ma_cross_50_200": Model(lambda: (ratio("sma_50", "sma_200") - 1) * 12, "months"),
     "multi_ma": Model(_multi_ma, "weeks"),
-    "mean_reversion": Model(lambda: -ts.zscore("close", 20) / 2, "days"),
+    "mean_reversion": Model(lambda: -zscore_20() / 2, "days"),
     "donchian_breakout": Model(_channel, "weeks"),
-    "rsi_reversion": Model(lambda: (50 - ts.rsi()) / 30, "days"),
+    "rsi_reversion": Model(lambda: (50 - rsi_14()) / 30, "days"),
     "vol_regime": Model(_vol_regime, "weeks"),
     "trend_following": Model(_trend, "months"),
 }
 
 BATTERY: dict[str, Model] = {
-    "s151_sma_cross_20_50": Model(lambda: (ratio(sma("close", 20), sma("close", 50)) - 1) * 12, "weeks", True),
-    "s151_sma_cross_50_200": Model(lambda: (ratio(sma("close", 50), sma("close", 200)) - 1) * 12, "months", True),
-    "s151_roc_63": Model(lambda: F.when(F.col("n") >= 65, F.tanh(3 * change("close", 62))), "months", True),
+    "s151_sma_cross_20_50": Model(lambda: (ratio("sma_20", "sma_50") - 1) * 12, "weeks", True),
+    "s151_sma_cross_50_200": Model(lambda: (ratio("sma_50", "sma_200") - 1) * 12, "months", True),
+    "s151_roc_63": Model(lambda: F.when(F.col("n") >= 65, F.tanh(3 * since(62))), "months", True),
     "s151_tsmom": Model(_trend, "months", True),
-    "s151_price_vs_sma200": Model(lambda: (ratio("close", sma("close", 200)) - 1) * 8, "months", True),
-    "s151_zscore_reversion": Model(lambda: -ts.zscore("close", 20) / 2, "days", True),
-    "s151_rsi_reversion": Model(lambda: (50 - ts.rsi()) / 30, "days", True),
+    "s151_price_vs_sma200": Model(lambda: (ratio("close", "sma_200") - 1) * 8, "months", True),
+    "s151_zscore_reversion": Model(lambda: -zscore_20() / 2, "days", True),
+    "s151_rsi_reversion": Model(lambda: (50 - rsi_14()) / 30, "days", True),
     "s151_bollinger_pctb": Model(_bollinger, "days", True),
     "s151_stochastic": Model(_stochastic, "days", True),
     "s151_donchian_breakout": Model(_channel, "weeks", True),
@@ -123,8 +136,7 @@ HISTORY_MODELS: dict[str, Callable[[], Column]] = {
 
 def evaluate(bars: DataFrame, models: dict[str, Model], *, last_only: bool = True) -> DataFrame:
     """asset, d and one raw column for each model, on every row or on each asset's last."""
-    rows = ts.prepared(bars)
-    wide = rows.select("asset", "d", *[m.build().alias(k) for k, m in models.items()], ts.is_last().alias("_last"))
+    wide = ts.featured(bars).select("asset", "d", *[m.build().alias(k) for k, m in models.items()], "_last")
     return wide.where("_last").drop("_last") if last_only else wide.drop("_last")
 
 

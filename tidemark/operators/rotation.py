@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ts
-from tidemark.functions.ts import change, clip, lag, sma
+from tidemark.functions.ts import change, clip, sma
 from tidemark.functions.xs import peer_score
 from tidemark.operators.models import _time_series_momentum
 
@@ -18,9 +18,8 @@ def relative_strength(bars: DataFrame, benchmark) -> DataFrame:
 
     The benchmark is one row, so it is broadcast.
     """
-    rows = ts.prepared(bars)
-    cols = [F.try_divide("close", lag("close", k - 1)).alias(f"g{k}") for k in (21, 63, 126)]
-    last = rows.select("asset", "d", "n", *cols, (F.try_divide("close", sma("close", 200)) - 1).alias("t200"), ts.is_last().alias("_last")).where("_last").drop("_last")
+    cols = [F.try_divide("close", f"lag_{k - 1}").alias(f"g{k}") for k in (21, 63, 126)]
+    last = ts.featured(bars).where("_last").select("asset", "d", "n", *cols, (F.try_divide("close", "sma_200") - 1).alias("t200"))
     b = last.where(F.col("asset") == benchmark).select(*[F.col(c).alias(f"b_{c}") for c in ("n", "g21", "g63", "g126")]).limit(1)
     j = last.crossJoin(F.broadcast(b))
     rs = {k: F.when((F.col("n") >= k + 2) & (F.col("b_n") >= k + 2), F.tanh(5 * (F.try_divide(f"g{k}", f"b_g{k}") - 1))).otherwise(0.0) for k in (21, 63, 126)}
@@ -29,9 +28,8 @@ def relative_strength(bars: DataFrame, benchmark) -> DataFrame:
 
 def factor_rotation(bars: DataFrame, tags: DataFrame) -> DataFrame:
     """frm_ts_mom, frm_cs_region, frm_cs_peer and frm_composite of each tagged asset."""
-    rows = ts.prepared(bars)
-    r12 = F.when(F.col("n") >= 254, F.try_divide(lag("close", 21), lag("close", 252)) - 1)
-    last = rows.select("asset", "d", clip(_time_series_momentum()).alias("ts"), r12.alias("r12"), ts.is_last().alias("_last")).where("_last").drop("_last")
+    r12 = F.when(F.col("n") >= 254, F.try_divide("lag_21", "lag_252") - 1)
+    last = ts.featured(bars).where("_last").select("asset", "d", clip(_time_series_momentum()).alias("ts"), r12.alias("r12"))
     j = last.join(tags, "asset")
     x = j.withColumn("cs", peer_score("r12", ["grp", "region"])).withColumn("peer", peer_score("r12", ["grp", "label"]))
     return x.select("asset", "d", "grp", "region", "label", F.col("ts").alias("frm_ts_mom"), F.col("cs").alias("frm_cs_region"), F.col("peer").alias("frm_cs_peer"), clip(0.6 * F.col("ts") + 0.3 * F.col("cs") + 0.1 * F.col("peer")).alias("frm_composite"))

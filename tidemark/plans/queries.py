@@ -55,8 +55,7 @@ def _at_last(name: str, columns: dict[str, tuple[Callable[[], Column], str]]):
 
     @query(name, sql)
     def run(spark, sf):
-        rows = ts.prepared(daily_bars(spark, sf))
-        wide = rows.select("asset", "d", *[f().cast("double").alias(k) for k, (f, _) in columns.items()], ts.is_last().alias("_last"))
+        wide = ts.featured(daily_bars(spark, sf)).select("asset", "d", *[f().cast("double").alias(k) for k, (f, _) in columns.items()], "_last")
         return wide.where("_last").select("asset", "d", *[r6(k).alias(k) for k in columns])
 
     return run
