@@ -50,7 +50,7 @@ class Weights:
     word: float = 1.0
     noise_word: float = 0.02
     tags: dict[str, float] = field(default_factory=dict)
-    unseen: float = 4.0
+    unseen: float = 1.0
     noise_classes: frozenset[str] = NOISE_WORDS
 
 
@@ -82,7 +82,7 @@ def _classes(tag: str) -> tuple[set[str], set[str]]:
 
 def scan(html: str, noise_classes: frozenset[str] = NOISE_WORDS):
     """Yields ``Run``s and ``(name, inside, noise)`` for tags, in page order."""
-    stack: list[tuple[str, bool, bool, frozenset]] = []  # name, noise, inside content, classes
+    stack: list[tuple[str, bool, bool]] = []  # name, noise, inside content
     block, noise, inside = 0, False, False
     for m in _TOKEN.finditer(html):
         token = m.group()
@@ -108,18 +108,20 @@ def scan(html: str, noise_classes: frozenset[str] = NOISE_WORDS):
             was, (noise, inside) = noise, (stack[-1][1], stack[-1][2]) if stack else (False, False)
             yield name, inside, was
             continue
-        yield name, inside, noise
         if name in VOID or token.endswith("/>") and name not in BLOCK:
+            yield name, inside, noise
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             noise, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         classes, roles = _classes(token) if "=" in token else ((), ())
+        was = inside
         if name in CONTENT:
             noise, inside = bool(inside and noise), True
         elif name in DROPPED or name == "header" and not inside or classes and name not in ("html", "body") and (any(c in noise_classes or not noise_classes.isdisjoint(c.split("-")) for c in classes)) or roles and not NOISE_ROLES.isdisjoint(roles):
             noise = True
-        stack.append((name, noise, inside, frozenset(classes)))
+        stack.append((name, noise, inside))
+        yield name, was, noise
 
 
 def observe(html: str | None) -> Counter | None:

@@ -9,7 +9,8 @@ candidates are verified by their whole distance.
 
 Defined cases: texts without words have fingerprint zero and link like others;
 fewer words than a shingle make one shingle; equal fingerprints are one node, so
-copies never meet in pairs; repeated ids are one document; an empty table gives
+copies never meet in pairs; rows that share an id link by their own fingerprints
+only; an empty table gives
 no rows; extra columns are ignored.
 """
 
