@@ -76,11 +76,42 @@ def test_simhash(spark):
     got = simhash.near_groups(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     assert sorted((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == sorted((i, f, least[g.find(f)]) for i, f in fps)
-    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect())
-    assert kept == sorted(set(least.values()))
     assert simhash.near_groups(frame(spark, [])).count() == 0
 
 
+def test_similar_groups(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = [[word() for _ in range(n)] for n in (1, 3, 30, 90, 400, 1500)]
+    rows = []
+    for k, t in enumerate(texts):
+        rows.append((k, " ".join(t)))
+        rows.append((100 + k, " ".join(t).upper()))
+        for j in range(3):
+            edit = list(t)
+            for at in rnd.sample(range(len(t)), len(t) // 100):
+                edit[at] = word()
+            rows.append((200 + 10 * k + j, " ".join(edit)))
+        half = list(t)
+        for at in range(0, len(t), 4):
+            half[at] = word()
+        rows.append((300 + k, " ".join(half)))
+    rows += [(400, None), (401, ""), (400, None)]
+    sets = {i: simhash.shingle_hashes(t, 5) for i, t in rows}
+    g = Groups()
+    for i, x in sets.items():
+        g.find(i)
+        for j, y in sets.items():
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                g.join(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: g.find(i) for i in sets}
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, [*rows, (None, "x")])).collect() if r["doc_id"] is not None)
+    assert kept == sorted(set(got.values()))
+    assert simhash.similar_groups(frame(spark, [])).count() == 0
+
+
 def test_pigeonhole_loses_no_pair():
     rng = np.random.default_rng(3)
     for skew in (0.5, 0.05):

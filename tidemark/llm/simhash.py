@@ -184,7 +184,7 @@ def _flips(bits: list[int], t: int) -> np.ndarray:
 
 
 def keys(fps: DataFrame, groups: list[list[int]], limits: list[int], split: int = 4) -> DataFrame:
-    """(part, key, fp, own): what each fingerprint is indexed under (own) and what it probes.
+    """(part, key, fp): the values that each fingerprint is indexed under and those that it probes.
 
     A pair that meets under part i differs elsewhere by at most the distance. The
     bits outside of the part are cut in ``split`` equal pieces, one of which then
@@ -208,10 +208,9 @@ def keys(fps: DataFrame, groups: list[list[int]], limits: list[int], split: int
                         some = flips[at : at + 8]
                         key = (((h & mask)[:, None] ^ some[None, :]) | (h & piece)[:, None]).ravel()
                         fp = np.repeat(h, len(some))
-                        own = np.tile(some == 0, len(h))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), tag, np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(own)], ["part", "key", "fp", "own"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), tag, np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], ["part", "key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "part int, key long, fp long, own boolean")
+    return fps.select("fp").mapInArrow(run, "part int, key long, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -274,27 +273,23 @@ def near_links(fps: DataFrame, *, distance: int = 3) -> DataFrame:
     n, both = bit_counts(fps)
     groups, limits = plan(n, both, distance)
     parts = parts_for(fps.sparkSession)
-    # probes that no fingerprint is indexed under never leave their group alone
     keyed = keys(fps, groups, limits).repartition(parts, "part", "key").sortWithinPartitions("part", "key")
 
     def run(batches):
         rest: tuple | None = None
         for b in batches:
-            part, key, fp, own = (b.column(0).to_numpy(), b.column(1).to_numpy(), np.ascontiguousarray(b.column(2).to_numpy()).view(np.uint64), b.column(3).to_numpy(zero_copy_only=False))
+            part, key, fp = b.column(0).to_numpy(), b.column(1).to_numpy(), np.ascontiguousarray(b.column(2).to_numpy()).view(np.uint64)
             if rest is not None:
-                part, key, fp, own = (np.concatenate(x) for x in zip(rest, (part, key, fp, own)))
+                part, key, fp = (np.concatenate(x) for x in zip(rest, (part, key, fp)))
             if not len(part):
                 continue
-            open_ = np.searchsorted(-((part != part[-1]) | (key != key[-1])).astype(np.int8), 0)
-            if len(part) - open_ > 4_000_000:
-                raise MemoryError("one group of a partition value is too large; use more pieces")
-            rest = (part[open_:], key[open_:], fp[open_:], own[open_:])
-            if open_ > 200_000:
-                yield _links(part[:open_], key[:open_], fp[:open_])
-            elif open_:
+            # the last group may go on in the next batch
+            open_ = int(np.argmax((part == part[-1]) & (key == key[-1])))
+            rest = (part[open_:], key[open_:], fp[open_:])
+            if open_:
                 yield _links(part[:open_], key[:open_], fp[:open_])
         if rest is not None and len(rest[0]):
-            yield _links(*rest[:3])
+            yield _links(*rest)
 
     def _links(part, key, fp):
         a, b = verified(part, key, fp, distance)
@@ -314,10 +309,147 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (of rows that share it, one). Rows without an id are kept."""
-    id_col = options.get("id_col", "doc_id")
-    groups = near_groups(docs, **options)
+# --- groups by similarity ------------------------------------------------------------
+
+BINS = 128
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the word shingles, sorted; none for a text without words."""
+    words = [w for w in (text or "").encode().translate(_LOWER).split(b" ") if w]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))] if words else [], dtype=np.uint64))
+
+
+def sketch(h: np.ndarray) -> tuple[bytes, bytes | None]:
+    """One value for each of ``BINS`` hash ranges (0: empty), and all hashes of a set of at most ``BINS``."""
+    bins = np.zeros(BINS, np.uint16)
+    at = (h >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(h) else at
+    low = (h[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48) if len(h) else h
+    bins[at[first]] = np.maximum(low, np.uint64(1)).astype(np.uint16)
+    return bins.tobytes(), h.tobytes() if len(h) <= BINS else None
+
+
+def similarity(a: tuple[bytes, bytes | None], b: tuple[bytes, bytes | None]) -> float:
+    """Jaccard similarity of two shingle sets: exact for small ones, else from the bins that are filled in either."""
+    if a[1] is not None and b[1] is not None:
+        x, y = np.frombuffer(a[1], np.uint64), np.frombuffer(b[1], np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+    x, y = np.frombuffer(a[0], np.uint16), np.frombuffer(b[0], np.uint16)
+    return float(((x == y) & (x > 0)).sum() / max(1, ((x > 0) | (y > 0)).sum()))
+
+
+def wide_links(classes: DataFrame, *, within: int = 12, tables: int = 96, seed: int = 5) -> DataFrame:
+    """(a, b) ids whose fingerprints differ in at most ``within`` bits and agree on a sample of bits.
+
+    Partitions can't serve such a radius: each of ``tables`` fixed samples of
+    log2(n) bits is a key. Two fingerprints that differ in 7 bits of 64 share a key
+    with probability over .99 at 2^18 fingerprints, in 11 bits with about .8.
+    Groups of a key give a spanning set of links, never all pairs of a large one.
+    """
+    spark = classes.sparkSession
+    n = max(2, classes.count())
+    k, rng = min(40, max(10, int(np.ceil(np.log2(n))))), np.random.default_rng(seed)
+    masks = np.array([_mask(rng.choice(BITS, k, replace=False).tolist()) for _ in range(tables)], dtype=np.uint64)
+    salt = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+    def deal(batches):
+        for b in batches:
+            ids, h = b.column(0), np.ascontiguousarray(b.column(1).to_numpy()).view(np.uint64)
+            for m, x in zip(masks, salt):
+                key = ((h & m) ^ x) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(31))).view(np.int64)), ids, pa.array(h.view(np.int64))], ["key", "id", "fp"])
+
+    def link(batches):
+        rest: tuple | None = None
+        for b in batches:
+            key, ids, fp = b.column(0).to_numpy(), b.column(1).to_numpy(), np.ascontiguousarray(b.column(2).to_numpy()).view(np.uint64)
+            if rest is not None:
+                key, ids, fp = (np.concatenate(x) for x in zip(rest, (key, ids, fp)))
+            if not len(key):
+                continue
+            open_ = int(np.argmax(key == key[-1]))
+            rest = (key[open_:], ids[open_:], fp[open_:])
+            if open_:
+                yield _pairs(key[:open_], ids[:open_], fp[:open_])
+        if rest is not None and len(rest[0]):
+            yield _pairs(*rest)
+
+    def _pairs(key, ids, fp):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        group, few = np.repeat(np.arange(len(first)), size), np.repeat(size <= SMALL, size)
+        g, f, i = group[few], fp[few], ids[few]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in range(1, SMALL):
+            same = g[s:] == g[:-s]
+            if not same.any():
+                break
+            hit = same & near(f[s:], f[:-s], within)
+            a.append(i[:-s][hit])
+            b.append(i[s:][hit])
+        for j in np.flatnonzero(size > SMALL):
+            part = slice(first[j], first[j] + size[j])
+            least = np.sort(ids[part])
+            order = np.argsort(ids[part])
+            left, at = fp[part][order], np.arange(len(least))
+            while len(at) > 1:  # a star around the smallest id left
+                hit = near(left[at[1:]], left[at[0]], within)
+                a.append(np.full(int(hit.sum()), least[at[0]]))
+                b.append(least[at[1:][hit]])
+                at = at[1:][~hit]
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    dealt = classes.select("id", "fp").mapInArrow(deal, "key long, id long, fp long")
+    return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, print_size: int = 3, distance: int = 3) -> DataFrame:
+    """(doc_id, component_id) over verified similarity of ``size``-word shingles of at least ``least``.
+
+    Candidates are all pairs of fingerprints within ``distance`` bits, by
+    pigeonhole, and those within ``wide_links``' radius. Each is verified on
+    sketches; texts without words are alike. Rows without an id are left out.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            fp = np.array([fingerprint(t, print_size) for t in texts], dtype=np.uint64).view(np.int64)
+            parts = [sketch(shingle_hashes(t, size)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([x[0] for x in parts], pa.binary()), pa.array([x[1] for x in parts], pa.binary())], ["doc_id", "fp", "bins", "few"])
+
+    prints = stored(rows.mapInArrow(run, "doc_id long, fp long, bins binary, few binary").withColumn("cls", F.md5(F.concat(F.hex("fp"), F.hex("bins"), F.coalesce(F.hex("few"), F.lit("-"))))), "sketches")
+    classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("few").alias("few")), "classes")
+    same = classes.groupBy("fp").agg(F.min("id").alias("top"))
+    close = near_links(same, distance=distance)
+    close = close.join(same.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = classes.join(same, "fp").where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b"))
+    links = wide_links(classes).unionByName(close).unionByName(equal).distinct()
+    side = lambda n: classes.select(F.col("id").alias(n), F.struct("bins", "few").alias(f"s{n}"))
+    pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+
+    def verify(batches):
+        for b in batches:
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            yield b.select(["a", "b"]).filter(pa.array([similarity((p["bins"], p["few"]), (q["bins"], q["few"])) >= least for p, q in zip(x, y)], pa.bool_()))
+
+    roots = components(pairs.mapInArrow(verify, "a long, b long"))
+    rooted = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("cls", "component_id")
+    return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: the one with the smallest id.
+
+    Of rows that share an id one stays; rows without an id are kept.
+    """
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, size=size, least=least)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
