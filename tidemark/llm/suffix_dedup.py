@@ -29,8 +29,10 @@ extra columns are ignored. Ids are integers.
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import math
+import time
 import uuid
 
 import numpy as np
@@ -47,10 +49,14 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
-    """The largest modulus that leaves sampled strings of over half of ``length``."""
-    fit = [v for v in COVERS if length - v + 1 >= max(8, length // 2)]
+    """The largest modulus that leaves sampled strings of three quarters of ``length``.
+
+    A longer sampled string is shared by chance less often, and what it lets
+    through to the second step costs more than a denser sample does.
+    """
+    fit = [v for v in COVERS if length - v + 1 >= max(8, length * 3 // 4)]
     if not fit:
-        raise ValueError("strings of under 14 bytes are not supported")
+        raise ValueError("strings of under 24 bytes are not supported")
     return max(fit), COVERS[max(fit)]
 
 
@@ -209,7 +215,10 @@ def _removed(plan: Plan, block: Block, at: np.ndarray, rows) -> np.ndarray:
 
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now and not at some later collection."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 class Blocks:
@@ -227,6 +236,8 @@ class Blocks:
         n = max(1, min(parts_for(self.spark), number))
         rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text", "rest")
         rows.repartition(n, "block").write.option("compression", "zstd").bucketBy(n, "block").sortBy("block").saveAsTable(self.name)
+        del rows
+        _release(self.spark)
         atexit.register(self.drop)
 
     def table(self) -> DataFrame:
@@ -287,9 +298,11 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
     # a block's messages all go out; each bucket then is one group
     sample = slim.groupBy("block").applyInArrow(send_sample, MESSAGE)
     ranks = stored(sample.groupBy("bucket").applyInArrow(rank_sample, ANSWER), "ranks")
+    del sample
     _release(spark)
     suffixes = slim.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, MESSAGE)
     ties = stored(suffixes.groupBy("bucket").applyInArrow(sort_bucket, ANSWER), "ties")
+    del suffixes
     _release(spark)
     both = ranks.withColumn("step", F.lit(1)).unionByName(ties.withColumn("step", F.lit(2)))
     return t.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
