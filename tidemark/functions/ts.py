@@ -165,26 +165,48 @@ def prepared(bars):
     )
 
 
-#: Rolling columns that several models share: name -> builder over ``prepared`` columns.
-SHARED: dict[str, Callable[[], Column]] = {
-    **{f"sma_{n}": (lambda n=n: sma("close", n)) for n in (20, 50, 100, 200)},
-    "sd_20": lambda: stddev("close", 20),
-    **{f"rv_{n}": (lambda n=n: realized_vol(n)) for n in (20, 63, 100)},
-    **{f"vsma_{n}": (lambda n=n: sma("volume", n)) for n in (20, 100)},
-    **{f"hi_{n}": (lambda n=n: roll(F.max, "high", n)) for n in (14, 20)},
-    **{f"lo_{n}": (lambda n=n: roll(F.min, "low", n)) for n in (14, 20)},
-    "up_14": lambda: sma("up", 14),
-    "down_14": lambda: sma("down", 14),
-    **{f"lag_{k}": (lambda k=k: lag("close", k)) for k in (5, 20, 21, 62, 63, 125, 126, 251, 252)},
+#: Rolling columns that several models share: name -> (aggregate, column, rows).
+ROLLING: dict[str, tuple[Callable[[Column], Column], str, int]] = {
+    **{f"sma_{n}": (F.avg, "close", n) for n in (20, 50, 100, 200)},
+    "sd_20": (F.stddev_samp, "close", 20),
+    **{f"rv_{n}": (F.stddev_samp, "ret", n) for n in (20, 63, 100)},
+    **{f"vsma_{n}": (F.avg, "volume", n) for n in (20, 100)},
+    **{f"hi_{n}": (F.max, "high", n) for n in (14, 20)},
+    **{f"lo_{n}": (F.min, "low", n) for n in (14, 20)},
+    "up_14": (F.avg, "up", 14),
+    "down_14": (F.avg, "down", 14),
 }
+LAGS = (5, 20, 21, 62, 63, 125, 126, 251, 252)
+
+
+def _annual(name: str, x: Column) -> Column:
+    return x * F.sqrt(F.lit(252.0)) if name.startswith("rv_") else x
 
 
 def featured(bars):
-    """``prepared`` with the shared columns, each computed once however many models read it.
+    """``prepared`` with the shared columns on every row, each computed once however many models read it.
 
     The optimizer prunes those that nothing reads.
     """
-    return prepared(bars).select("*", *[f().alias(k) for k, f in SHARED.items()], is_last().alias("_last"))
+    return prepared(bars).select("*", *[_annual(k, roll(f, c, n)).alias(k) for k, (f, c, n) in ROLLING.items()], *[lag("close", k).alias(f"lag_{k}") for k in LAGS], is_last().alias("_last"))
+
+
+def tail(bars, rows_: int):
+    """``prepared`` rows of the last ``rows_`` bars of each asset; ``rk`` counts back from 1. No further exchange."""
+    back = F.count(F.lit(1)).over(Window.partitionBy(ASSET)) - F.col("n") + 1
+    return prepared(bars).withColumn("rk", back).where(F.col("rk") <= rows_)
+
+
+def featured_last(bars):
+    """The shared columns at each asset's last bar only, by conditional sums over its last rows.
+
+    A window would fold a frame for every row; here each row is folded once.
+    """
+    rows_ = tail(bars, max(LAGS) + 1)
+    within = lambda c, n: F.when(F.col("rk") <= n, F.col(c))
+    rolled = [F.when(F.count(within(c, n)) == n, _annual(k, f(within(c, n)))).alias(k) for k, (f, c, n) in ROLLING.items()]
+    now = [F.max(F.when(F.col("rk") == 1, F.col(c))).alias(c) for c in ("d", "n", "close", "high", "low", "volume", "ret", "tr")]
+    return rows_.groupBy(ASSET).agg(*now, *rolled, *[F.max(F.when(F.col("rk") == k + 1, F.col("close"))).alias(f"lag_{k}") for k in LAGS])
 
 
 def is_last() -> Column:

@@ -136,8 +136,8 @@ HISTORY_MODELS: dict[str, Callable[[], Column]] = {
 
 def evaluate(bars: DataFrame, models: dict[str, Model], *, last_only: bool = True) -> DataFrame:
     """asset, d and one raw column for each model, on every row or on each asset's last."""
-    wide = ts.featured(bars).select("asset", "d", *[m.build().alias(k) for k, m in models.items()], "_last")
-    return wide.where("_last").drop("_last") if last_only else wide.drop("_last")
+    rows = ts.featured_last(bars) if last_only else ts.featured(bars)
+    return rows.select("asset", "d", *[m.build().alias(k) for k, m in models.items()])
 
 
 def long(wide: DataFrame, names: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ts
 from tidemark.functions.text import percent
-from tidemark.functions.ts import change, sma
+from tidemark.functions.ts import change
 
 HORIZONS = {"w1": 5, "m1": 21, "m3": 63, "m6": 126, "y1": 252, "y3": 756}
 
@@ -33,8 +33,7 @@ def year_to_date(bars: DataFrame) -> DataFrame:
 
 def breadth(bars: DataFrame, least: int = 60) -> DataFrame:
     """Number of assets of ``least`` bars, and the shares of all of them above their averages."""
-    rows = ts.prepared(bars).select("asset", "n", "close", sma("close", 50).alias("s50"), sma("close", 200).alias("s200"), ts.is_last().alias("_last"))
-    last = rows.where(F.col("_last") & (F.col("n") >= least))
+    last = ts.featured_last(bars).where(F.col("n") >= least).select("close", F.col("sma_50").alias("s50"), F.col("sma_200").alias("s200"))
     return last.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.count_if(F.col("close") > F.col("s50")), F.count(F.lit(1))).alias("pct_above_50dma"), F.try_divide(F.count_if(F.col("close") > F.col("s200")), F.count(F.lit(1))).alias("pct_above_200dma"))
 
 

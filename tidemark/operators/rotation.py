@@ -19,7 +19,7 @@ def relative_strength(bars: DataFrame, benchmark) -> DataFrame:
     The benchmark is one row, so it is broadcast.
     """
     cols = [F.try_divide("close", f"lag_{k - 1}").alias(f"g{k}") for k in (21, 63, 126)]
-    last = ts.featured(bars).where("_last").select("asset", "d", "n", *cols, (F.try_divide("close", "sma_200") - 1).alias("t200"))
+    last = ts.featured_last(bars).select("asset", "d", "n", *cols, (F.try_divide("close", "sma_200") - 1).alias("t200"))
     b = last.where(F.col("asset") == benchmark).select(*[F.col(c).alias(f"b_{c}") for c in ("n", "g21", "g63", "g126")]).limit(1)
     j = last.crossJoin(F.broadcast(b))
     rs = {k: F.when((F.col("n") >= k + 2) & (F.col("b_n") >= k + 2), F.tanh(5 * (F.try_divide(f"g{k}", f"b_g{k}") - 1))).otherwise(0.0) for k in (21, 63, 126)}
@@ -29,7 +29,7 @@ def relative_strength(bars: DataFrame, benchmark) -> DataFrame:
 def factor_rotation(bars: DataFrame, tags: DataFrame) -> DataFrame:
     """frm_ts_mom, frm_cs_region, frm_cs_peer and frm_composite of each tagged asset."""
     r12 = F.when(F.col("n") >= 254, F.try_divide("lag_21", "lag_252") - 1)
-    last = ts.featured(bars).where("_last").select("asset", "d", clip(_time_series_momentum()).alias("ts"), r12.alias("r12"))
+    last = ts.featured_last(bars).select("asset", "d", clip(_time_series_momentum()).alias("ts"), r12.alias("r12"))
     j = last.join(tags, "asset")
     x = j.withColumn("cs", peer_score("r12", ["grp", "region"])).withColumn("peer", peer_score("r12", ["grp", "label"]))
     return x.select("asset", "d", "grp", "region", "label", F.col("ts").alias("frm_ts_mom"), F.col("cs").alias("frm_cs_region"), F.col("peer").alias("frm_cs_peer"), clip(0.6 * F.col("ts") + 0.3 * F.col("cs") + 0.1 * F.col("peer")).alias("frm_composite"))
@@ -37,9 +37,9 @@ def factor_rotation(bars: DataFrame, tags: DataFrame) -> DataFrame:
 
 def rotation_by_timeframe(bars: DataFrame, tags: DataFrame, frames: dict[str, int] = FRAMES) -> DataFrame:
     """Peer scores of plain trailing returns for each look-back; assets without the history are left out."""
-    rows = ts.prepared(bars)
+    rows = ts.tail(bars, max(frames.values()) + 1)
     cols = [F.when(F.col("n") >= k + 2, change("close", k)).alias(f) for f, k in frames.items()]
-    last = rows.select("asset", "n", *cols, ts.is_last().alias("_last")).where(F.col("_last") & (F.col("n") >= 60))
+    last = rows.select("asset", "n", "rk", *cols).where("rk = 1 and n >= 60")
     long = last.unpivot(["asset"], list(frames), "timeframe", "r").where("r is not null").join(tags, "asset")
     return long.select("timeframe", "asset", "label", "grp", "region", peer_score("r", ["timeframe", "grp", "region"]).alias("signal"))
 
@@ -52,7 +52,7 @@ def alpha_combo(bars: DataFrame) -> DataFrame:
     """
     from tidemark.functions.xs import pct_rank
 
-    rows = ts.prepared(bars)
+    rows = ts.tail(bars, 40)
     legs = rows.select("asset", "d", (-change("close", 5)).alias("a"), change("close", 20).alias("b"), F.try_divide("volume", sma("volume", 20)).alias("v"), (-ts.correlation("close", "volume", 10)).alias("c"))
     day = legs.agg(F.max("d").alias("d"))
     today = legs.join(F.broadcast(day), "d", "left_semi")

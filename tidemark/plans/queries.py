@@ -49,13 +49,14 @@ def bars_daily(spark, sf):
     return daily_bars(spark, sf).select("asset", "d", *[r6(F.col(c) + 1e-9).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
-def _at_last(name: str, columns: dict[str, tuple[Callable[[], Column], str]]):
-    """A query of indicators at each asset's last bar."""
+def _at_last(name: str, columns: dict[str, tuple[Callable[[], Column], str]], folded: bool = False):
+    """A query of indicators at each asset's last bar; ``folded`` ones use the shared columns."""
     sql = q.on_bars(f"SELECT asset, d, {', '.join(f'round({k}, 6) AS {k}' for k in columns)} FROM (SELECT asset, d, is_last, {', '.join(f'{s} AS {k}' for k, (_, s) in columns.items())} FROM prep) WHERE is_last")
 
     @query(name, sql)
     def run(spark, sf):
-        wide = ts.featured(daily_bars(spark, sf)).select("asset", "d", *[f().cast("double").alias(k) for k, (f, _) in columns.items()], "_last")
+        rows = ts.featured_last(daily_bars(spark, sf)) if folded else ts.prepared(daily_bars(spark, sf))
+        wide = rows.select("asset", "d", *[f().cast("double").alias(k) for k, (f, _) in columns.items()], (F.lit(True) if folded else ts.is_last()).alias("_last"))
         return wide.where("_last").select("asset", "d", *[r6(k).alias(k) for k in columns])
 
     return run
@@ -79,9 +80,9 @@ _at_last("signedpower", {"sp": (lambda: ts.signedpower("ret", 0.5), "sign(ret) *
 _at_last("last_non_null", {"last_ret": (lambda: ts.last_value("ret"), f"last_value(ret IGNORE NULLS) OVER ({q.W})")})
 for _name, _family in (("bollinger_pctb", "s151_bollinger_pctb"), ("stochastic", "s151_stochastic"), ("roc", "s151_roc_63"), ("tsmom", "trend_following"), ("ma_cross", "ma_cross_50_200"), ("multi_ma", "multi_ma"), ("vol_regime", "vol_regime"), ("momentum", "momentum"), ("donchian_breakout", "donchian_breakout"), ("ma_single", "ma_single_200")):
     _m = (models.MODELS | models.BATTERY)[_family]
-    _at_last(_name, {"raw": (_m.build, q.RAW[_family])})
-_at_last("volume_flow", {"raw": (models._volume_flow, q.volume_flow())})
-_at_last("frm_ts_mom", {"raw": (models._time_series_momentum, q.ts_mom())})
+    _at_last(_name, {"raw": (_m.build, q.RAW[_family])}, folded=True)
+_at_last("volume_flow", {"raw": (models._volume_flow, q.volume_flow())}, folded=True)
+_at_last("frm_ts_mom", {"raw": (models._time_series_momentum, q.ts_mom())}, folded=True)
 
 
 @query("scale", "WITH x AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS d, sum(l_tax - 0.04) AS v FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(abs(v)) OVER (PARTITION BY asset) AS s FROM x) SELECT asset, d, round(CASE WHEN s = 0 THEN v ELSE v / s END, 6) AS scaled FROM t")
