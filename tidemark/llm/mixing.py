@@ -19,12 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows, stored, table
+from tidemark.llm.common import bounded_rows, parts_for, stored, table
 
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 EPOCHS = 3
 MOST_SHARDS = 10_000
-CHUNK = 1 << 18
+CHUNK = 1 << 14
 
 
 def size_of(text: Column) -> Column:
@@ -123,20 +123,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     shards = draw_shards(slots, max(shard_slots, -(-sum(slots) // MOST_SHARDS)), seed)
     first = np.cumsum(shards, axis=0) - shards if len(shards) else shards
     rows = [(int(s), int(k), int(first[s, k]), int(shards[s, k])) for s, k in zip(*np.nonzero(shards))] if len(shards) else []
-    plan = spark.createDataFrame(rows, "shard int, number int, first long, n long")
+    plan = spark.createDataFrame(rows, "shard int, number int, first long, n long").repartition(parts_for(spark), "shard", "number")
     slot = plan.select("shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     slot = slot.join(F.broadcast(sources.select("number", "blocks")), "number").withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("place", F.col("slot") % F.col("blocks"))
     # The block at a place of an epoch is the one with that rank in the permuted order of the source's indexes.
     passes = spark.createDataFrame([(i, e, b) for i, (b, s) in enumerate(zip(blocks, slots)) for e in range(-(-s // b) if b else 0)], "number int, epoch long, n long")
-    chunks = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("lo")).repartition("number", "epoch", "lo")
+    chunks = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("lo")).repartition(parts_for(spark), "number", "epoch", "lo")
     index = chunks.select("number", "epoch", "n", F.explode(F.sequence("lo", F.least(F.col("lo") + CHUNK, F.col("n")) - 1)).alias("index"))
     order = permuted(F.col("index"), F.col("n"), F.xxhash64("number", "epoch", F.lit(seed)))
     index = index.withColumn("o", order).withColumn("cut", F.floor(F.col("o") * 64 / F.greatest(F.pow(F.lit(4.0), F.greatest(F.ceil(F.log2(F.greatest("n", F.lit(2)).cast("double")) / 2), F.lit(1))), F.lit(1.0))).cast("int"))
     counts = index.groupBy("number", "epoch", "cut").agg(F.count(F.lit(1)).alias("c"))
     base = counts.select("number", "epoch", "cut", F.coalesce(F.sum("c").over(Window.partitionBy("number", "epoch").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("number", "epoch", "cut").orderBy("o")) - 1
-    places = index.withColumn("r", rank).join(base, ["number", "epoch", "cut"]).select("number", "epoch", "index", (F.col("r") + F.col("base")).cast("long").alias("place"))
-    draws = slot.join(places, ["number", "epoch", "place"]).select("shard", "number", "slot", "epoch", F.col("index").alias("block"))
+    places = index.withColumn("r", rank).join(base.hint("merge"), ["number", "epoch", "cut"]).select("number", "epoch", "index", (F.col("r") + F.col("base")).cast("long").alias("place"))
+    # both sides grow with the input, whatever the optimizer thinks of the few rows they unfold from
+    draws = slot.hint("merge").join(places.hint("merge"), ["number", "epoch", "place"]).select("shard", "number", "slot", "epoch", F.col("index").alias("block"))
     return placed, sources, draws
 
 
