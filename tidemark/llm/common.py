@@ -1,4 +1,4 @@
-"""Shared plumbing: tables in the cluster's shared folder, size-checked collection, Arrow helpers."""
+"""Shared plumbing: tables in the cluster's shared folder and size-checked collection."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -37,14 +35,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove tables made by ``stored`` that ``df`` reads; call it once nothing needs them."""
-    for spark, path in list(_written):
-        if any(path.rsplit("/", 1)[-1] in f for f in df.inputFiles()[:1]):
-            _unlink(spark, path)
-            _written.remove((spark, path))
-
-
 def _unlink(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,12 +65,3 @@ def parts_for(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def as_text(name: str):
-    """Column ``name`` as a string whatever its type."""
-    return F.col(f"`{name}`").cast("string")
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
