@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ts
 from tidemark.functions.signal import make_signal
-from tidemark.functions.ts import clip, sma
+from tidemark.functions.ts import sma
 
 
 @dataclass(frozen=True)
