@@ -18,7 +18,9 @@ Documents are held in blocks, a table bucketed by block that is read in place in
 each step. Between blocks and buckets only sorted fingerprints travel, coded by
 their differences, and one bit for each comes back. A block sends a string once
 however often it occurs, so groups of copies don't gather in one task. Buckets
-and blocks have bounded sizes; their number grows with the corpus.
+and blocks have bounded sizes; their number grows with the corpus. A document
+whose whole text a smaller id has too is known by its digest and left out of both
+steps.
 
 Defined cases: a null text is empty; a text shorter than ``length`` keeps all;
 rows that share an id don't remove from one another; a null id counts as larger
@@ -61,12 +63,19 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
 
 
 class Block:
-    """Documents of one block, end to end, sorted by id."""
+    """Documents of one block, end to end, sorted by id.
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes]):
+    ``copies`` are (id, digest) of those whose whole text a smaller id has too;
+    they keep their place but take no part in the search.
+    """
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], copies: set[bytes]):
         order = np.argsort(ids, kind="stable")
         self.order, self.ids = order, ids[order]
-        self.texts = [texts[k] for k in order]
+        self.whole = [texts[k] for k in order]
+        among = {c[:8] for c in copies}
+        self.copy = [(key := int(i).to_bytes(8, "big", signed=True)) in among and key + hashlib.md5(t).digest() in copies for i, t in zip(self.ids, self.whole)]
+        self.texts = [b"" if c else t for c, t in zip(self.copy, self.whole)]
         self.lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.starts = np.cumsum(self.lens) - self.lens
         self.n = int(self.lens.sum())
@@ -139,6 +148,8 @@ def bits_of(rows: list[tuple[int, bytes]], sizes: np.ndarray) -> np.ndarray:
     """Flags of a block's fingerprints from its buckets' answers; buckets without an answer say no."""
     out = [np.zeros(n, bool) for n in np.diff(sizes)]
     for bucket, data in rows:
+        if bucket < 0:
+            continue
         n = len(out[bucket])
         out[bucket] = np.unpackbits(np.frombuffer(pa.decompress(data, decompressed_size=(n + 7) // 8, codec="zstd", asbytes=True), np.uint8))[:n].astype(bool)
     return np.concatenate(out) if out else np.zeros(0, bool)
@@ -177,8 +188,8 @@ class Plan:
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _MESSAGE)], schema=_MESSAGE)
 
 
-def _block(t: pa.Table) -> Block:
-    return Block(t.column("id").to_numpy(), t.column("text").to_pylist())
+def _block(t: pa.Table, answers: pa.Table) -> Block:
+    return Block(t.column("id").to_numpy(), t.column("text").to_pylist(), {x for b, x in _rows(answers) if b < 0})
 
 
 def _sample(plan: Plan, block: Block):
@@ -243,18 +254,25 @@ class Blocks:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def copies(self, length: int) -> DataFrame:
+        """Rows in the form of answers (bucket -1) that name the texts of ``length`` bytes a smaller id has too."""
+        rows = self.table().where(F.octet_length("text") >= length).select("block", "id", F.md5("text").alias("digest"))
+        least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
+        key = F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), F.unhex("digest"))
+        return rows.join(least, "digest").where("id > least").select("block", F.lit(-1).alias("bucket"), key.alias("flags")).distinct()
+
     def drop(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket_keys: int, emit, schema: str, carried: list[str] | None = None) -> DataFrame:
-    """Run both steps and ``emit(block, rows, removed mask)`` for every block; rows are in the block's order."""
+    """Run both steps and ``emit(block, rows, removed masks)`` for every block; rows and masks are in the block's order."""
     blocks = Blocks(docs, id_col, text_col, block_bytes, carried or [])
     plan, spark = Plan(length, blocks.total, bucket_keys), blocks.spark
 
-    def send_sample(key, t):
-        block = _block(t)
+    def send_sample(key, t, copies):
+        block = _block(t, copies)
         _, keys, _, _, _ = _sample(plan, block)
         return plan.messages(key[0].as_py(), keys, None, None, plan.sample_bits, plan.sample_buckets)
 
@@ -266,7 +284,7 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
         return _answers(key[0].as_py(), numbers, [_among(r, shared) for r in runs])
 
     def send_suffixes(key, left, right):
-        block = _block(left)
+        block = _block(left, right)
         at = _candidates(plan, block, _rows(right)) if block.n else np.zeros(0, np.int64)
         keys, least, _, _ = block.ranked(at, plan.length, plan.suffix_bits)
         return plan.messages(key[0].as_py(), keys, least, block.ids, plan.suffix_bits, plan.suffix_buckets)
@@ -287,24 +305,27 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
 
     def finish(key, ranks, answers):
         # answers of both steps come in one table, told apart by ``step``
-        block = _block(ranks)
+        block = _block(ranks, answers)
         step = np.array(answers.column("step").to_pylist(), dtype=np.int64)
         rows = _rows(answers)
         first, second = ([r for r, s in zip(rows, step) if s == k] for k in (1, 2))
         at = _candidates(plan, block, first) if block.n else np.zeros(0, np.int64)
-        return emit(block, ranks.select(["own", "rest"]).take(pa.array(block.order)), _removed(plan, block, at, second))
+        mask = _removed(plan, block, at, second)
+        masks = [np.ones(len(t), bool) if c else mask[i : i + len(t)] for t, c, i in zip(block.whole, block.copy, block.starts.tolist())]
+        return emit(block, ranks.select(["own", "rest"]).take(pa.array(block.order)), masks)
 
     t, slim = blocks.table(), blocks.table().select("block", "id", "text")
     # a block's messages all go out; each bucket then is one group
-    sample = slim.groupBy("block").applyInArrow(send_sample, MESSAGE)
+    copies = stored(blocks.copies(length), "copies")
+    sample = slim.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(send_sample, MESSAGE)
     ranks = stored(sample.groupBy("bucket").applyInArrow(rank_sample, ANSWER), "ranks")
     del sample
     _release(spark)
-    suffixes = slim.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, MESSAGE)
+    suffixes = slim.groupBy("block").cogroup(ranks.unionByName(copies).groupBy("block")).applyInArrow(send_suffixes, MESSAGE)
     ties = stored(suffixes.groupBy("bucket").applyInArrow(sort_bucket, ANSWER), "ties")
     del suffixes
     _release(spark)
-    both = ranks.withColumn("step", F.lit(1)).unionByName(ties.withColumn("step", F.lit(2)))
+    both = copies.withColumn("step", F.lit(0)).unionByName(ranks.withColumn("step", F.lit(1))).unionByName(ties.withColumn("step", F.lit(2)))
     return t.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
 
 
@@ -321,15 +342,14 @@ def _spans(mask: np.ndarray) -> int:
 def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_keys: int = 3_000_000) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def emit(block: Block, rows: pa.Table, mask: np.ndarray) -> pa.Table:
+    def emit(block: Block, rows: pa.Table, masks: list[np.ndarray]) -> pa.Table:
         removed, spans, digest = [], [], []
-        for text, start in zip(block.texts, block.starts.tolist()):
-            m = mask[start : start + len(text)]
+        for text, m in zip(block.whole, masks):
             n = int(np.count_nonzero(m))
             removed.append(n)
             spans.append(_spans(m) if n else 0)
             digest.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~m].tobytes() if n else text).hexdigest())
-        return pa.table({"doc_id": rows.column("own"), "n_bytes": pa.array(block.lens), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+        return pa.table({"doc_id": rows.column("own"), "n_bytes": pa.array(map(len, block.whole), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
     return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_keys, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -342,10 +362,9 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name != text_col]
 
-    def emit(block: Block, rows: pa.Table, mask: np.ndarray) -> pa.Table:
+    def emit(block: Block, rows: pa.Table, masks: list[np.ndarray]) -> pa.Table:
         left = []
-        for text, start in zip(block.texts, block.starts.tolist()):
-            m = mask[start : start + len(text)]
+        for text, m in zip(block.whole, masks):
             if m.any():
                 raw = np.frombuffer(text, np.uint8)
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1
