@@ -162,16 +162,18 @@ _CONSENSUS = f"""ax AS (
   FROM sig GROUP BY 1
 ), c AS (
   SELECT o.*, entangle, agree, round((CASE WHEN pb > 0 THEN -pb * ln(pb) / ln(3.0) ELSE 0 END) + (CASE WHEN pn > 0 THEN -pn * ln(pn) / ln(3.0) ELSE 0 END) + (CASE WHEN ps > 0 THEN -ps * ln(ps) / ln(3.0) ELSE 0 END), 3) AS entropy,
-    round(0.25 * overall + 0.25 * beh + 0.3 * phy + 0.2 * entangle, 6) AS composite
+    round(0.25 * overall + 0.25 * beh + 0.3 * phy + 0.2 * entangle, 10) AS composite
   FROM o JOIN ag USING (asset)
 )"""
 
 
-@query("consensus", q.on_bars("SELECT asset, asset_class, composite, CASE WHEN composite >= 0.15 THEN 'buy' WHEN composite <= -0.15 THEN 'sell' ELSE 'neutral' END AS state, round(beh, 6) AS behavioral, round(phy, 6) AS physical, round(entangle, 6) AS entanglement, round(agree, 6) AS horizon_agreement, variety AS signal_variety, entropy, round(least(1.0, variety / 10.0 * (1 - entropy) * (0.5 + agree / 2)) + 1e-9, 3) AS confidence, n AS n_signals FROM c", q.signals_cte(), _CONSENSUS))
+@query("consensus", q.on_bars("SELECT asset, asset_class, round(composite + sign(composite) * 1e-9, 6) AS composite, CASE WHEN composite >= 0.15 THEN 'buy' WHEN composite <= -0.15 THEN 'sell' ELSE 'neutral' END AS state, round(beh + sign(beh) * 1e-9, 6) AS behavioral, round(phy + sign(phy) * 1e-9, 6) AS physical, round(entangle + sign(entangle) * 1e-9, 6) AS entanglement, round(agree, 6) AS horizon_agreement, variety AS signal_variety, entropy, round(least(1.0, variety / 10.0 * (1 - entropy) * (0.5 + agree / 2)) + 1e-9, 3) AS confidence, n AS n_signals FROM c", q.signals_cte(), _CONSENSUS))
 def consensus(spark, sf):
-    c = ensemble.consensus(_signals(spark, sf), digits=6)
+    c = ensemble.consensus(_signals(spark, sf), digits=10)
     conf = F.least(F.lit(1.0), F.col("signal_variety") / 10.0 * (1 - F.col("entropy")) * (0.5 + F.col("agree_") / 2))
-    return c.withColumn("agree_", F.col("horizon_agreement")).withColumn("confidence", F.round(conf + 1e-9, 3)).drop("agree_")
+    # means of values of four places lie on ties of the sixth
+    six = {k: F.round(F.col(k) + F.signum(k) * 1e-9, 6) for k in ("composite", "behavioral", "physical", "entanglement")}
+    return c.withColumn("agree_", F.col("horizon_agreement")).withColumn("confidence", F.round(conf + 1e-9, 3)).drop("agree_").withColumns(six).withColumn("horizon_agreement", r6("horizon_agreement"))
 
 
 _OVER = """ov AS (
@@ -201,7 +203,7 @@ def overlap_matrix(spark, sf):
 @query("horizon_heatmap", q.on_bars("SELECT s.asset, segment, round(avg(signal), 6) AS mean_signal FROM sig s JOIN (SELECT asset FROM ((SELECT asset FROM c ORDER BY composite DESC, asset LIMIT 15) UNION (SELECT asset FROM c ORDER BY composite, asset LIMIT 15))) USING (asset) GROUP BY 1, 2", q.signals_cte(), _CONSENSUS))
 def horizon_heatmap(spark, sf):
     s = _signals(spark, sf)
-    picks = ensemble.top_and_bottom(ensemble.consensus(s, digits=6).select("asset", "composite"), "composite", 15)
+    picks = ensemble.top_and_bottom(ensemble.consensus(s, digits=10).select("asset", "composite"), "composite", 15)
     return ensemble.heatmap(s, picks).select("asset", "segment", r6("mean_signal").alias("mean_signal"))
 
 
