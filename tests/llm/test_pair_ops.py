@@ -112,6 +112,17 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def test_similarity_is_decided_on_whole_texts(spark):
+    """Pairs of long texts on either side of .8, within the error of any sketch."""
+    rows, want = [], {}
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(404)]  # 400 shingles
+        for j, fresh in ((0, 0), (1, 45 if k % 2 else 43)):  # from the end on: 400 - fresh shingles in common
+            rows.append((10 * k + j, " ".join(base[: len(base) - fresh] + [f"y{k}z{i}" for i in range(fresh)])))
+        want |= {10 * k: 10 * k, 10 * k + 1: 10 * k + k % 2}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == want
+
+
 def test_pigeonhole_loses_no_pair():
     rng = np.random.default_rng(3)
     for skew in (0.5, 0.05):

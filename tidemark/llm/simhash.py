@@ -16,6 +16,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -311,8 +312,6 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 # --- groups by similarity ------------------------------------------------------------
 
-BINS = 128
-
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Distinct XXH64 (seed 42) of the word shingles, sorted; none for a text without words."""
@@ -321,24 +320,33 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))] if words else [], dtype=np.uint64))
 
 
-def sketch(h: np.ndarray) -> tuple[bytes, bytes | None]:
-    """One value for each of ``BINS`` hash ranges (0: empty), and all hashes of a set of at most ``BINS``."""
-    bins = np.zeros(BINS, np.uint16)
-    at = (h >> np.uint64(57)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(h) else at
-    low = (h[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48) if len(h) else h
-    bins[at[first]] = np.maximum(low, np.uint64(1)).astype(np.uint16)
-    return bins.tobytes(), h.tobytes() if len(h) <= BINS else None
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of shingles."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def shingle_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(id, hashes): all shingle hashes of the rows (doc_id, text) whose id is among ``nodes`` (id)."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+
+    some = rows.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    return some.mapInArrow(run, "id long, hashes binary")
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of ids whose whole sets have a similarity of at least ``least``."""
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("hashes").alias(f"s{n}"))
 
+    def run(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(k).to_pylist()] for k in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array([similarity(p, q) >= least for p, q in zip(x, y)], pa.bool_()))
 
-def similarity(a: tuple[bytes, bytes | None], b: tuple[bytes, bytes | None]) -> float:
-    """Jaccard similarity of two shingle sets: exact for small ones, else from the bins that are filled in either."""
-    if a[1] is not None and b[1] is not None:
-        x, y = np.frombuffer(a[1], np.uint64), np.frombuffer(b[1], np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-    x, y = np.frombuffer(a[0], np.uint16), np.frombuffer(b[0], np.uint16)
-    return float(((x == y) & (x > 0)).sum() / max(1, ((x > 0) | (y > 0)).sum()))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def wide_links(classes: DataFrame, *, within: int = 12, tables: int = 96, seed: int = 5) -> DataFrame:
@@ -411,8 +419,9 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, component_id) over verified similarity of ``size``-word shingles of at least ``least``.
 
     Candidates are all pairs of fingerprints within ``distance`` bits, by
-    pigeonhole, and those within ``wide_links``' radius. Each is verified on
-    sketches; texts without words are alike. Rows without an id are left out.
+    pigeonhole, and those within ``wide_links``' radius. Each is verified on the
+    whole sets of shingles, which are made anew for the documents that have a
+    candidate; texts without words are alike. Rows without an id are left out.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -420,25 +429,19 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             texts = b.column(1).to_pylist()
             fp = np.array([fingerprint(t, print_size) for t in texts], dtype=np.uint64).view(np.int64)
-            parts = [sketch(shingle_hashes(t, size)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([x[0] for x in parts], pa.binary()), pa.array([x[1] for x in parts], pa.binary())], ["doc_id", "fp", "bins", "few"])
+            cls = [hashlib.md5(shingle_hashes(t, size).tobytes() + x.tobytes()).digest() for t, x in zip(texts, fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(cls, pa.binary())], ["doc_id", "fp", "cls"])
 
-    prints = stored(rows.mapInArrow(run, "doc_id long, fp long, bins binary, few binary").withColumn("cls", F.md5(F.concat(F.hex("fp"), F.hex("bins"), F.coalesce(F.hex("few"), F.lit("-"))))), "sketches")
-    classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("few").alias("few")), "classes")
+    prints = stored(rows.mapInArrow(run, "doc_id long, fp long, cls binary"), "prints")
+    classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "classes")
     same = classes.groupBy("fp").agg(F.min("id").alias("top"))
     close = near_links(same, distance=distance)
     close = close.join(same.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     equal = classes.join(same, "fp").where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b"))
-    links = wide_links(classes).unionByName(close).unionByName(equal).distinct()
-    side = lambda n: classes.select(F.col("id").alias(n), F.struct("bins", "few").alias(f"s{n}"))
-    pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-
-    def verify(batches):
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            yield b.select(["a", "b"]).filter(pa.array([similarity((p["bins"], p["few"]), (q["bins"], q["few"])) >= least for p, q in zip(x, y)], pa.bool_()))
-
-    roots = components(pairs.mapInArrow(verify, "a long, b long"))
+    links = stored(wide_links(classes).unionByName(close).unionByName(equal).distinct(), "candidates")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(shingle_sets(rows, nodes, size), "sets")
+    roots = components(similar_links(links, sets, least))
     rooted = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("cls", "component_id")
     return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
