@@ -123,6 +123,21 @@ def test_similarity_is_decided_on_whole_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == want
 
 
+def test_copies_that_only_the_original_joins(spark):
+    """Hundreds of edited copies, alike to the original only, which has the largest id."""
+    rnd = random.Random(13)
+    text = [f"w{i}" for i in range(400)]
+    rows = [(9999, " ".join(text))]
+    for k in range(300):
+        edit = list(text)
+        for at in rnd.sample(range(2, 398), 8):
+            edit[at] = f"e{k}x{at}"
+        rows.append((k + 5, " ".join(edit)))
+    sets = [simhash.shingle_hashes(t, 5) for _, t in rows]
+    assert all(simhash.similarity(sets[0], x) >= 0.8 for x in sets) and simhash.similarity(sets[1], sets[2]) < 0.8
+    assert {r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == {5}
+
+
 def test_pigeonhole_loses_no_pair():
     rng = np.random.default_rng(3)
     for skew in (0.5, 0.05):

@@ -312,6 +312,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 # --- groups by similarity ------------------------------------------------------------
 
+#: Members of a large group in a block; two blocks with their shingles are in memory at once.
+BLOCK = 2048
+
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Distinct XXH64 (seed 42) of the word shingles, sorted; none for a text without words."""
@@ -349,13 +352,14 @@ def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def wide_links(classes: DataFrame, *, within: int = 12, tables: int = 96, seed: int = 5) -> DataFrame:
-    """(a, b) ids whose fingerprints differ in at most ``within`` bits and agree on a sample of bits.
+def wide_links(classes: DataFrame, *, tables: int = 96, seed: int = 5) -> DataFrame:
+    """Ids (a, b) whose fingerprints agree on a sample of bits.
 
     Partitions can't serve such a radius: each of ``tables`` fixed samples of
     log2(n) bits is a key. Two fingerprints that differ in 7 bits of 64 share a key
     with probability over .99 at 2^18 fingerprints, in 11 bits with about .8.
-    Groups of a key give a spanning set of links, never all pairs of a large one.
+    A row is a pair, or (``large``) the member b of a group of more than ``SMALL``
+    with its smallest id a: such groups are searched by ``links_of_large``.
     """
     spark = classes.sparkSession
     n = max(2, classes.count())
@@ -389,37 +393,87 @@ def wide_links(classes: DataFrame, *, within: int = 12, tables: int = 96, seed:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         group, few = np.repeat(np.arange(len(first)), size), np.repeat(size <= SMALL, size)
-        g, f, i = group[few], fp[few], ids[few]
+        g, i = group[few], ids[few]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in range(1, SMALL):
             same = g[s:] == g[:-s]
             if not same.any():
                 break
-            hit = same & near(f[s:], f[:-s], within)
-            a.append(i[:-s][hit])
-            b.append(i[s:][hit])
-        for j in np.flatnonzero(size > SMALL):
-            part = slice(first[j], first[j] + size[j])
-            least = np.sort(ids[part])
-            order = np.argsort(ids[part])
-            left, at = fp[part][order], np.arange(len(least))
-            while len(at) > 1:  # a star around the smallest id left
-                hit = near(left[at[1:]], left[at[0]], within)
-                a.append(np.full(int(hit.sum()), least[at[0]]))
-                b.append(least[at[1:][hit]])
-                at = at[1:][~hit]
+            a.append(i[:-s][same])
+            b.append(i[s:][same])
         x, y = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        # of a large group a row for each member, beside the smallest id
+        many, at = ~few, np.arange(len(key)) - np.repeat(first, size)
+        where = pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(int(many.sum()), bool)]))
+        blocks = np.repeat(-(-size // BLOCK), size)
+        none = np.zeros(len(x), np.int64)
+        return pa.RecordBatch.from_arrays([where, pa.array(np.append(none, key[many])), pa.array(np.append(x, ids[first][group][many])), pa.array(np.append(y, ids[many])), pa.array(np.append(none, at[many] // BLOCK)), pa.array(np.append(none, blocks[many]))], ["large", "key", "a", "b", "block", "blocks"])
 
     dealt = classes.select("id", "fp").mapInArrow(deal, "key long, id long, fp long")
-    return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
+    return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key", "id").mapInArrow(link, "large boolean, key long, a long, b long, block long, blocks long")
+
+
+def spanning_similar(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the members of one group as all pairs of at least ``least`` would.
+
+    A breadth-first search: each member reached is compared with all that are not
+    reached yet. A member is reached by a verified link or because it shares its
+    root with one that is.
+    """
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    code, of = np.split(flat, np.cumsum(size)[:-1]), np.repeat(np.arange(len(sets)), size)
+    left, mark = np.ones(len(sets), bool), np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    live, heads, tails = np.arange(len(sets)), [], []
+    while left.any():
+        start = left & (roots == roots[np.argmax(left)])
+        front, left = list(np.flatnonzero(start)), left & ~start
+        while front and left.any():
+            if left.sum() * 2 < len(live):  # what is reached is not counted again
+                live, keep = np.flatnonzero(left), left[of]
+                flat, of = flat[keep], of[keep]
+            x = front.pop()
+            mark[code[x]] = True
+            both = np.bincount(of[mark[flat]], minlength=len(sets))
+            mark[code[x]] = False
+            hit = left & (both / np.maximum(1, size + size[x] - both) >= least)
+            if hit.any():
+                heads.append(np.full(int(hit.sum()), ids[x]))
+                tails.append(ids[hit])
+                got = left & np.isin(roots, roots[hit])
+                front.extend(np.flatnonzero(got))
+                left = left & ~got
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *heads]), np.concatenate([none, *tails])
+
+
+def links_of_large(large: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links that are still missing between the members of large groups.
+
+    ``large``: key, id, block, blocks; ``roots``: what is joined already. Groups
+    that are whole drop out. Of the others each pair of blocks is searched by
+    itself, so a task holds two blocks of members with their sets at a time.
+    """
+    rows = large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block"))))
+    rows = rows.join(open_, "key", "left_semi").withColumn("other", other)
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(sets, "id")
+
+    def run(group):
+        a, b = spanning_similar(group["id"].to_numpy(), group["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()], least)
+        return pa.table({"a": a, "b": b})
+
+    return rows.select("key", "i", "j", "id", "root", "hashes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, print_size: int = 3, distance: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, print_size: int = 3) -> DataFrame:
     """(doc_id, component_id) over verified similarity of ``size``-word shingles of at least ``least``.
 
-    Candidates are all pairs of fingerprints within ``distance`` bits, by
-    pigeonhole, and those within ``wide_links``' radius. Each is verified on the
+    Candidates are the pairs that share a key of ``wide_links``. In a group of at
+    most ``SMALL`` all pairs are verified; in a larger one those with its smallest
+    id, and then, as far as that leaves it in parts, all members of different
+    parts (``links_of_large``). Pairs are decided on the
     whole sets of shingles, which are made anew for the documents that have a
     candidate; texts without words are alike. Rows without an id are left out.
     """
@@ -434,14 +488,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     prints = stored(rows.mapInArrow(run, "doc_id long, fp long, cls binary"), "prints")
     classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "classes")
-    same = classes.groupBy("fp").agg(F.min("id").alias("top"))
-    close = near_links(same, distance=distance)
-    close = close.join(same.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    equal = classes.join(same, "fp").where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b"))
-    links = stored(wide_links(classes).unionByName(close).unionByName(equal).distinct(), "candidates")
-    nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(shingle_sets(rows, nodes, size), "sets")
-    roots = components(similar_links(links, sets, least))
+    found = stored(wide_links(classes), "candidates")
+    pairs = stored(found.select("a", "b").where("a <> b").distinct(), "pairs")
+    sets = stored(shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), "sets")
+    links = stored(similar_links(pairs, sets, least), "verified")
+    roots = components(links)
+    large = found.where("large").select("key", F.col("b").alias("id"), "block", "blocks")
+    if not large.isEmpty():
+        roots = components(links.unionByName(links_of_large(large, roots, sets, least)))
     rooted = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("cls", "component_id")
     return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
