@@ -138,6 +138,20 @@ def test_copies_that_only_the_original_joins(spark):
     assert {r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == {5}
 
 
+def test_pairs_far_apart_in_fingerprints(spark):
+    """Short texts of similarity .8 and more whose fingerprints differ in over 12 bits."""
+    rnd = random.Random(14)
+    rows, k = [], 0
+    while k < 20:
+        text = [f"a{rnd.randrange(10**6)}" for _ in range(9)]
+        pair = " ".join(text[:8]), " ".join(text)
+        if (simhash.fingerprint(pair[0]) ^ simhash.fingerprint(pair[1])).bit_count() > 12:
+            rows += [(10 * k, pair[0]), (10 * k + 1, pair[1])]
+            k += 1
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_pigeonhole_loses_no_pair():
     rng = np.random.default_rng(3)
     for skew in (0.5, 0.05):

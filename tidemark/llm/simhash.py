@@ -314,6 +314,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 #: Members of a large group in a block; two blocks with their shingles are in memory at once.
 BLOCK = 2048
+#: Keys of a set of shingles, and the hash functions in each.
+BANDS, DEPTH = 40, 4
+_TURN, _TIMES = np.random.default_rng(5).integers(1 << 63, size=(2, BANDS * DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -352,55 +355,65 @@ def similar_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def wide_links(classes: DataFrame, *, tables: int = 96, seed: int = 5) -> DataFrame:
-    """Ids (a, b) whose fingerprints agree on a sample of bits.
-
-    Partitions can't serve such a radius: each of ``tables`` fixed samples of
-    log2(n) bits is a key. Two fingerprints that differ in 7 bits of 64 share a key
-    with probability over .99 at 2^18 fingerprints, in 11 bits with about .8.
-    A row is a pair, or (``large``) the member b of a group of more than ``SMALL``
-    with its smallest id a: such groups are searched by ``links_of_large``.
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys, each over the least values of a set under ``DEPTH`` hash functions; none for an empty set."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(_TURN), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, ((h[None, at : at + 1024] ^ _TURN[:, None]) * _TIMES[:, None]).min(axis=1))
+    key = _TIMES[:BANDS].copy()
+    for x in least.reshape(BANDS, DEPTH).T:
+        key = (key ^ x ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(31))
+
+
+def wide_links(classes: DataFrame, *, least: float = 0.8) -> DataFrame:
+    """Ids (a, b) whose sets agree in a band of least hash values.
+
+    ``classes``: id, n (size of the set) and its ``band_keys``. A pair of
+    similarity s shares none of the keys with probability
+    (1 - s ** DEPTH) ** BANDS, however many documents there are: 6.7e-10 at .8.
+    A row is a pair whose sizes allow ``least``, or (``large``) the member b of a
+    group of more than ``SMALL`` with its smallest id a: such groups are searched
+    by ``links_of_large``.
     """
     spark = classes.sparkSession
-    n = max(2, classes.count())
-    k, rng = min(40, max(10, int(np.ceil(np.log2(n))))), np.random.default_rng(seed)
-    masks = np.array([_mask(rng.choice(BITS, k, replace=False).tolist()) for _ in range(tables)], dtype=np.uint64)
-    salt = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def deal(batches):
         for b in batches:
-            ids, h = b.column(0), np.ascontiguousarray(b.column(1).to_numpy()).view(np.uint64)
-            for m, x in zip(masks, salt):
-                key = ((h & m) ^ x) * np.uint64(0x9E3779B97F4A7C15)
-                yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(31))).view(np.int64)), ids, pa.array(h.view(np.int64))], ["key", "id", "fp"])
+            key = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            each = np.array([len(x) // 8 for x in b.column(2).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array(np.repeat(b.column(1).to_numpy(), each))], ["key", "id", "n"])
 
     def link(batches):
         rest: tuple | None = None
         for b in batches:
-            key, ids, fp = b.column(0).to_numpy(), b.column(1).to_numpy(), np.ascontiguousarray(b.column(2).to_numpy()).view(np.uint64)
+            key, ids, n = (b.column(k).to_numpy() for k in range(3))
             if rest is not None:
-                key, ids, fp = (np.concatenate(x) for x in zip(rest, (key, ids, fp)))
+                key, ids, n = (np.concatenate(x) for x in zip(rest, (key, ids, n)))
             if not len(key):
                 continue
             open_ = int(np.argmax(key == key[-1]))
-            rest = (key[open_:], ids[open_:], fp[open_:])
+            rest = (key[open_:], ids[open_:], n[open_:])
             if open_:
-                yield _pairs(key[:open_], ids[:open_], fp[:open_])
+                yield _pairs(key[:open_], ids[:open_], n[:open_])
         if rest is not None and len(rest[0]):
             yield _pairs(*rest)
 
-    def _pairs(key, ids, fp):
+    def _pairs(key, ids, n):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         group, few = np.repeat(np.arange(len(first)), size), np.repeat(size <= SMALL, size)
-        g, i = group[few], ids[few]
+        g, i, m = group[few], ids[few], n[few]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in range(1, SMALL):
             same = g[s:] == g[:-s]
             if not same.any():
                 break
-            a.append(i[:-s][same])
-            b.append(i[s:][same])
+            fit = same & (np.minimum(m[:-s], m[s:]) >= least * np.maximum(m[:-s], m[s:]))
+            a.append(i[:-s][fit])
+            b.append(i[s:][fit])
         x, y = np.concatenate(a), np.concatenate(b)
         # of a large group a row for each member, beside the smallest id
         many, at = ~few, np.arange(len(key)) - np.repeat(first, size)
@@ -409,7 +422,7 @@ def wide_links(classes: DataFrame, *, tables: int = 96, seed: int = 5) -> DataFr
         none = np.zeros(len(x), np.int64)
         return pa.RecordBatch.from_arrays([where, pa.array(np.append(none, key[many])), pa.array(np.append(x, ids[first][group][many])), pa.array(np.append(y, ids[many])), pa.array(np.append(none, at[many] // BLOCK)), pa.array(np.append(none, blocks[many]))], ["large", "key", "a", "b", "block", "blocks"])
 
-    dealt = classes.select("id", "fp").mapInArrow(deal, "key long, id long, fp long")
+    dealt = classes.select("id", "n", "bands").mapInArrow(deal, "key long, id long, n long")
     return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key", "id").mapInArrow(link, "large boolean, key long, a long, b long, block long, blocks long")
 
 
@@ -467,7 +480,7 @@ def links_of_large(large: DataFrame, roots: DataFrame, sets: DataFrame, least: f
     return rows.select("key", "i", "j", "id", "root", "hashes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, print_size: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) over verified similarity of ``size``-word shingles of at least ``least``.
 
     Candidates are the pairs that share a key of ``wide_links``. In a group of at
@@ -482,13 +495,12 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            fp = np.array([fingerprint(t, print_size) for t in texts], dtype=np.uint64).view(np.int64)
-            cls = [hashlib.md5(shingle_hashes(t, size).tobytes() + x.tobytes()).digest() for t, x in zip(texts, fp)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(cls, pa.binary())], ["doc_id", "fp", "cls"])
+            some = [(len(h), hashlib.md5(h.tobytes()).digest(), band_keys(h).tobytes()) for h in (shingle_hashes(t, size) for t in texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "n", "cls", "bands"])
 
-    prints = stored(rows.mapInArrow(run, "doc_id long, fp long, cls binary"), "prints")
-    classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "classes")
-    found = stored(wide_links(classes), "candidates")
+    prints = stored(rows.mapInArrow(run, "doc_id long, n long, cls binary, bands binary"), "prints")
+    classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    found = stored(wide_links(classes, least=least), "candidates")
     pairs = stored(found.select("a", "b").where("a <> b").distinct(), "pairs")
     sets = stored(shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), "sets")
     links = stored(similar_links(pairs, sets, least), "verified")
