@@ -22,6 +22,16 @@ def test_run(spark, sf):
     assert rows and len(set(ids)) == len(ids) and all(r["taken"] > 0 for r in rows)
 
 
+def test_mixing_returns_each_row_once(spark, sf):
+    """Rows without an id and rows that share one come back once each."""
+    rows = [(None, "a " * 300, "en", "s", 600), (None, "b " * 300, "en", "s", 600), (7, "c " * 300, "en", "s", 600), (7, "d " * 300, "en", "s", 600), (7, "d " * 300, "en", "s", 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.mixing_stage(spark, docs, sf)
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    got = out.collect()
+    assert sorted(r["text"] for r in got) == sorted(r[1] for r in rows) and all(r["taken"] == 300 for r in got)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

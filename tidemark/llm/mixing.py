@@ -81,25 +81,26 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = 4) -> Column:
     return left * (mask + 1) + right
 
 
-def with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = 4096) -> DataFrame:
-    """(doc_id, source, size, start): where each document starts in its source's order.
+def with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, buckets: int = 4096) -> DataFrame:
+    """(doc_id, source, size, start): where each document starts in its source's order; with ``row_col``, that too.
 
     Prefix sums in two levels: within a slice of the hash order of a source, and
     over the slices' sums, so that no task holds a whole source.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
+    more = [row_col] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), *more)
     rows = stored(rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("order"))), "sizes")
     rows = rows.withColumn("slice", F.floor((F.col("h") / 2.0**64 + 0.5) * buckets).cast("int"))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = (rows["source"].eqNullSafe(sums["source"])) & (rows["slice"] == sums["slice"])
-    return rows.join(sums, same).select("doc_id", rows["source"], "size", (F.col("base") + F.col("inner")).alias("start"))
+    return rows.join(sums, same).select("doc_id", rows["source"], "size", (F.col("base") + F.col("inner")).alias("start"), *more)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = 128, shard_slots: int = 4096, most_sources: int = 1_000_000, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = 128, shard_slots: int = 4096, most_sources: int = 1_000_000, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with offsets, sources, draws).
 
     documents: doc_id, source, size, start. sources: source, source_size, target,
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     reach the driver.
     """
     spark = docs.sparkSession
-    placed = stored(with_offsets(docs, id_col=id_col, text_col=text_col, source_col=source_col), "placed")
+    placed = stored(with_offsets(docs, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row_col), "placed")
     totals = bounded_rows(placed.groupBy("source").agg(F.sum("size").alias("n")), most_sources, "sources")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in totals]
@@ -151,7 +152,7 @@ def pieces(placed: DataFrame, sources: DataFrame, *, block: int = 128) -> DataFr
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken."""
+    """One row for each document: doc_id, source, size, source_size, target, taken, and ``row_col`` if given."""
     block = options.get("block", 128)
     placed, sources, draws = mix(docs, **options)
     times = draws.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -161,7 +162,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     used = used.withColumn("some", F.lit(True))
     # documents of size 0 share their start with the next one
     joined = rows.withColumn("some", F.col("size") > 0).join(used, ["number", "start", "some"], "left")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *filter(None, [options.get("row_col")]))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
