@@ -185,6 +185,14 @@ def test_leaks(spark):
     assert decontaminate.find_contamination(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_of_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "Short One"), ("b1", "other words")], "item_id string, text string")
+    rows = [(1, "a short, ONE b"), (2, "short one other words"), (3, "none")]
+    for size in (16_000_000, 10):
+        got = {r["doc_id"]: (sum(x["hi"] - x["lo"] for x in r["hit_runs"]), r["items"]) for r in decontaminate.find_contamination(frame(spark, rows), bench, block_bytes=size).collect()}
+        assert got == {1: (2, []), 2: (4, ["b1"]), 3: (0, [])}
+
+
 def test_wu_manber_is_plain_search():
     rnd = random.Random(5)
     text = bytes(rnd.choice(b"ab ") for _ in range(3000))

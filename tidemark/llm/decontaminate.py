@@ -10,7 +10,8 @@ the shortest one bounds the skips.
 Defined cases: a null or wordless text has no words, no hits and isn't
 contaminated; a null or wordless item has no window; an item with fewer words
 than a window is one window; items that share a window are all counted; equal
-item ids count once; an empty benchmark leaves all clean; extra columns are
+item ids count once; an item without an id is searched and makes a text
+contaminated, but is not among the items found; an empty benchmark leaves all clean; extra columns are
 ignored. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
 """
 
@@ -99,7 +100,7 @@ class Searcher:
             for start, p, items in t.search(joined):
                 spans.append((start, start + len(p)))
                 found.update(items)
-        return len(w), _runs(joined, spans), {self.names[k] for k in found}
+        return len(w), _runs(joined, spans), {self.names[k] for k in found if self.names[k] is not None}
 
 
 def _runs(joined: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,7 +157,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     each, and the passes' rows are merged by row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     blocks = item_blocks(items, block_bytes)
     first = next(blocks)
     second = next(blocks, None)
