@@ -296,7 +296,7 @@ def passages():
 @pytest.mark.parametrize("length", [24, 50])
 def test_passages(spark, length):
     rows = passages()
-    for sizes in ({}, {"block_bytes": 2000, "bucket_keys": 500}):
+    for sizes in ({}, {"block_bytes": 2000, "bucket_rows": 3}):
         got = suffix_dedup.removal_digests(frame(spark, rows), length=length, **sizes).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute_removed(rows, length)
     assert suffix_dedup.removal_digests(frame(spark, [])).count() == 0

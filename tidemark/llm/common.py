@@ -3,23 +3,51 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a session of one process; on a
+    cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+@contextmanager
+def shuffles_end_here(spark: SparkSession):
+    """Spark deletes the shuffle files of what is written inside as soon as it is written."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as compressed Parquet in the shared folder and read it again.
 
@@ -27,14 +55,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
+    path = _path(spark, name)
+    with shuffles_end_here(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``stored``, bucketed by ``key``: what groups by it reads the table in place."""
+    spark = df.sparkSession
+    path = _path(spark, name)
+    called = f"tidemark_{path.rsplit('/', 1)[-1].replace('-', '_')}"
+    with shuffles_end_here(spark):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(called)
+    return spark.table(called)
+
+
 def _unlink(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,360 +1,478 @@
 """Exact substring deduplication over the suffixes of a corpus, with a difference cover.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts in a
-document with a smaller id. Suffixes matter up to that depth only, and only
-whether two are equal there, so suffix buckets are ordered by a fingerprint of
-the first ``length`` bytes in place of the bytes themselves.
-
-1. Cover sample. Positions whose remainder modulo ``v`` lies in a difference cover
-   are sampled: for any two positions some shift below ``v`` takes both into the
-   sample, so equal strings of ``length`` bytes share a sampled string of
-   ``length - v + 1`` bytes at the same shift. The sample is ranked bucket by
-   bucket; ranks held by one document only are dropped.
-2. Suffix buckets. Only suffixes with a shared rank ahead of them within ``v``
-   positions can tie at full depth. They are dealt into buckets and each bucket
-   is sorted by itself, which finds the smallest document of every tie.
+document with a smaller id. Suffixes matter up to that depth only.
+
+1. Suffixes that can tie. The least hash among the short strings (grams) inside of
+   a window of ``length`` bytes is the same wherever the window occurs, so a window
+   whose least gram occurs in one document only has no equal. Grams are compared by
+   hash here; that can let a window pass in vain, and never drops one.
+2. Buckets. What is left is dealt by that gram. Windows with the same gram are
+   neighbours and travel as one snippet of text; a snippet that many blocks hold
+   is one row. A bucket is worked on by itself: its cover sample (positions whose
+   remainder lies in a difference cover, with strings of ``length - v + 1`` bytes)
+   is ranked by bytes, then suffixes are sorted by their first eight bytes, and ties
+   that last longer are resolved by the rank of the first sampled position after
+   them, and by the last bytes, which that rank does not reach. So memory is that
+   of one bucket, and equality is one of bytes, never of hashes.
+3. The smallest id of each string goes back to the blocks that hold it.
 
 Documents are held in blocks, a table bucketed by block that is read in place in
-each step. Between blocks and buckets only sorted fingerprints travel, coded by
-their differences, and one bit for each comes back. A block sends a string once
-however often it occurs, so groups of copies don't gather in one task. Buckets
-and blocks have bounded sizes; their number grows with the corpus. A document
-whose whole text a smaller id has too is known by its digest and left out of both
-steps.
-
-Defined cases: a null text is empty; a text shorter than ``length`` keeps all;
-rows that share an id don't remove from one another; a null id counts as larger
-than any other; matches never cross documents; an empty table gives no rows;
-extra columns are ignored. Ids are integers.
+each step. A block sends a row for each of its distinct grams, so the rows grow in
+proportion to the text, and a string that all documents share is one row a block.
+A gram with more than ``bucket_rows`` different snippets is taken out of its bucket
+and its suffixes are grouped one by one (``_one_by_one``) with the same result.
+
+Defined cases: a null text is empty; a text shorter than ``length`` keeps all; a
+text longer than a block is a block of its own size and is scanned in pieces; rows
+that share an id don't remove from one another; a null id counts as larger than
+any other; matches never cross documents; an empty table gives no rows; extra
+columns are ignored, or returned as they are by ``deduplicated``, whatever their
+names. Ids are integers.
 """
 
 from __future__ import annotations
 
-import atexit
-import gc
 import hashlib
-import math
-import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts_for, stored, table
+from tidemark.llm.common import bucketed, parts_for, stored, table
 
 #: Perfect difference sets by modulus: every remainder is the difference of one pair.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (0, 1, 3, 8, 12, 18)}
 NO_ID = (1 << 63) - 1
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_K1 = np.uint64(0x9E3779B97F4A7C15)
+#: Positions scanned at a time, and snippets whose suffixes are in memory at a time.
+PIECE, SNIPPETS = 1 << 16, 1 << 14
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
-    """The largest modulus that leaves sampled strings of three quarters of ``length``.
-
-    A longer sampled string is shared by chance less often, and what it lets
-    through to the second step costs more than a denser sample does.
-    """
+    """The largest modulus that leaves sampled strings of three quarters of ``length``."""
     fit = [v for v in COVERS if length - v + 1 >= max(8, length * 3 // 4)]
     if not fit:
         raise ValueError("strings of under 24 bytes are not supported")
     return max(fit), COVERS[max(fit)]
 
 
-class Block:
-    """Documents of one block, end to end, sorted by id.
-
-    ``copies`` are (id, digest) of those whose whole text a smaller id has too;
-    they keep their place but take no part in the search.
-    """
-
-    def __init__(self, ids: np.ndarray, texts: list[bytes], copies: set[bytes]):
-        order = np.argsort(ids, kind="stable")
-        self.order, self.ids = order, ids[order]
-        self.whole = [texts[k] for k in order]
-        among = {c[:8] for c in copies}
-        self.copy = [(key := int(i).to_bytes(8, "big", signed=True)) in among and key + hashlib.md5(t).digest() in copies for i, t in zip(self.ids, self.whole)]
-        self.texts = [b"" if c else t for c, t in zip(self.copy, self.whole)]
-        self.lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
-        self.starts = np.cumsum(self.lens) - self.lens
-        self.n = int(self.lens.sum())
-        data = b"".join([*self.texts, b"\0" * 64])
-        self.words = np.ndarray((self.n + 56,), "<u8", buffer=data, strides=(1,))
-        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.lens)
-        # equal ids are one document: they take the place of the first of them
-        self.place = np.searchsorted(self.ids, self.ids).astype(np.int32)
-
-    def cover(self, v: int, residues: tuple[int, ...], depth: int) -> np.ndarray:
-        """Sampled positions with ``depth`` bytes left in their document."""
-        inside = np.zeros(v, bool)
-        inside[list(residues)] = True
-        rel = np.arange(self.n, dtype=np.int64) - np.repeat(self.starts, self.lens)
-        return np.flatnonzero(inside[rel % v] & (rel + depth <= np.repeat(self.lens, self.lens)))
-
-    def prints(self, at: np.ndarray, depth: int, bits: int) -> np.ndarray:
-        """Fingerprints of the ``depth`` bytes at each position."""
-        h = np.full(len(at), np.uint64(depth))
-        for off in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
-            h = (h ^ self.words[at + off]) * _K1
-            h ^= h >> np.uint64(29)
-        h *= _K2
-        h ^= h >> np.uint64(32)
-        h *= _K1
-        return h >> np.uint64(64 - bits)
-
-    def ranked(self, at: np.ndarray, depth: int, bits: int):
-        """Distinct fingerprints in order, the smallest and largest place of each, and each position's index among them."""
-        keys = self.prints(at, depth, bits)
-        order = np.argsort(keys, kind="stable")  # positions, and so places, ascend within a key
-        k, place = keys[order], self.place[self.doc[at[order]]]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        index = np.empty(len(k), np.int64)
-        index[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) if len(k) else 0
-        last = np.append(first[1:], len(k)) - 1 if len(k) else first
-        return k[first], place[first], place[last], index
+class Shape:
+    """Lengths that follow from ``length``, the same in every task."""
 
+    def __init__(self, length: int):
+        self.length = length
+        self.v, self.cover = cover_for(length)
+        self.depth = length - self.v + 1
+        self.gram = max(8, min(24, length // 2), length - 127)
+        #: Starts of grams in a window, and so the most windows that share a gram.
+        self.starts = length - self.gram + 1
+        #: Bytes around a gram that its windows can reach.
+        self.width = length + self.starts - 1
+        #: From each remainder, the way to the next sampled position.
+        self.shift = np.array([min(s for s in range(self.v) if (c + s) % self.v in self.cover) for c in range(self.v)])
 
-# --- messages between blocks and buckets ----------------------------------------------
 
+def _offsets(n: int) -> list[int]:
+    """Where words of eight bytes start that together cover ``n`` bytes."""
+    return [*range(0, n - 7, 8), *([n - 8] if n % 8 else [])]
 
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes; small differences leave high planes empty."""
-    values = np.ascontiguousarray(values, dtype="<u8")
-    planes = values.view(np.uint8).reshape(-1, 8).T
-    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    body = np.ascontiguousarray(planes[:width]).tobytes()
-    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(body, codec="zstd", asbytes=True)
 
+# --- blocks -----------------------------------------------------------------------------
 
-def unpacked(data: bytes) -> np.ndarray:
-    n, width = int.from_bytes(data[:8], "little"), data[8]
-    planes = np.zeros((8, n), np.uint8)
-    planes[:width] = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
+class Block:
+    """Documents of one block, end to end, sorted by id."""
 
-def differences(sorted_: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_, prepend=np.uint64(0)) if len(sorted_) else sorted_
+    def __init__(self, ids: np.ndarray, texts: list[bytes], reach: int):
+        self.order = np.argsort(ids, kind="stable")
+        self.ids = ids[self.order]
+        self.texts = [texts[k] for k in self.order]
+        self.lens = np.fromiter(map(len, self.texts), np.int64, len(texts))
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.n = int(self.lens.sum())
+        # ``reach`` bytes before the first text, so that a snippet never starts outside
+        self.reach = reach
+        self.data = np.frombuffer(b"".join([b"\0" * reach, *self.texts, b"\0" * (reach + 64)]), np.uint8)
+        # equal ids are one document: they take the place of the first of them
+        self.place = np.searchsorted(self.ids, self.ids)
 
+    def docs(self, at: np.ndarray) -> np.ndarray:
+        """Index of the document of each position."""
+        return np.searchsorted(self.starts, at, side="right") - 1
 
-def cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's range of fingerprints starts among sorted ``keys``."""
-    bounds = np.array([(k << bits) // buckets for k in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
+def least_grams(block: Block, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram's position, its hash, first window, number of windows) of every gram that is the least of some window.
 
-def bits_of(rows: list[tuple[int, bytes]], sizes: np.ndarray) -> np.ndarray:
-    """Flags of a block's fingerprints from its buckets' answers; buckets without an answer say no."""
-    out = [np.zeros(n, bool) for n in np.diff(sizes)]
-    for bucket, data in rows:
-        if bucket < 0:
+    Of equal grams in a window the first counts. Windows of a gram are neighbours.
+    """
+    w = shape.starts
+    words = np.ndarray((len(block.data) - 7,), "<u8", buffer=block.data, strides=(1,))[block.reach :]
+    whole = np.ones(block.n, bool)
+    for s, e in zip(block.starts.tolist(), (block.starts + block.lens).tolist()):
+        whole[max(s, e - shape.length + 1) : e] = False
+    found = []
+    for lo in range(0, block.n, PIECE):
+        hi = min(lo + PIECE, block.n)
+        j = np.flatnonzero(whole[lo:hi])
+        if not len(j):
             continue
-        n = len(out[bucket])
-        out[bucket] = np.unpackbits(np.frombuffer(pa.decompress(data, decompressed_size=(n + 7) // 8, codec="zstd", asbytes=True), np.uint8))[:n].astype(bool)
-    return np.concatenate(out) if out else np.zeros(0, bool)
-
-
-def _answers(bucket: int, blocks: list[int], flags: list[np.ndarray]) -> pa.Table:
-    kept = [(b, f) for b, f in zip(blocks, flags) if f.any()]
-    return pa.table({"block": pa.array([b for b, _ in kept], pa.int32()), "bucket": pa.array([bucket] * len(kept), pa.int32()), "flags": pa.array([pa.compress(np.packbits(f).tobytes(), codec="zstd", asbytes=True) for _, f in kept], pa.binary())})
-
-
-MESSAGE = "bucket int, block int, keys binary, least binary, ids binary"
-ANSWER = "block int, bucket int, flags binary"
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("least", pa.binary()), ("ids", pa.binary())])
-
-
-class Plan:
-    """Sizes that follow from the corpus, the same in every task."""
-
-    def __init__(self, length: int, total: int, bucket_keys: int):
-        self.length = length
-        self.v, self.cover = cover_for(length)
-        self.depth = length - self.v + 1
-        sampled = max(1, total * len(self.cover) // self.v)
-        self.sample_bits = min(64, max(40, math.ceil(math.log2(sampled)) + 12))
-        self.sample_buckets = -(-sampled // bucket_keys)
-        self.suffix_bits = 64
-        self.suffix_buckets = max(1, -(-total // (2 * bucket_keys)))
-
-    def messages(self, number: int, keys: np.ndarray, least: np.ndarray | None, ids: np.ndarray | None, bits: int, buckets: int) -> pa.Table:
-        at, rows = cuts(keys, bits, buckets), []
-        coded = packed(differences(ids.astype("<u8"))) if ids is not None else b""
-        for k in range(buckets):
-            lo, hi = at[k], at[k + 1]
-            if hi > lo:
-                rows.append((k, number, packed(differences(keys[lo:hi])), packed(least[lo:hi]) if least is not None else b"", coded))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _MESSAGE)], schema=_MESSAGE)
-
-
-def _block(t: pa.Table, answers: pa.Table) -> Block:
-    return Block(t.column("id").to_numpy(), t.column("text").to_pylist(), {x for b, x in _rows(answers) if b < 0})
-
-
-def _sample(plan: Plan, block: Block):
-    at = block.cover(plan.v, plan.cover, plan.depth)
-    return at, *block.ranked(at, plan.depth, plan.sample_bits)
-
-
-def _candidates(plan: Plan, block: Block, rows) -> np.ndarray:
-    """Positions of full depth with a shared cover rank among the next ``v``."""
-    at, keys, least, most, index = _sample(plan, block)
-    shared = bits_of(rows, cuts(keys, plan.sample_bits, plan.sample_buckets)) | (least != most)
-    edge = np.zeros(block.n + 1, np.int32)
-    hit = at[shared[index]] if len(at) else at
-    np.add.at(edge, np.maximum(hit - plan.v + 1, block.starts[block.doc[hit]] if len(hit) else hit), 1)
-    np.add.at(edge, hit + 1, -1)
-    rel_end = np.repeat(block.starts + block.lens, block.lens)
-    return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (np.arange(block.n) + plan.length <= rel_end))
-
-
-def _rows(t: pa.Table) -> list[tuple[int, bytes]]:
-    return list(zip(t.column("bucket").to_pylist(), t.column("flags").to_pylist()))
-
-
-def _removed(plan: Plan, block: Block, at: np.ndarray, rows) -> np.ndarray:
-    """Mask of the block's bytes to remove."""
-    keys, least, _, index = block.ranked(at, plan.length, plan.suffix_bits)
-    earlier = bits_of(rows, cuts(keys, plan.suffix_bits, plan.suffix_buckets))
-    gone = earlier[index] | (least[index] < block.place[block.doc[at]]) if len(at) else np.zeros(0, bool)
-    edge = np.zeros(block.n + 1, np.int32)
-    np.add.at(edge, at[gone], 1)
-    np.add.at(edge, at[gone] + plan.length, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now and not at some later collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-class Blocks:
-    """The corpus as a table bucketed by block in the warehouse."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carried: list[str]):
-        self.spark = docs.sparkSession
-        self.name = f"tidemark_blocks_{uuid.uuid4().hex}"
-        text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
-        rest = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("struct<none:int>")
-        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), text.alias("text"), rest.alias("rest"))
-        self.total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-        number = max(1, -(-self.total // block_bytes))
-        block = F.pmod(F.xxhash64("own", F.octet_length("text")), F.lit(number)).cast("int")
-        n = max(1, min(parts_for(self.spark), number))
-        rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text", "rest")
-        rows.repartition(n, "block").write.option("compression", "zstd").bucketBy(n, "block").sortBy("block").saveAsTable(self.name)
-        del rows
-        _release(self.spark)
-        atexit.register(self.drop)
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def copies(self, length: int) -> DataFrame:
-        """Rows in the form of answers (bucket -1) that name the texts of ``length`` bytes a smaller id has too."""
-        rows = self.table().where(F.octet_length("text") >= length).select("block", "id", F.md5("text").alias("digest"))
-        least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
-        key = F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), F.unhex("digest"))
-        return rows.join(least, "digest").where("id > least").select("block", F.lit(-1).alias("bucket"), key.alias("flags")).distinct()
-
-    def drop(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
-def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket_keys: int, emit, schema: str, carried: list[str] | None = None) -> DataFrame:
-    """Run both steps and ``emit(block, rows, removed masks)`` for every block; rows and masks are in the block's order."""
-    blocks = Blocks(docs, id_col, text_col, block_bytes, carried or [])
-    plan, spark = Plan(length, blocks.total, bucket_keys), blocks.spark
-
-    def send_sample(key, t, copies):
-        block = _block(t, copies)
-        _, keys, _, _, _ = _sample(plan, block)
-        return plan.messages(key[0].as_py(), keys, None, None, plan.sample_bits, plan.sample_buckets)
-
-    def rank_sample(key, t):
-        numbers = t.column("block").to_pylist()
-        runs = [np.cumsum(unpacked(x), dtype=np.uint64) for x in t.column("keys").to_pylist()]
-        keys = np.sort(np.concatenate(runs))
-        shared = keys[1:][keys[1:] == keys[:-1]]
-        return _answers(key[0].as_py(), numbers, [_among(r, shared) for r in runs])
-
-    def send_suffixes(key, left, right):
-        block = _block(left, right)
-        at = _candidates(plan, block, _rows(right)) if block.n else np.zeros(0, np.int64)
-        keys, least, _, _ = block.ranked(at, plan.length, plan.suffix_bits)
-        return plan.messages(key[0].as_py(), keys, least, block.ids, plan.suffix_bits, plan.suffix_buckets)
-
-    def sort_bucket(key, t):
-        numbers = t.column("block").to_pylist()
-        runs = [np.cumsum(unpacked(x), dtype=np.uint64) for x in t.column("keys").to_pylist()]
-        owner = [np.cumsum(unpacked(i), dtype=np.uint64).view(np.int64)[unpacked(x).astype(np.int64)] for x, i in zip(t.column("least").to_pylist(), t.column("ids").to_pylist())]
-        keys, ids = np.concatenate(runs), np.concatenate(owner)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        least = np.minimum.reduceat(ids[order], first)
-        smaller = np.empty(len(k), bool)
-        smaller[order] = np.repeat(least, np.diff(np.append(first, len(k)))) < ids[order]
-        stops = np.cumsum([len(r) for r in runs])
-        return _answers(key[0].as_py(), numbers, np.split(smaller, stops[:-1]))
-
-    def finish(key, ranks, answers):
-        # answers of both steps come in one table, told apart by ``step``
-        block = _block(ranks, answers)
-        step = np.array(answers.column("step").to_pylist(), dtype=np.int64)
-        rows = _rows(answers)
-        first, second = ([r for r, s in zip(rows, step) if s == k] for k in (1, 2))
-        at = _candidates(plan, block, first) if block.n else np.zeros(0, np.int64)
-        mask = _removed(plan, block, at, second)
-        masks = [np.ones(len(t), bool) if c else mask[i : i + len(t)] for t, c, i in zip(block.whole, block.copy, block.starts.tolist())]
-        return emit(block, ranks.select(["own", "rest"]).take(pa.array(block.order)), masks)
-
-    t, slim = blocks.table(), blocks.table().select("block", "id", "text")
-    # a block's messages all go out; each bucket then is one group
-    copies = stored(blocks.copies(length), "copies")
-    sample = slim.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(send_sample, MESSAGE)
-    ranks = stored(sample.groupBy("bucket").applyInArrow(rank_sample, ANSWER), "ranks")
-    del sample
-    _release(spark)
-    suffixes = slim.groupBy("block").cogroup(ranks.unionByName(copies).groupBy("block")).applyInArrow(send_suffixes, MESSAGE)
-    ties = stored(suffixes.groupBy("bucket").applyInArrow(sort_bucket, ANSWER), "ties")
-    del suffixes
-    _release(spark)
-    both = copies.withColumn("step", F.lit(0)).unionByName(ranks.withColumn("step", F.lit(1))).unionByName(ties.withColumn("step", F.lit(2)))
-    return t.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
-
-
-def _among(run: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    if not len(shared):
-        return np.zeros(len(run), bool)
-    return shared[np.minimum(np.searchsorted(shared, run), len(shared) - 1)] == run
+        size = hi - lo + w - 1
+        h = np.full(size, np.uint64(shape.gram))
+        for off in _offsets(shape.gram):
+            h ^= words[lo + off : lo + off + size]
+            h *= _K1
+            h ^= h >> np.uint64(29)
+        off, cur = np.zeros(size, np.uint8), 1
+        while cur < w:
+            step = min(cur, w - cur)
+            right = h[step:] < h[:-step]
+            off = np.where(right, off[step:] + np.uint8(step), off[:-step])
+            h = np.where(right, h[step:], h[:-step])
+            cur += step
+        p, g = j + off[j], h[j]
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        found.append((p[first] + lo, g[first], j[first] + lo, np.diff(np.append(first, len(j)))))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    p, g, j, n = (np.concatenate(x) for x in zip(*found))
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))  # a gram's windows may go on in the next piece
+    return p[first], g[first], j[first], np.add.reduceat(n, first)
+
+
+def grams_of(block: Block, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a block's least grams, and whether two of its documents have each."""
+    _, g, j, _ = least_grams(block, shape)
+    if not len(g):
+        return g, np.zeros(0, bool)
+    place = block.place[block.docs(j)]
+    order = np.argsort(g, kind="stable")  # positions, and so places, ascend within a hash
+    k, place = g[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], place[first] != place[np.append(first[1:], len(k)) - 1]
+
+
+def snippets_of(block: Block, shape: Shape, shared: np.ndarray):
+    """Snippets of a block around the grams whose hashes are ``shared`` (sorted).
+
+    Returns the distinct ones (gram's hash, bytes, smallest id) and for each
+    occurrence its first window, its number of windows, the index of its snippet and
+    whether a smaller id of this block has the snippet too. A snippet's bytes are
+    those of its windows in their place around the gram, zero elsewhere, then where
+    its windows start and how many they are.
+    """
+    p, g, j, n = least_grams(block, shape)
+    hit = np.flatnonzero(_among(g, shared))
+    p, g, j, n = p[hit], g[hit], j[hit], n[hit]
+    rows = np.zeros((len(p), shape.width + 2), np.uint8)
+    around = np.lib.stride_tricks.sliding_window_view(block.data, shape.width)
+    rel = j - p + shape.starts - 1
+    column = np.arange(shape.width)
+    for lo in range(0, len(p), SNIPPETS):
+        at = slice(lo, lo + SNIPPETS)
+        a, z = rel[at, None], (rel + n - 1 + shape.length)[at, None]
+        rows[at, :-2] = around[p[at] - shape.starts + 1 + block.reach] * ((column >= a) & (column < z))
+    rows[:, -2], rows[:, -1] = rel, n
+    doc = block.docs(j)
+    kinds, first, index = np.unique(rows.view(f"V{shape.width + 2}").ravel(), return_index=True, return_inverse=True)
+    # documents are in the order of ids, so the first occurrence has the smallest
+    later = block.place[doc] != block.place[doc[first]][index]
+    return (g[first], rows[first], block.ids[doc[first]]), (j, n, index, later)
+
+
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+# --- buckets ----------------------------------------------------------------------------
+
+
+def _words(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes at each position, in the order of bytes."""
+    return np.ndarray((len(flat) - 7,), "<u8", buffer=flat, strides=(1,))[at].byteswap()
+
+
+def cover_ranks(flat: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, equal for equal strings, of the ``depth`` bytes at each position, by sorting these."""
+    keys = [_words(flat, at + off) for off in _offsets(depth)]
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(at), bool)
+    for k in keys:
+        s = k[order]
+        fresh[1:] |= s[1:] != s[:-1]
+    ranks = np.empty(len(at), np.int64)
+    ranks[order] = np.cumsum(fresh)
+    return ranks
+
+
+def suffix_leasts(rows: np.ndarray, group: np.ndarray, least: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id among the equal strings, row) of every suffix of the snippets, which are in rows' order.
+
+    Equal suffixes have the same gram in the same place, so they start in the same
+    column, and one shift takes all of them into the cover sample.
+    """
+    width, length = shape.width, shape.length
+    start, n = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    flat = np.concatenate([rows[:, :-2].ravel(), np.zeros(64, np.uint8)])
+    row = np.repeat(np.arange(len(rows)), n)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    at = row * width + column
+    ahead = at + shape.shift[column % shape.v]
+    sampled = np.zeros(len(rows) * width, bool)
+    sampled[ahead] = True
+    sampled = np.flatnonzero(sampled)
+    rank = np.zeros(len(rows) * width, np.int64)
+    rank[sampled] = cover_ranks(flat, sampled, shape.depth)
+    heads = [_words(flat, at + off) for off in range(0, int(shape.shift.max()), 8)]
+    tails = [_words(flat, at + length - off) for off in range(8 * -(-(shape.v - 1) // 8), 0, -8)]
+    keys = [group[row] * width + column, *heads, rank[ahead], *tails]
+    order = np.lexsort(keys[::-1])
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = False
+    for k in keys:
+        s = k[order]
+        fresh[1:] |= s[1:] != s[:-1]
+    first = np.flatnonzero(fresh)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(least[row][order], first), np.diff(np.append(first, len(at))))
+    return out, row
+
+
+_SETTLED = pa.schema([("g", pa.int64()), ("snip", pa.binary()), ("low", pa.int64()), ("leasts", pa.binary()), ("over", pa.bool_())])
+
+
+def _settle(g: np.ndarray, rows: np.ndarray, least: np.ndarray, shape: Shape):
+    """Batches of (g, snip, smallest id over its suffixes, ids of its suffixes or one for all) for whole grams, sorted by gram."""
+    if not len(g):
+        return
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.append(first, len(g)))
+    group = np.repeat(np.arange(len(first)), size)
+    low, leasts = least.copy(), [x.tobytes() for x in least]
+    many = np.flatnonzero((size > 1)[group])
+    if len(many):
+        # grams are whole in a bucket, which is sorted group by group of about SNIPPETS rows
+        held = group[many]
+        stops = np.flatnonzero(np.concatenate([held[1:] != held[:-1], [True]])) + 1
+        lo = 0
+        while lo < len(many):
+            hi = int(stops[min(np.searchsorted(stops, lo + SNIPPETS), len(stops) - 1)])
+            some = many[lo:hi]
+            got, row = suffix_leasts(rows[some], group[some], least[some], shape)
+            edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            low[some] = np.minimum.reduceat(got, edge)
+            for k, x, same in zip(some.tolist(), np.split(got, edge[1:]), (np.maximum.reduceat(got, edge) == low[some]).tolist()):
+                leasts[k] = x[:1].tobytes() if same else x.tobytes()
+            lo = hi
+    for lo in range(0, len(g), SNIPPETS):
+        at = slice(lo, lo + SNIPPETS)
+        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array([x.tobytes() for x in rows[at]], pa.binary()), pa.array(low[at]), pa.array(leasts[at], pa.binary()), pa.array(np.zeros(len(g[at]), bool))], schema=_SETTLED)
+
+
+def bucket_leasts(snippets: DataFrame, shape: Shape, bucket_rows: int) -> DataFrame:
+    """(g, snip, low, leasts) for each distinct snippet (g, snip, least)."""
+    width = shape.width + 2
+
+    def run(batches):
+        held: list[tuple] = []
+        rows_held, over = 0, None  # over: the gram that has proved too large
+
+        def flush(t):
+            g, rows, least = t
+            yield from _settle(g, rows, least, shape)
+
+        def beyond(t):
+            g, rows, least = t
+            for lo in range(0, len(g), SNIPPETS):
+                at = slice(lo, lo + SNIPPETS)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array([x.tobytes() for x in rows[at]], pa.binary()), pa.array(least[at]), pa.array([b""] * len(g[at]), pa.binary()), pa.array(np.ones(len(g[at]), bool))], schema=_SETTLED)
+
+        for b in batches:
+            t = (np.ascontiguousarray(b.column(0).to_numpy()).view(np.uint64), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, width), b.column(2).to_numpy())
+            if over is not None:
+                rest = int(np.argmax(t[0] != over)) if (t[0] != over).any() else len(t[0])
+                yield from beyond(tuple(x[:rest] for x in t))
+                t = tuple(x[rest:] for x in t)
+                if not len(t[0]):
+                    continue
+                over = None
+            held.append(t)
+            rows_held += len(t[0])
+            if rows_held < 2 * SNIPPETS and rows_held <= bucket_rows:
+                continue
+            t = tuple(np.concatenate(x) for x in zip(*held))
+            open_ = int(np.argmax(t[0] == t[0][-1]))  # the last gram may go on in the next batch
+            yield from divide(tuple(x[:open_] for x in t), flush, beyond)
+            t = tuple(x[open_:].copy() for x in t)
+            held, rows_held = [t], len(t[0])
+            if rows_held > bucket_rows:
+                over, held, rows_held = t[0][0], [], 0
+                yield from beyond(t)
+        if held:
+            yield from divide(tuple(np.concatenate(x) for x in zip(*held)), flush, beyond)
+
+    def divide(t, flush, beyond):
+        if not len(t[0]):
+            return
+        first = np.flatnonzero(np.concatenate([[True], t[0][1:] != t[0][:-1]]))
+        size = np.diff(np.append(first, len(t[0])))
+        large = np.repeat(size > bucket_rows, size)
+        if large.any():
+            yield from beyond(tuple(x[large] for x in t))
+        yield from flush(tuple(x[~large] for x in t))
+
+    dealt = snippets.repartition(parts_for(snippets.sparkSession), "g").sortWithinPartitions("g")
+    settled = stored(dealt.select("g", "snip", "least").mapInArrow(run, "g long, snip binary, low long, leasts binary, over boolean"), "settled")
+    large = settled.where("over")
+    if large.isEmpty():
+        return settled.drop("over")
+    return settled.where("not over").drop("over").unionByName(_one_by_one(large.select("g", "snip", F.col("low").alias("least")), shape))
+
+
+def _one_by_one(snippets: DataFrame, shape: Shape) -> DataFrame:
+    """The same as a bucket for grams with too many snippets: every suffix is a row, grouped by its bytes."""
+    width, length = shape.width, shape.length
+    number = lambda k: F.conv(F.hex(F.substring("snip", width + k, 1)), 16, 10).cast("int")
+    starts = F.sequence(number(1), number(1) + number(2) - 1)
+    rows = snippets.select("g", "snip", "least", F.explode(starts).alias("c")).withColumn("string", F.expr(f"substring(snip, c + 1, {length})"))
+    ids = stored(rows.groupBy("g", "c", "string").agg(F.min("least").alias("id")), "strings")
+    each = rows.drop("least").join(ids, ["g", "c", "string"]).groupBy("g", "snip").agg(F.array_sort(F.collect_list(F.struct("c", "id"))).alias("all"))
+
+    def run(batches):
+        for b in batches:
+            ids = [np.array([x["id"] for x in v], np.int64) for v in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(x.min()) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["g", "snip", "low", "leasts"])
+
+    return each.mapInArrow(run, "g long, snip binary, low long, leasts binary")
+
+
+# --- the whole --------------------------------------------------------------------------
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carried: list[str]) -> DataFrame:
+    """The corpus as a table bucketed by block: block, id, own, text, rest."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b""))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), text.alias("text"), rest.alias("rest"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    number = max(1, -(-total // block_bytes))
+    block = F.pmod(F.xxhash64("own", F.octet_length("text")), F.lit(number)).cast("int")
+    rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text", "rest")
+    return bucketed(rows, "blocks", "block", max(1, min(parts_for(docs.sparkSession), number)))
+
+
+def _runs(spots: pa.Table, answers: pa.Table, shape: Shape) -> pa.Table:
+    """(block, starts, stops) of the bytes to remove, from a block's occurrences and the ids that came back."""
+    number = spots.column("block")[0] if len(spots) else answers.column("block")[0]
+    j, n, index, later = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in spots.column(c).to_pylist())]) for c, kind in (("j", "<i8"), ("n", "u1"), ("index", "<i4"), ("later", "?")))
+    size = int(index.max(initial=-1)) + 1
+    # ids of all windows of a snippet, as far as something comes back for it
+    windows = np.zeros(size, np.int64)
+    windows[index] = n
+    base = np.cumsum(windows) - windows
+    gone = np.zeros(int(windows.sum()), bool)
+    for k, own, leasts in zip(answers.column("index").to_pylist(), answers.column("id").to_pylist(), answers.column("leasts").to_pylist()):
+        gone[base[k] : base[k] + windows[k]] = np.frombuffer(leasts, "<i8") < own
+    n = n.astype(np.int64)
+    each = np.repeat(np.arange(len(j)), n)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    hit = np.repeat(later, n)
+    if len(gone):
+        hit |= gone[base[index[each]] + step]
+    at = np.sort((j[each] + step)[hit])
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1])) if len(at) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    return pa.table({"block": pa.array([number.as_py()], pa.int32()), "starts": pa.array([at[first].astype("<i8").tobytes()], pa.binary()), "stops": pa.array([(at[last] + shape.length).astype("<i8").tobytes()], pa.binary())})
+
+
+def _masks(block: Block, runs: pa.Table) -> list[np.ndarray]:
+    """Removed bytes of each document; runs may overlap, within a document only."""
+    starts, stops = (np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in runs.column(c).to_pylist())]) for c in ("starts", "stops"))
+    # runs of neighbouring documents may touch, but a document's own bytes are counted in its own mask
+    mask = np.zeros(block.n, bool)
+    for a, z in zip(starts.tolist(), stops.tolist()):
+        mask[a:z] = True
+    return [mask[s : s + k] for s, k in zip(block.starts.tolist(), block.lens.tolist())]
+
+
+def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket_rows: int, emit, schema: str, carried: list[str] | None = None) -> DataFrame:
+    """``emit(block, rows, removed masks)`` for every block; rows and masks are in the block's order."""
+    shape = Shape(length)
+    table_ = blocks_of(docs, id_col, text_col, block_bytes, carried or [])
+    slim = table_.select("block", "id", "text")
+
+    def block_of(t: pa.Table) -> Block:
+        return Block(t.column("id").to_numpy(), t.column("text").to_pylist(), shape.starts)
+
+    def grams(key, t):
+        g, several = grams_of(block_of(t), shape)
+        return pa.table({"g": pa.array(g.view(np.int64)), "block": pa.array(np.full(len(g), key[0].as_py(), np.int32)), "several": pa.array(several)})
+
+    rows = slim.groupBy("block").applyInArrow(grams, "g long, block int, several boolean")
+    # one row for each gram and block: a gram that all documents have is as many rows as there are blocks
+    counted = rows.repartition(parts_for(docs.sparkSession), "g").selectExpr("g", "block", "count(1) over (partition by g) > 1 or max(several) over (partition by g) as shared")
+    shared = stored(counted.where("shared").select("g", "block"), "grams")
+
+    def spots(key, t, hits):
+        if not len(hits) or not len(t):
+            return _SPOTS.empty_table()
+        (g, snips, ids), (j, n, index, later) = snippets_of(block_of(t), shape, np.sort(hits.column("g").to_numpy().view(np.uint64)))
+        values = [g.tobytes(), snips.tobytes(), ids.astype("<i8").tobytes(), j.astype("<i8").tobytes(), n.astype("u1").tobytes(), index.astype("<i4").tobytes(), later.tobytes()]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], schema=_SPOTS)
+
+    held = stored(slim.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spots, "block int, " + ", ".join(f"{c} binary" for c in _SPOTS.names[1:])), "spots")
+    width = shape.width + 2
+
+    def unfold(batches):
+        for b in batches:
+            for number, g, snips, ids in zip(*(b.column(k).to_pylist() for k in range(4))):
+                g, ids = np.frombuffer(g, "<i8"), np.frombuffer(ids, "<i8")
+                for lo in range(0, len(g), SNIPPETS):
+                    hi = min(lo + SNIPPETS, len(g))
+                    parts = [snips[k * width : (k + 1) * width] for k in range(lo, hi)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number, np.int32)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(ids[lo:hi]), pa.array(g[lo:hi]), pa.array(parts, pa.binary())], ["block", "index", "id", "g", "snip"])
+
+    each = held.select("block", "g", "snips", "ids").mapInArrow(unfold, "block int, index int, id long, g long, snip binary")
+    kinds = stored(each.groupBy("g", "snip").agg(F.min("id").alias("least")), "snippets")
+    settled = bucket_leasts(kinds, shape, bucket_rows)
+    answers = stored(each.join(settled, ["g", "snip"]).where("low < id").select("block", "index", "id", "leasts"), "answers")
+    runs = held.select("block", "j", "n", "index", "later").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _runs(a, b, shape), "block int, starts binary, stops binary")
+    runs = stored(runs, "runs")
+
+    def finish(t, r):
+        block = block_of(t)
+        return emit(block, t.select(["own", "rest"]).take(pa.array(block.order)), _masks(block, r))
+
+    return table_.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, schema)
+
+
+_SPOTS = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("g", "snips", "ids", "j", "n", "index", "later"))])
 
 
 def _spans(mask: np.ndarray) -> int:
     return int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if len(mask) else 0
 
 
-def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_keys: int = 3_000_000) -> DataFrame:
+def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 50_000) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def emit(block: Block, rows: pa.Table, masks: list[np.ndarray]) -> pa.Table:
         removed, spans, digest = [], [], []
-        for text, m in zip(block.whole, masks):
+        for text, m in zip(block.texts, masks):
             n = int(np.count_nonzero(m))
             removed.append(n)
             spans.append(_spans(m) if n else 0)
             digest.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~m].tobytes() if n else text).hexdigest())
-        return pa.table({"doc_id": rows.column("own"), "n_bytes": pa.array(map(len, block.whole), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+        return pa.table({"doc_id": rows.column("own"), "n_bytes": pa.array(map(len, block.texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
-    return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_keys, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_rows, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_keys: int = 3_000_000) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 50_000) -> DataFrame:
     """``docs`` with what is left of each text; all other columns as they are.
 
     A character of which only some bytes are covered is kept whole, so that the
@@ -364,7 +482,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def emit(block: Block, rows: pa.Table, masks: list[np.ndarray]) -> pa.Table:
         left = []
-        for text, m in zip(block.whole, masks):
+        for text, m in zip(block.texts, masks):
             if m.any():
                 raw = np.frombuffer(text, np.uint8)
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -378,7 +496,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rest = ", ".join(f"`{n}`: {k}" for n, k in kinds)
     carried = [n for n, _ in kinds]
     flagged = docs.withColumn("__null", F.col(f"`{text_col}`").isNull())
-    out = _remove_map(flagged, id_col, text_col, length, block_bytes, bucket_keys, emit, f"rest struct<{rest}, `__null`: boolean>, left string", [*carried, "__null"])
+    out = _remove_map(flagged, id_col, text_col, length, block_bytes, bucket_rows, emit, f"rest struct<{rest}, `__null`: boolean>, left string", [*carried, "__null"])
     text = F.when(~F.col("rest.__null"), F.col("left"))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
