@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: dict[int, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,7 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = _path(spark, name)
     with shuffles_end_here(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` returned, once all that reads it is stored itself."""
+    path = _path_of.pop(id(df))
+    _unlink(df.sparkSession, path)
+    _written[:] = [x for x in _written if x[1] != path]
 
 
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:

@@ -8,8 +8,7 @@ document with a smaller id. Suffixes matter up to that depth only.
    whose least gram occurs in one document only has no equal. Grams are compared by
    hash here; that can let a window pass in vain, and never drops one.
 2. Buckets. What is left is dealt by that gram. Windows with the same gram are
-   neighbours and travel as one snippet of text; a snippet that many blocks hold
-   is one row. A bucket is worked on by itself: its cover sample (positions whose
+   neighbours and travel as one snippet of text, each once from a block. A bucket is worked on by itself: its cover sample (positions whose
    remainder lies in a difference cover, with strings of ``length - v + 1`` bytes)
    is ranked by bytes, then suffixes are sorted by their first eight bytes, and ties
    that last longer are resolved by the rank of the first sampled position after
@@ -20,8 +19,8 @@ document with a smaller id. Suffixes matter up to that depth only.
 Documents are held in blocks, a table bucketed by block that is read in place in
 each step. A block sends a row for each of its distinct grams, so the rows grow in
 proportion to the text, and a string that all documents share is one row a block.
-A gram with more than ``bucket_rows`` different snippets is taken out of its bucket
-and its suffixes are grouped one by one (``_one_by_one``) with the same result.
+A gram with more than ``bucket_rows`` snippets is taken out of its bucket and its
+suffixes are grouped one by one (``_one_by_one``), with the same result.
 
 Defined cases: a null text is empty; a text shorter than ``length`` keeps all; a
 text longer than a block is a block of its own size and is scanned in pieces; rows
@@ -40,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucketed, parts_for, stored, table
+from tidemark.llm.common import bucketed, discard, parts_for, stored, table
 
 #: Perfect difference sets by modulus: every remainder is the difference of one pair.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (0, 1, 3, 8, 12, 18)}
@@ -242,112 +241,111 @@ def suffix_leasts(rows: np.ndarray, group: np.ndarray, least: np.ndarray, shape:
     return out, row
 
 
-_SETTLED = pa.schema([("g", pa.int64()), ("snip", pa.binary()), ("low", pa.int64()), ("leasts", pa.binary()), ("over", pa.bool_())])
+_ANSWER = pa.schema([("block", pa.int32()), ("index", pa.int32()), ("id", pa.int64()), ("leasts", pa.binary()), ("g", pa.int64()), ("snip", pa.binary())])
+_ANSWER_SQL = "block int, index int, id long, leasts binary, g long, snip binary"
+_EACH = ("block", "index", "id", "g", "snip")
 
 
-def _settle(g: np.ndarray, rows: np.ndarray, least: np.ndarray, shape: Shape):
-    """Batches of (g, snip, smallest id over its suffixes, ids of its suffixes or one for all) for whole grams, sorted by gram."""
+def _settled(t: tuple, shape: Shape):
+    """Answers to the occurrences (block, index, id, gram, snippet) of whole grams, sorted by gram: ids of all suffixes, where one is smaller."""
+    block, index, ids, g, rows = t
     if not len(g):
         return
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    size = np.diff(np.append(first, len(g)))
-    group = np.repeat(np.arange(len(first)), size)
-    low, leasts = least.copy(), [x.tobytes() for x in least]
-    many = np.flatnonzero((size > 1)[group])
-    if len(many):
-        # grams are whole in a bucket, which is sorted group by group of about SNIPPETS rows
-        held = group[many]
-        stops = np.flatnonzero(np.concatenate([held[1:] != held[:-1], [True]])) + 1
-        lo = 0
-        while lo < len(many):
-            hi = int(stops[min(np.searchsorted(stops, lo + SNIPPETS), len(stops) - 1)])
-            some = many[lo:hi]
-            got, row = suffix_leasts(rows[some], group[some], least[some], shape)
-            edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            low[some] = np.minimum.reduceat(got, edge)
-            for k, x, same in zip(some.tolist(), np.split(got, edge[1:]), (np.maximum.reduceat(got, edge) == low[some]).tolist()):
-                leasts[k] = x[:1].tobytes() if same else x.tobytes()
-            lo = hi
-    for lo in range(0, len(g), SNIPPETS):
-        at = slice(lo, lo + SNIPPETS)
-        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array([x.tobytes() for x in rows[at]], pa.binary()), pa.array(low[at]), pa.array(leasts[at], pa.binary()), pa.array(np.zeros(len(g[at]), bool))], schema=_SETTLED)
-
-
-def bucket_leasts(snippets: DataFrame, shape: Shape, bucket_rows: int) -> DataFrame:
-    """(g, snip, low, leasts) for each distinct snippet (g, snip, least)."""
+    kinds, first, kind = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(kinds), NO_ID, np.int64)
+    np.minimum.at(least, kind, ids)
+    group = np.unique(g[first], return_inverse=True)[1]
+    low, leasts = least.copy(), least.astype("<i8").view("V8").tolist()
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    if len(several):
+        some = several[np.argsort(group[several], kind="stable")]
+        got, row = suffix_leasts(rows[first[some]], group[some], least[some], shape)
+        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        low[some] = np.minimum.reduceat(got, edge)
+        mixed = np.maximum.reduceat(got, edge) != low[some]
+        data, stop = got.astype("<i8").tobytes(), np.append(edge[1:], len(got))
+        for k, a, z, each in zip(some.tolist(), (edge * 8).tolist(), (stop * 8).tolist(), mixed.tolist()):
+            leasts[k] = data[a:z] if each else data[a : a + 8]
+    hit = np.flatnonzero(low[kind] < ids)
+    values = [leasts[k] for k in kind[hit].tolist()]
+    none = pa.nulls(len(hit))
+    yield pa.RecordBatch.from_arrays([pa.array(block[hit]), pa.array(index[hit]), pa.array(ids[hit]), pa.array(values, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=_ANSWER)
+
+
+def bucket_answers(each: DataFrame, shape: Shape, bucket_rows: int) -> DataFrame:
+    """(block, index, id, leasts): for each occurrence of a snippet the smallest ids of its suffixes, or one for all of them."""
     width = shape.width + 2
 
-    def run(batches):
-        held: list[tuple] = []
-        rows_held, over = 0, None  # over: the gram that has proved too large
-
-        def flush(t):
-            g, rows, least = t
-            yield from _settle(g, rows, least, shape)
-
-        def beyond(t):
-            g, rows, least = t
-            for lo in range(0, len(g), SNIPPETS):
-                at = slice(lo, lo + SNIPPETS)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array([x.tobytes() for x in rows[at]], pa.binary()), pa.array(least[at]), pa.array([b""] * len(g[at]), pa.binary()), pa.array(np.ones(len(g[at]), bool))], schema=_SETTLED)
+    def passed(t: tuple):
+        """Occurrences of a gram with too many of them, as they are."""
+        block, index, ids, g, rows = t
+        for lo in range(0, len(g), SNIPPETS):
+            at = slice(lo, lo + SNIPPETS)
+            n = len(g[at])
+            yield pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(index[at]), pa.array(ids[at]), pa.nulls(n).cast(pa.binary()), pa.array(g[at]), pa.array([x.tobytes() for x in rows[at]], pa.binary())], schema=_ANSWER)
+
+    def divided(t: tuple):
+        g = t[3]
+        if not len(g):
+            return
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(np.append(first, len(g)))
+        large = np.repeat(size > bucket_rows, size)
+        if large.any():
+            yield from passed(tuple(x[large] for x in t))
+        yield from _settled(tuple(x[~large] for x in t), shape)
 
+    def run(batches):
+        held, rows, large = [], 0, None
         for b in batches:
-            t = (np.ascontiguousarray(b.column(0).to_numpy()).view(np.uint64), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, width), b.column(2).to_numpy())
-            if over is not None:
-                rest = int(np.argmax(t[0] != over)) if (t[0] != over).any() else len(t[0])
-                yield from beyond(tuple(x[:rest] for x in t))
-                t = tuple(x[rest:] for x in t)
-                if not len(t[0]):
+            t = (*(b.column(k).to_numpy() for k in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, width))
+            if large is not None:  # a gram that has proved too large goes on
+                others = np.flatnonzero(t[3] != large)
+                n = int(others[0]) if len(others) else len(t[3])
+                yield from passed(tuple(x[:n] for x in t))
+                t = tuple(x[n:] for x in t)
+                if not len(t[3]):
                     continue
-                over = None
+                large = None
             held.append(t)
-            rows_held += len(t[0])
-            if rows_held < 2 * SNIPPETS and rows_held <= bucket_rows:
+            rows += len(t[3])
+            if rows < SNIPPETS and rows <= bucket_rows:
                 continue
             t = tuple(np.concatenate(x) for x in zip(*held))
-            open_ = int(np.argmax(t[0] == t[0][-1]))  # the last gram may go on in the next batch
-            yield from divide(tuple(x[:open_] for x in t), flush, beyond)
+            open_ = int(np.argmax(t[3] == t[3][-1]))  # the last gram may go on in the next batch
+            yield from divided(tuple(x[:open_] for x in t))
             t = tuple(x[open_:].copy() for x in t)
-            held, rows_held = [t], len(t[0])
-            if rows_held > bucket_rows:
-                over, held, rows_held = t[0][0], [], 0
-                yield from beyond(t)
+            held, rows = [t], len(t[3])
+            if rows > bucket_rows:
+                large, held, rows = t[3][0], [], 0
+                yield from passed(t)
         if held:
-            yield from divide(tuple(np.concatenate(x) for x in zip(*held)), flush, beyond)
-
-    def divide(t, flush, beyond):
-        if not len(t[0]):
-            return
-        first = np.flatnonzero(np.concatenate([[True], t[0][1:] != t[0][:-1]]))
-        size = np.diff(np.append(first, len(t[0])))
-        large = np.repeat(size > bucket_rows, size)
-        if large.any():
-            yield from beyond(tuple(x[large] for x in t))
-        yield from flush(tuple(x[~large] for x in t))
+            yield from divided(tuple(np.concatenate(x) for x in zip(*held)))
 
-    dealt = snippets.repartition(parts_for(snippets.sparkSession), "g").sortWithinPartitions("g")
-    settled = stored(dealt.select("g", "snip", "least").mapInArrow(run, "g long, snip binary, low long, leasts binary, over boolean"), "settled")
-    large = settled.where("over")
+    dealt = each.select(*_EACH).repartition(parts_for(each.sparkSession), "g").sortWithinPartitions("g")
+    answers = stored(dealt.mapInArrow(run, _ANSWER_SQL), "answers")
+    small, large = answers.where("leasts is not null").select("block", "index", "id", "leasts"), answers.where("leasts is null").select(*_EACH)
     if large.isEmpty():
-        return settled.drop("over")
-    return settled.where("not over").drop("over").unionByName(_one_by_one(large.select("g", "snip", F.col("low").alias("least")), shape))
+        return small
+    return small.unionByName(stored(_one_by_one(large, shape), "large"))
 
 
-def _one_by_one(snippets: DataFrame, shape: Shape) -> DataFrame:
-    """The same as a bucket for grams with too many snippets: every suffix is a row, grouped by its bytes."""
+def _one_by_one(each: DataFrame, shape: Shape) -> DataFrame:
+    """The same as a bucket for grams with too many occurrences: suffixes of distinct snippets are rows, grouped by their bytes."""
     width, length = shape.width, shape.length
+    kinds = stored(each.groupBy("g", "snip").agg(F.min("id").alias("least")), "snippets")
     number = lambda k: F.conv(F.hex(F.substring("snip", width + k, 1)), 16, 10).cast("int")
-    starts = F.sequence(number(1), number(1) + number(2) - 1)
-    rows = snippets.select("g", "snip", "least", F.explode(starts).alias("c")).withColumn("string", F.expr(f"substring(snip, c + 1, {length})"))
-    ids = stored(rows.groupBy("g", "c", "string").agg(F.min("least").alias("id")), "strings")
-    each = rows.drop("least").join(ids, ["g", "c", "string"]).groupBy("g", "snip").agg(F.array_sort(F.collect_list(F.struct("c", "id"))).alias("all"))
+    rows = kinds.select("g", "snip", "least", F.explode(F.sequence(number(1), number(1) + number(2) - 1)).alias("c")).withColumn("string", F.expr(f"substring(snip, c + 1, {length})"))
+    ids = rows.groupBy("g", "c", "string").agg(F.min("least").alias("smallest"))
+    all_ = rows.join(ids, ["g", "c", "string"]).groupBy("g", "snip").agg(F.array_sort(F.collect_list(F.struct("c", "smallest"))).alias("ids"))
 
     def run(batches):
         for b in batches:
-            ids = [np.array([x["id"] for x in v], np.int64) for v in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(x.min()) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["g", "snip", "low", "leasts"])
+            leasts = [np.array([x["smallest"] for x in v], "<i8").tobytes() for v in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(leasts, pa.binary())], ["block", "index", "id", "leasts"])
 
-    return each.mapInArrow(run, "g long, snip binary, low long, leasts binary")
+    met = each.join(all_, ["g", "snip"]).where(F.array_min(F.col("ids.smallest")) < F.col("id"))
+    return met.select("block", "index", "id", "ids").mapInArrow(run, "block int, index int, id long, leasts binary")
 
 
 # --- the whole --------------------------------------------------------------------------
@@ -425,6 +423,7 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], schema=_SPOTS)
 
     held = stored(slim.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spots, "block int, " + ", ".join(f"{c} binary" for c in _SPOTS.names[1:])), "spots")
+    discard(shared)
     width = shape.width + 2
 
     def unfold(batches):
@@ -437,11 +436,10 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number, np.int32)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(ids[lo:hi]), pa.array(g[lo:hi]), pa.array(parts, pa.binary())], ["block", "index", "id", "g", "snip"])
 
     each = held.select("block", "g", "snips", "ids").mapInArrow(unfold, "block int, index int, id long, g long, snip binary")
-    kinds = stored(each.groupBy("g", "snip").agg(F.min("id").alias("least")), "snippets")
-    settled = bucket_leasts(kinds, shape, bucket_rows)
-    answers = stored(each.join(settled, ["g", "snip"]).where("low < id").select("block", "index", "id", "leasts"), "answers")
+    answers = bucket_answers(each, shape, bucket_rows)
     runs = held.select("block", "j", "n", "index", "later").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _runs(a, b, shape), "block int, starts binary, stops binary")
     runs = stored(runs, "runs")
+    discard(held)
 
     def finish(t, r):
         block = block_of(t)
