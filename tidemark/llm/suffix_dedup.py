@@ -47,6 +47,8 @@ NO_ID = (1 << 63) - 1
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 #: Positions scanned at a time, and snippets whose suffixes are in memory at a time.
 PIECE, SNIPPETS = 1 << 16, 1 << 14
+#: Snippets of a row in which a block keeps them.
+PACK = 1024
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -419,23 +421,23 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
         if not len(hits) or not len(t):
             return _SPOTS.empty_table()
         (g, snips, ids), (j, n, index, later) = snippets_of(block_of(t), shape, np.sort(hits.column("g").to_numpy().view(np.uint64)))
-        values = [g.tobytes(), snips.tobytes(), ids.astype("<i8").tobytes(), j.astype("<i8").tobytes(), n.astype("u1").tobytes(), index.astype("<i4").tobytes(), later.tobytes()]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], schema=_SPOTS)
+        values = [g, snips, ids.astype("<i8"), j.astype("<i8"), n.astype("u1"), index.astype("<i4"), later]
+        at = range(0, len(j), PACK)  # no more snippets than occurrences
+        packs = [pa.array([v[k : k + PACK].tobytes() for k in at], pa.binary()) for v in values]
+        return pa.table([pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array(list(at), pa.int32()), *packs], schema=_SPOTS)
 
-    held = stored(slim.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spots, "block int, " + ", ".join(f"{c} binary" for c in _SPOTS.names[1:])), "spots")
+    held = stored(slim.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spots, "block int, base int, " + ", ".join(f"{c} binary" for c in _SPOTS.names[2:])), "spots")
     discard(shared)
     width = shape.width + 2
 
     def unfold(batches):
         for b in batches:
-            for number, g, snips, ids in zip(*(b.column(k).to_pylist() for k in range(4))):
-                g, ids = np.frombuffer(g, "<i8"), np.frombuffer(ids, "<i8")
-                for lo in range(0, len(g), SNIPPETS):
-                    hi = min(lo + SNIPPETS, len(g))
-                    parts = [snips[k * width : (k + 1) * width] for k in range(lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number, np.int32)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(ids[lo:hi]), pa.array(g[lo:hi]), pa.array(parts, pa.binary())], ["block", "index", "id", "g", "snip"])
-
-    each = held.select("block", "g", "snips", "ids").mapInArrow(unfold, "block int, index int, id long, g long, snip binary")
+            for block, base, g, snips, ids in zip(*(b.column(k).to_pylist() for k in range(5))):
+                n = len(ids) // 8
+                parts = np.frombuffer(snips, f"V{width}").tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(base, base + n, dtype=np.int32)), pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(g, "<i8")), pa.array(parts, pa.binary())], list(_EACH))
+
+    each = held.select("block", "base", "g", "snips", "ids").mapInArrow(unfold, "block int, index int, id long, g long, snip binary")
     answers = bucket_answers(each, shape, bucket_rows)
     runs = held.select("block", "j", "n", "index", "later").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _runs(a, b, shape), "block int, starts binary, stops binary")
     runs = stored(runs, "runs")
@@ -448,7 +450,7 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
     return table_.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, schema)
 
 
-_SPOTS = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("g", "snips", "ids", "j", "n", "index", "later"))])
+_SPOTS = pa.schema([("block", pa.int32()), ("base", pa.int32()), *((c, pa.binary()) for c in ("g", "snips", "ids", "j", "n", "index", "later"))])
 
 
 def _spans(mask: np.ndarray) -> int:
