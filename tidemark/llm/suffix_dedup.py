@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucketed, discard, parts_for, stored, table
+from tidemark.llm.common import bucketed, parts_for, stored, table
 
 #: Perfect difference sets by modulus: every remainder is the difference of one pair.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (0, 1, 3, 8, 12, 18)}
@@ -362,7 +362,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, car
     number = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("own", F.octet_length("text")), F.lit(number)).cast("int")
     rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text", "rest")
-    return bucketed(rows, "blocks", "block", max(1, min(parts_for(docs.sparkSession), number)))
+    return bucketed(rows, "blocks", "block", max(1, min(parts_for(docs.sparkSession), -(-number // 8))))
 
 
 def _runs(spots: pa.Table, answers: pa.Table, shape: Shape) -> pa.Table:
@@ -415,7 +415,7 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
     rows = slim.groupBy("block").applyInArrow(grams, "g long, block int, several boolean")
     # one row for each gram and block: a gram that all documents have is as many rows as there are blocks
     counted = rows.repartition(parts_for(docs.sparkSession), "g").selectExpr("g", "block", "count(1) over (partition by g) > 1 or max(several) over (partition by g) as shared")
-    shared = stored(counted.where("shared").select("g", "block"), "grams")
+    shared = counted.where("shared").select("g", "block")
 
     def spots(key, t, hits):
         if not len(hits) or not len(t):
@@ -427,7 +427,6 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
         return pa.table([pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array(list(at), pa.int32()), *packs], schema=_SPOTS)
 
     held = stored(slim.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spots, "block int, base int, " + ", ".join(f"{c} binary" for c in _SPOTS.names[2:])), "spots")
-    discard(shared)
     width = shape.width + 2
 
     def unfold(batches):
@@ -440,8 +439,6 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
     each = held.select("block", "base", "g", "snips", "ids").mapInArrow(unfold, "block int, index int, id long, g long, snip binary")
     answers = bucket_answers(each, shape, bucket_rows)
     runs = held.select("block", "j", "n", "index", "later").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _runs(a, b, shape), "block int, starts binary, stops binary")
-    runs = stored(runs, "runs")
-    discard(held)
 
     def finish(t, r):
         block = block_of(t)
