@@ -66,7 +66,7 @@ class Shape:
         self.length = length
         self.v, self.cover = cover_for(length)
         self.depth = length - self.v + 1
-        self.gram = max(8, min(24, length // 2), length - 127)
+        self.gram = max(8, min(20, length * 2 // 5), length - 127)
         #: Starts of grams in a window, and so the most windows that share a gram.
         self.starts = length - self.gram + 1
         #: Bytes around a gram that its windows can reach.
