@@ -258,13 +258,23 @@ def test_embeddings(spark):
                 g.join(rows[i][0], rows[j][0])
     want = sorted((rows[k][0], n[k], g.find(rows[k][0]) if k in ok else rows[k][0]) for k in range(len(rows)))
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, unit string")
-    for slab in (8000, 20):
-        got = embed_join.near_groups(df, slab_rows=slab).collect()
+    for rows_ in (8000, 20, 3):
+        got = embed_join.near_groups(df, piece_rows=rows_).collect()
         assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert embed_join.near_groups(df.limit(0)).count() == 0
 
 
+def test_what_a_task_of_the_join_receives(spark):
+    rng = np.random.default_rng(3)
+    for n in (400, 4000):
+        # a third of all vectors in one place
+        x = np.where(np.arange(n)[:, None] % 3 == 0, np.ones(32) + rng.normal(size=(n, 32)) * 1e-3, rng.normal(size=(n, 32)))
+        reps = spark.createDataFrame([(i, v.astype(np.float32).tobytes()) for i, v in enumerate(x)], "id long, raw binary")
+        tasks = embed_join.dealt(embed_join.spots(reps, 32, least=0.95, cell_rows=50), 50)
+        assert tasks.groupBy("k", "cell", "i", "j").count().agg({"count": "max"}).first()[0] <= 2 * 50 * 1.6
+
+
 def brute_removed(rows, length):
     first = {}
     for i, t in rows:

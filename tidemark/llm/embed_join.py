@@ -7,22 +7,23 @@ within the share in at least one block, so the union of the blocks' range joins
 holds every pair; candidates are verified by their exact cosine. A pair that
 several blocks find counts in the first of them.
 
-A block's range join is a band join on its first coordinate: slabs own their
-vectors and see those at most one radius below. Slabs are cut at quantiles and
-split further by hash where they hold too many vectors. Tasks return sums and a
-spanning set of links, never all pairs of a group.
+A block's range join works on a grid over the block's coordinates, cut at
+quantiles. A vector is owned by its cell and visits the later cells that its ball
+meets. What a task receives is bounded, not only what a cell owns: a cell's own
+vectors and its visitors are dealt into pieces of about ``piece_rows``, and a task
+compares two pieces. Tasks return sums and a spanning set of links, never all pairs
+of a group.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, not even with each other; vectors of different
 length don't link; equal vectors are compared once, with their count; repeated
-ids are vectors of their own; an empty table gives no rows; extra columns are
-ignored. Cosines are in double precision.
+ids are vectors of their own; long vectors get more blocks; an empty table gives no
+rows; extra columns are ignored, whatever their names. Cosines are in double
+precision.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ from tidemark.llm.common import bounded_rows, stored, table
 from tidemark.llm.components import components, union
 
 SLACK = 1e-9
-WIDTH = 8
+#: Dimensions of a block. By chance a pair of isotropic vectors of 64 dimensions passes a block of 8 with 6e-5 and one of 16 with 1e-8.
+WIDTH = 16
 
 
 def rotation(dim: int, seed: int = 9) -> np.ndarray:
@@ -46,39 +48,44 @@ def split(dim: int) -> list[slice]:
     return [slice(int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
 
 
-def usable(v: list | None) -> np.ndarray | None:
-    """The vector in double precision, or None if it links with nothing."""
-    if not v or any(x is None for x in v):
-        return None
-    x = np.array(v, dtype=np.float64) + 0.0
-    top = np.abs(x).max()
-    return x if np.isfinite(top) and np.isfinite(x).all() and top > 0 else None
+def shares(dim: int, least: float) -> np.ndarray:
+    """Each block's share of the squared distance."""
+    return np.array([(2.0 - 2.0 * least + SLACK) * (s.stop - s.start) / dim for s in split(dim)])
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max()
-    return x / np.sqrt((x * x).sum())
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows of any length but zero as unit vectors in double precision."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def directions(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, key, dim, unit): key is a digest of the vector, null if it links with nothing; unit holds doubles."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+def raw_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, raw): the vector's bytes, as float if the column is of floats and else as double; null if it links with nothing."""
+    element = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = np.float32 if element == "float" else np.float64
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast(f"array<{'float' if kind is np.float32 else 'double'}>").alias("v"))
 
     def run(batches):
         for b in batches:
-            keys, dims, units = [], [], []
-            for v in b.column(1).to_pylist():
-                x = usable(v)
-                keys.append(None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                dims.append(None if x is None else len(x))
-                units.append(None if x is None else unit(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["id", "key", "dim", "unit"])
+            v = b.column(1)
+            flat = v.flatten()  # without what null rows hold
+            x = flat.to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # no negative zero; nulls are NaN
+            size = np.where(v.is_valid().to_numpy(zero_copy_only=False), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            stop = np.cumsum(size)
+            sums = lambda flags: (c := np.concatenate([[0], np.cumsum(flags)]))[stop] - c[stop - size]
+            good = (sums(~np.isfinite(x)) == 0) & (sums(x != 0) > 0)
+            data = x.tobytes()
+            width = np.dtype(kind).itemsize
+            raw = [data[(z - n) * width : z * width] if g else None for z, n, g in zip(stop.tolist(), size.tolist(), good.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "raw"])
 
-    return rows.mapInArrow(run, "id long, key binary, dim int, unit binary")
+    return rows.mapInArrow(run, "id long, raw binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.float32 if len(data) == 4 * dim * len(column) else np.float64).reshape(-1, dim)
 
 
 def block_distance(x: np.ndarray, y: np.ndarray, blocks: list[slice]) -> np.ndarray:
@@ -88,102 +95,125 @@ def block_distance(x: np.ndarray, y: np.ndarray, blocks: list[slice]) -> np.ndar
     return np.stack([d[:, s].sum(1) for s in blocks], axis=1)
 
 
-def join_slab(ids: np.ndarray, counts: np.ndarray, own: np.ndarray, units: np.ndarray, turned: np.ndarray, block: int, least: float, chunk: int = 256):
-    """Verified pairs of an own vector with one before it in the slab's order, chunk by chunk."""
-    dim = units.shape[1]
-    blocks = split(dim)
-    whole = 2.0 - 2.0 * least + SLACK
-    share = np.array([whole * (s.stop - s.start) / dim for s in blocks])
-    sub = turned[:, blocks[block]]
-    order = np.lexsort((ids, sub[:, 0]))
-    ids, counts, own, units, turned, sub = (a[order] for a in (ids, counts, own, units, turned, sub))
-    first, radius, small = sub[:, 0], np.sqrt(share[block]), sub.astype(np.float32)
-    norm = (small * small).sum(1)
-    mine = np.flatnonzero(own)
-    for lo in range(0, len(mine), chunk):
-        rows = mine[lo : lo + chunk]
-        start, stop = int(np.searchsorted(first, first[rows[0]] - radius - 1e-9)), int(rows[-1])
-        if stop <= start:
-            continue
-        d = norm[rows][:, None] + norm[None, start:stop] - 2.0 * (small[rows] @ small[start:stop].T)
-        a, b = np.nonzero(d <= share[block] + 1e-5)
-        a, b = rows[a], b + start
-        ok = b < a
-        a, b = a[ok], b[ok]
-        for at in range(0, len(a), 100_000):
-            i, j = a[at : at + 100_000], b[at : at + 100_000]
-            dist = block_distance(turned[i], turned[j], blocks)
-            near = dist <= share
-            here = near[:, block] & ~near[:, :block].any(1)
-            i, j = i[here], j[here]
-            linked = np.einsum("ij,ij->i", units[i], units[j]) >= least
-            yield ids[i[linked]], ids[j[linked]], counts[i[linked]], counts[j[linked]]
-
-
-def near_sums(reps: DataFrame, dim: int, *, least: float, slab_rows: int) -> DataFrame:
-    """(a, b, n): n linked vectors of rep a where b is null, else a link of a spanning set."""
-    spark = reps.sparkSession
-    blocks = split(dim)
-    turn = rotation(dim)
-    radius = [float(np.sqrt((2.0 - 2.0 * least + SLACK) * (s.stop - s.start) / dim)) for s in blocks]
+# --- cells ------------------------------------------------------------------------------
+
+
+def cell_bits(n: int, cell_rows: int, width: int) -> list[int]:
+    """How often each coordinate of a block is halved, so that cells own about ``cell_rows`` of ``n`` vectors."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / cell_rows))))
+    return [bits // width + (c < bits % width) for c in range(width)]
 
-    def firsts(batches):
-        for b in batches:
-            u = _matrix(b.column(0), dim) @ turn
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, s.start]) for s in blocks], [f"c{k}" for k in range(len(blocks))])
 
-    firsts_ = reps.select("unit").mapInArrow(firsts, ", ".join(f"c{k} double" for k in range(len(blocks))))
+def cells_met(x: np.ndarray, cuts: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether the row's own) of the cells that lie within the share of each row, the own and later ones."""
+    row, code, d2 = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+    home = np.zeros(len(x), np.int64)
+    for c, cut in enumerate(cuts):
+        if not len(cut):
+            continue
+        home = home * (len(cut) + 1) + np.searchsorted(cut, x[:, c], side="right")
+        lo, hi = np.append(-np.inf, cut), np.append(cut, np.inf)
+        away = np.maximum(0.0, np.maximum(lo[None, :] - x[row, c][:, None], x[row, c][:, None] - hi[None, :]))
+        d2_ = d2[:, None] + away * away
+        k, slab = np.nonzero(d2_ <= share + SLACK)
+        row, code, d2 = row[k], code[k] * (len(cut) + 1) + slab, d2_[k, slab]
+    keep = code >= home[row]
+    row, code = row[keep], code[keep]
+    return row, code, code == home[row]
+
+
+def spots(reps: DataFrame, dim: int, *, least: float, cell_rows: int) -> DataFrame:
+    """(k, cell, own, id): the cells of block k that each vector owns or visits."""
+    blocks, turn, share = split(dim), rotation(dim), shares(dim, least)
     n = reps.count()
-    slabs = max(1, -(-n // slab_rows))
-    quantiles = [i / slabs for i in range(1, slabs)]
-    bounds = [[] for _ in blocks]
-    if quantiles:
-        row = firsts_.agg(*[F.percentile_approx(f"c{k}", quantiles, 10_000).alias(f"c{k}") for k in range(len(blocks))]).first()
-        bounds = [sorted(set(row[f"c{k}"])) for k in range(len(blocks))]
-    cut = [np.array(b) for b in bounds]
-
-    def sizes(batches):
-        held = [np.zeros(len(c) + 1, np.int64) for c in cut]
+    bits = [cell_bits(n, cell_rows, s.stop - s.start) for s in blocks]
+    used = [(k, c) for k, b in enumerate(bits) for c, m in enumerate(b) if m]
+
+    def turned(batches):
         for b in batches:
-            for k, c in enumerate(cut):
-                held[k] += np.bincount(np.searchsorted(c, b.column(k).to_numpy(), side="right"), minlength=len(c) + 1)
-        rows = [(k, s, int(v)) for k, h in enumerate(held) for s, v in enumerate(h) if v]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int32(), pa.int64()))], ["k", "s", "n"])
+            u = units(_matrix(b.column(0), dim)) @ turn
+            yield pa.RecordBatch.from_arrays([pa.array(u[:, blocks[k].start + c]) for k, c in used], [f"c{k}_{c}" for k, c in used])
 
-    counted = firsts_.mapInArrow(sizes, "k int, s int, n long").groupBy("k", "s").agg(F.sum("n").alias("n"))
-    pieces = {(r["k"], r["s"]): -(-r["n"] // (2 * slab_rows)) for r in bounded_rows(counted, len(blocks) * slabs, "slabs")}
+    cuts = [[np.zeros(0) for _ in b] for b in bits]
+    if used:
+        at = reps.select("raw").mapInArrow(turned, ", ".join(f"c{k}_{c} double" for k, c in used))
+        row = at.agg(*[F.percentile_approx(f"c{k}_{c}", [i / 2 ** bits[k][c] for i in range(1, 2 ** bits[k][c])], 1000).alias(f"c{k}_{c}") for k, c in used]).first()
+        for k, c in used:
+            cuts[k][c] = np.unique(row[f"c{k}_{c}"])
 
-    def deal(batches):
+    def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            u = _matrix(b.column(2), dim)
-            turned = u @ turn
-            for k, (s, c) in enumerate(zip(blocks, cut)):
-                x = turned[:, s.start]
-                home, last = np.searchsorted(c, x, side="right"), np.searchsorted(c, x + radius[k] + 1e-9, side="right")
-                rows, slab, piece, own = [], [], [], []
-                for i, (h, z) in enumerate(zip(home.tolist(), last.tolist())):
-                    for t in range(h, z + 1):
-                        parts = pieces.get((k, t), 0)
-                        for p in range(parts):
-                            rows.append(i)
-                            slab.append(t)
-                            piece.append(p)
-                            own.append(t == h and int(ids[i]) % parts == p)
-                for lo in range(0, len(rows), 20_000):
-                    at = pa.array(rows[lo : lo + 20_000], pa.int64())
-                    m = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * m, pa.int32()), pa.array(slab[lo : lo + m], pa.int32()), pa.array(piece[lo : lo + m], pa.int32()), pa.array(own[lo : lo + m], pa.bool_()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], ["k", "slab", "piece", "own", "id", "n", "unit"])
-
-    dealt = reps.select("id", "n", "unit").mapInArrow(deal, "k int, slab int, piece int, own boolean, id long, n long, unit binary")
+            ids, u = b.column(0).to_numpy(), units(_matrix(b.column(1), dim)) @ turn
+            for k, s in enumerate(blocks):
+                for lo in range(0, len(ids), 1024):
+                    row, cell, own = cells_met(u[lo : lo + 1024, s], cuts[k], share[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(cell), pa.array(own), pa.array(ids[lo + row])], ["k", "cell", "own", "id"])
+
+    return reps.select("id", "raw").mapInArrow(run, "k int, cell long, own boolean, id long")
+
+
+def dealt(spots_: DataFrame, piece_rows: int) -> DataFrame:
+    """(k, cell, i, j, right, id): tasks that compare piece i of a cell's vectors with piece j.
+
+    Pieces of visitors come after those of the own vectors, and are right; so is
+    the second of two own pieces. A cell that fits one task is the task (0, 0).
+    """
+    parts = lambda n: F.ceil(n / piece_rows).cast("int")
+    held = spots_.groupBy("k", "cell").agg(F.sum(F.col("own").cast("long")).alias("o"), F.sum((~F.col("own")).cast("long")).alias("v"))
+    one = F.col("o") + F.col("v") <= 2 * piece_rows
+    held = held.where("o > 0").select("k", "cell", F.when(one, 1).otherwise(parts(F.col("o"))).alias("a"), F.when(one, 0).otherwise(parts(F.col("v"))).alias("b"))
+    rows = spots_.join(held, ["k", "cell"])
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("a")).otherwise(F.greatest("b", F.lit(1)))).cast("int")
+    rows = rows.withColumn("p", mine)
+    other = F.when(F.col("own"), F.sequence(F.lit(0), F.col("a") + F.col("b") - 1)).otherwise(F.sequence(F.lit(0), F.col("a") - 1))
+    rows = rows.select("k", "cell", "own", "id", "p", "a", "b", F.explode(other).alias("q"))
+    place = F.when(F.col("own") | (F.col("b") == 0), F.col("p")).otherwise(F.col("a") + F.col("p"))
+    whole = (F.col("a") == 1) & (F.col("b") == 0)
+    return rows.select("k", "cell", F.least("q", place).alias("i"), F.when(whole, 0).otherwise(F.greatest("q", place)).alias("j"), F.when(whole, ~F.col("own")).otherwise(place > F.col("q")).alias("right"), "id")
+
+
+def join_pieces(ids: np.ndarray, counts: np.ndarray, right: np.ndarray, unit: np.ndarray, turned: np.ndarray, block: int, least: float, inner: bool, chunk: int = 512):
+    """Verified pairs of a left vector with a right one, and with ``inner`` of two left ones, chunk by chunk."""
+    dim = unit.shape[1]
+    blocks, share = split(dim), shares(dim, least)
+    order = np.lexsort((ids, right))
+    ids, counts, unit, turned = (a[order] for a in (ids, counts, unit, turned))
+    lefts = int(np.count_nonzero(~right))
+    x = turned[:, blocks[block]].astype(np.float32)
+    norm, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)
+    # squared distances as one product
+    a, b = np.hstack([-2 * x, norm, one]), np.ascontiguousarray(np.hstack([x, one, norm]).T)
+    bar = np.float32(share[block] + 1e-5)
+    for lo in range(0, lefts, chunk):
+        hi = min(lo + chunk, lefts)
+        for start in range(lo if inner else lefts, len(ids), 1 << 13):
+            stop = min(start + (1 << 13), len(ids))
+            hit = np.flatnonzero(a[lo:hi] @ b[:, start:stop] <= bar)
+            if not len(hit):
+                continue
+            i, j = hit // (stop - start) + lo, hit % (stop - start) + start
+            later = j > i
+            i, j = i[later], j[later]
+            for at in range(0, len(i), 50_000):
+                p, q = i[at : at + 50_000], j[at : at + 50_000]
+                near = block_distance(turned[p], turned[q], blocks) <= share
+                here = near[:, block] & ~near[:, :block].any(1)
+                p, q = p[here], q[here]
+                linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= least
+                yield ids[p[linked]], ids[q[linked]], counts[p[linked]], counts[q[linked]]
+
+
+def near_sums(reps: DataFrame, dim: int, *, least: float, piece_rows: int) -> DataFrame:
+    """(a, b, n): n linked vectors of rep a where b is null, else a link of a spanning set."""
+    turn = rotation(dim)
+    tasks = dealt(stored(spots(reps, dim, least=least, cell_rows=piece_rows), "spots"), piece_rows).join(reps.select("id", "n", "raw"), "id")
 
     def join(key, t):
-        ids, n, own = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
-        units = _matrix(t.column("unit"), dim)
-        order = np.argsort(ids, kind="stable")
-        nodes = ids[order]
+        ids, n, right = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("right").to_numpy(zero_copy_only=False)
+        unit = units(_matrix(t.column("raw"), dim))
+        nodes = np.sort(ids)
         sums, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-        for a, b, na, nb in join_slab(ids, n, own, units, units @ turn, key[0].as_py(), least):
+        for a, b, na, nb in join_pieces(ids, n, right, unit, unit @ turn, key[0].as_py(), least, key[2] == key[3]):
             x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
             np.add.at(sums, x, nb)
             np.add.at(sums, y, na)
@@ -196,26 +226,31 @@ def near_sums(reps: DataFrame, dim: int, *, least: float, slab_rows: int) -> Dat
         b = pa.array(np.concatenate([nodes[some], nodes[root[moved]]]), mask=np.arange(len(a)) < len(some))
         return pa.table({"a": pa.array(a, pa.int64()), "b": b.cast(pa.int64()), "n": pa.array(np.concatenate([sums[some], np.zeros(len(moved), np.int64)]), pa.int64())})
 
-    return dealt.groupBy("k", "slab", "piece").applyInArrow(join, "a long, b long, n long")
+    return tasks.select("k", "cell", "i", "j", "right", "id", "n", "raw").groupBy("k", "cell", "i", "j").applyInArrow(join, "a long, b long, n long")
+
 
+def near_groups(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, piece_rows: int = 16_384, most_lengths: int = 1000) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row.
 
-def near_groups(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, slab_rows: int = 8_000) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+    Each length of vectors is a join of its own; over ``most_lengths`` different ones are an error.
+    """
     spark = vectors.sparkSession
-    rows = stored(directions(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "directions")
+    rows = stored(raw_vectors(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     # equal vectors: one stands for all, under a number of its own so that repeated ids don't matter
-    reps = stored(rows.where("key is not null").groupBy("key", "dim").agg(F.min("row").alias("id"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "reps")
+    reps = stored(rows.where("raw is not null").groupBy("raw").agg(F.min("row").alias("id"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "reps")
+    width = 4 if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else 8
+    dim_of = (F.octet_length("raw") / width).cast("int")
     found = None
-    for dim in [r["dim"] for r in bounded_rows(reps.select("dim").distinct().orderBy("dim"), 1000, "vector lengths")]:
-        part = near_sums(reps.where(F.col("dim") == dim), dim, least=least, slab_rows=slab_rows)
+    for dim in [r["dim"] for r in bounded_rows(reps.select(dim_of.alias("dim")).distinct().orderBy("dim"), most_lengths, "vector lengths")]:
+        part = near_sums(reps.where(dim_of == dim), dim, least=least, piece_rows=piece_rows)
         found = part if found is None else found.unionByName(part)
     found = stored(found if found is not None else spark.createDataFrame([], "a long, b long, n long"), "links")
     sums = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     roots = components(found.where("b is not null").select("a", "b"))
-    named = reps.select("key", "dim", "id", "least", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").join(sums.withColumnRenamed("a", "id"), "id", "left")
-    named = named.select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.select("id", "key").join(named, "key", "left")
+    named = named.select("raw", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = rows.select("id", "raw").join(named, "raw", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
