@@ -9,6 +9,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -94,6 +95,11 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; counting stops there."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parts_for(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

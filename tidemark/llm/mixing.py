@@ -1,30 +1,37 @@
 """Mixing sources to target weights.
 
 Each source's words are packed, in a pseudorandom order of its documents, into
-blocks of fixed length. Slots of the mix are split into output shards; a shard's
-source counts are multinomial draws given what is left of each source, so the
-sources' totals come out exact. A source's slots are numbered over all shards and
-mapped through a pseudorandom permutation of its block indexes, a new one for
-each pass over the source; slots and blocks are joined by index.
+blocks of fixed length. A source's slots are numbered and mapped through a
+pseudorandom permutation of its block indexes, a new one for each pass over the
+source; slots and blocks are joined by index. All slots of the mix are dealt to
+output shards by one more permutation: a shard's source counts then are a
+multinomial draw given the sources' totals, whichever task looks at it, and no
+driver or task holds the plan of all shards.
+
+A source's words come out as its target, rounded: the words after its last full
+block close each pass, and its last slot takes a part of its block.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; documents of size 0 take no words; repeated ids are documents of their
-own, but reported per row; an empty table gives no rows; extra columns are
-ignored. The order within a source is by hash of the id, then id, then size.
+own, but reported per row; a very long text spans many blocks, which are unfolded
+where they are joined; an empty table gives no rows; extra columns are ignored,
+whatever their names. The order within a source is by hash of the id, then id,
+then size.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows, parts_for, stored, table
+from tidemark.llm.common import bounded_rows, broadcast_if_small, parts_for, stored, table
 
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 EPOCHS = 3
-MOST_SHARDS = 10_000
-CHUNK = 1 << 14
+#: Rows that one row unfolds to at a time.
+CHUNK = 1 << 13
+#: Steps after which a walk over numbers outside is over; by then at most 64 such numbers are left to pass.
+WALK = 64
 
 
 def size_of(text: Column) -> Column:
@@ -52,33 +59,41 @@ def fill(sizes: list[int], weights: list[float], most: float = EPOCHS) -> list[f
     return target
 
 
-def draw_shards(slots: list[int], shard_slots: int, seed: int) -> np.ndarray:
-    """Source counts of each shard: multinomial draws conditioned on the sources' totals."""
-    left, rng = np.array(slots, dtype=np.int64), np.random.default_rng(seed)
-    shards = []
-    while (rest := int(left.sum())) > 0:
-        counts, need, pool = np.zeros(len(left), np.int64), min(shard_slots, rest), rest
-        for i, n in enumerate(left):
-            counts[i] = n if need == pool else rng.hypergeometric(n, pool - n, need) if n and need else 0
-            need -= int(counts[i])
-            pool -= int(n)
-        shards.append(counts)
-        left -= counts
-    return np.array(shards).reshape(len(shards), len(slots))
-
-
 def permuted(index: Column, n: Column, key: Column, rounds: int = 4) -> Column:
-    """Distinct pseudorandom keys for the indexes 0..n-1.
+    """A pseudorandom permutation of 0..n-1.
 
-    A Feistel network permutes the least square of a power of two that holds n;
-    the caller ranks what lies inside by the result.
+    A Feistel network permutes a rectangle of a times b numbers, a = ceil(sqrt(n)),
+    b = ceil(n / a), of which fewer than a lie outside of 0..n-1; one that leaves
+    walks on along its cycle until it is back.
     """
-    bits = F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")) / 2), F.lit(1)).cast("int")
-    mask = F.pow(F.lit(2.0), bits).cast("long") - 1
-    left, right = F.floor(index / (mask + 1)).cast("long"), index.bitwiseAND(mask)
-    for r in range(rounds):
-        left, right = right, left.bitwiseXOR(F.xxhash64(right, key, F.lit(r)).bitwiseAND(mask))
-    return left * (mask + 1) + right
+    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("long")
+    b = F.greatest(F.ceil(n / a), F.lit(1)).cast("long")
+
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
+        for r in range(rounds):
+            if r % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(left, key, F.lit(r)), b), b)
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(right, key, F.lit(r)), a), a)
+        return left * b + right
+
+    first = once(index)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).otherwise(walk)
+
+
+def unfolded(rows: DataFrame, count: str, name: str, parts: int) -> DataFrame:
+    """``rows`` repeated with ``name`` = 0 .. count-1, in steps, so that no row unfolds in one place."""
+    keys = rows.columns
+    steps = [CHUNK**k for k in (3, 2, 1, 0)]
+    out = rows.where(F.col(count) > 0).withColumn(name, F.lit(0).cast("long"))
+    for wide, step in zip([None, *steps], steps):
+        last = F.col(count) if wide is None else F.least(F.col(name) + wide, F.col(count))
+        out = out.select(*keys, F.explode(F.sequence(F.col(name), last - 1, F.lit(step).cast("long"))).alias(name))
+        if step == CHUNK:
+            out = out.repartition(parts, *keys[:1], name)
+    return out
 
 
 def with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, buckets: int = 4096) -> DataFrame:
@@ -100,14 +115,26 @@ def with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.join(sums, same).select("doc_id", rows["source"], "size", (F.col("base") + F.col("inner")).alias("start"), *more)
 
 
+def plan(sizes: list[int], targets: list[float], block: int) -> list[tuple[int, int, int]]:
+    """(words, full blocks, slots) of each source: its slots run through whole passes, then as far as the words go."""
+    out = []
+    for n, t in zip(sizes, targets):
+        words, full = min(round(t), EPOCHS * n), n // block
+        each = full + (n % block > 0)
+        passes, rest = divmod(words, n) if n else (0, 0)
+        out.append((words, full, passes * each + -(-rest // block)))
+    return out
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = 128, shard_slots: int = 4096, most_sources: int = 1_000_000, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with offsets, sources, draws).
 
     documents: doc_id, source, size, start. sources: source, source_size, target,
-    blocks, slots, number. draws: one row for each slot of the mix: shard, source
-    number, slot, epoch, block index. A block covers ``block`` words of its source
-    (the last one what is left). Per-source totals, at most ``most_sources`` rows,
-    reach the driver.
+    full (blocks), slots, number, first (slot of the mix). draws: one row for each
+    slot: shard, source number, slot, epoch, block index and the words taken from the
+    block's start. A block covers ``block`` words of its source (the last one what is
+    left). Per-source totals, at most ``most_sources`` rows, reach the driver; more
+    sources are an error.
     """
     spark = docs.sparkSession
     placed = stored(with_offsets(docs, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row_col), "placed")
@@ -115,50 +142,46 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in totals]
     targets = fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    blocks = [-(-n // block) for n in sizes]
-    # a pass over a source takes its size in words from all its blocks, the last one included
-    slots = [min(EPOCHS * b, round(t * b / n)) if n else 0 for t, n, b in zip(targets, sizes, blocks)]
-    names = "source string, source_size long, target double, blocks long, slots long, number int"
-    sources = spark.createDataFrame([(r["source"], n, t, b, s, i) for i, (r, n, t, b, s) in enumerate(zip(totals, sizes, targets, blocks, slots))], names).coalesce(1)
-    # at most MOST_SHARDS plan rows a source on the driver: the shards of a larger mix are larger
-    shards = draw_shards(slots, max(shard_slots, -(-sum(slots) // MOST_SHARDS)), seed)
-    first = np.cumsum(shards, axis=0) - shards if len(shards) else shards
-    rows = [(int(s), int(k), int(first[s, k]), int(shards[s, k])) for s, k in zip(*np.nonzero(shards))] if len(shards) else []
-    plan = spark.createDataFrame(rows, "shard int, number int, first long, n long").repartition(parts_for(spark), "shard", "number")
-    slot = plan.select("shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-    slot = slot.join(F.broadcast(sources.select("number", "blocks")), "number").withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("place", F.col("slot") % F.col("blocks"))
-    # The block at a place of an epoch is the one with that rank in the permuted order of the source's indexes.
-    passes = spark.createDataFrame([(i, e, b) for i, (b, s) in enumerate(zip(blocks, slots)) for e in range(-(-s // b) if b else 0)], "number int, epoch long, n long")
-    chunks = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("lo")).repartition(parts_for(spark), "number", "epoch", "lo")
-    index = chunks.select("number", "epoch", "n", F.explode(F.sequence("lo", F.least(F.col("lo") + CHUNK, F.col("n")) - 1)).alias("index"))
-    order = permuted(F.col("index"), F.col("n"), F.xxhash64("number", "epoch", F.lit(seed)))
-    index = index.withColumn("o", order).withColumn("cut", F.floor(F.col("o") * 64 / F.greatest(F.pow(F.lit(4.0), F.greatest(F.ceil(F.log2(F.greatest("n", F.lit(2)).cast("double")) / 2), F.lit(1))), F.lit(1.0))).cast("int"))
-    counts = index.groupBy("number", "epoch", "cut").agg(F.count(F.lit(1)).alias("c"))
-    base = counts.select("number", "epoch", "cut", F.coalesce(F.sum("c").over(Window.partitionBy("number", "epoch").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("number", "epoch", "cut").orderBy("o")) - 1
-    places = index.withColumn("r", rank).join(base.hint("merge"), ["number", "epoch", "cut"]).select("number", "epoch", "index", (F.col("r") + F.col("base")).cast("long").alias("place"))
-    # both sides grow with the input, whatever the optimizer thinks of the few rows they unfold from
-    draws = slot.hint("merge").join(places.hint("merge"), ["number", "epoch", "place"]).select("shard", "number", "slot", "epoch", F.col("index").alias("block"))
+    planned = plan(sizes, targets, block)
+    names = "source string, source_size long, target double, words long, full long, slots long, number int, first long"
+    rows, first = [], 0
+    for i, (r, n, t, (words, full, slots)) in enumerate(zip(totals, sizes, targets, planned)):
+        rows.append((r["source"], n, t, words, full, slots, i, first))
+        first += slots
+    sources = spark.createDataFrame(rows, names).coalesce(1)
+    slot = unfolded(sources.select("number", "source_size", "words", "full", "slots", "first"), "slots", "slot", parts_for(spark))
+    each = F.col("full") + (F.col("source_size") % block > 0).cast("int")  # slots of a pass
+    slot = slot.withColumn("epoch", F.floor(F.col("slot") / each).cast("long")).withColumn("place", F.col("slot") % each)
+    # the block after the last full one closes a pass, so that a pass's words up to a place are known
+    index = F.when(F.col("place") < F.col("full"), permuted(F.col("place"), F.greatest("full", F.lit(1)), F.xxhash64("number", "epoch", F.lit(seed)))).otherwise(F.col("full"))
+    left = F.col("words") - F.col("epoch") * F.col("source_size") - F.col("place") * block
+    held = F.least(F.lit(block), F.col("source_size") - F.col("place") * block)
+    shard = F.floor(permuted(F.col("first") + F.col("slot"), F.lit(max(1, first)).cast("long"), F.lit(seed)) / shard_slots).cast("long")
+    draws = slot.select(shard.alias("shard"), "number", "slot", "epoch", index.alias("block"), F.least(held, left).cast("long").alias("words"), (left < held).alias("part"))
     return placed, sources, draws
 
 
 def pieces(placed: DataFrame, sources: DataFrame, *, block: int = 128) -> DataFrame:
-    """(number, block, doc_id, row, words): how many words each block has of each document."""
-    lo, hi = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    rows = placed.where("size > 0").join(F.broadcast(sources.select("source", "number")), placed["source"].eqNullSafe(sources["source"])).select("doc_id", "number", "start", "size")
-    rows = rows.select("*", F.explode(F.sequence(lo, hi)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    return rows.select("number", "block", "doc_id", "start", words.cast("long").alias("words"))
+    """(number, block, start, lo, hi): which words of each block are of which document."""
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    rows = placed.where("size > 0").join(broadcast_if_small(sources.select("source", "number")), placed["source"].eqNullSafe(sources["source"])).select("number", "start", "size")
+    rows = rows.select("*", F.explode(F.sequence(first, last)).alias("block"))
+    lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
+    hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
+    return rows.select("number", "block", "start", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken, and ``row_col`` if given."""
     block = options.get("block", 128)
     placed, sources, draws = mix(docs, **options)
-    times = draws.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    used = pieces(placed, sources, block=block).join(times, ["number", "block"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    right = sources.select(F.col("source").alias("of"), "source_size", "target", "number")
-    rows = placed.join(F.broadcast(right), placed["source"].eqNullSafe(F.col("of"))).drop("of")
+    # of a source's draws one at most is of a part of its block
+    times = draws.groupBy("number", "block").agg(F.sum((~F.col("part")).cast("long")).alias("times"), F.coalesce(F.max(F.when(F.col("part"), F.col("words"))), F.lit(0)).alias("part"))
+    words = (F.col("hi") - F.col("lo")) * F.col("times") + F.greatest(F.least("hi", "part") - F.col("lo"), F.lit(0))
+    # both sides grow with the input, whatever the optimizer thinks of the few rows they unfold from
+    used = pieces(placed, sources, block=block).hint("merge").join(times.hint("merge"), ["number", "block"]).groupBy("number", "start").agg(F.sum(words).alias("taken"))
+    right = broadcast_if_small(sources.select(F.col("source").alias("of"), "source_size", "target", "number"))
+    rows = placed.join(right, placed["source"].eqNullSafe(F.col("of"))).drop("of")
     used = used.withColumn("some", F.lit(True))
     # documents of size 0 share their start with the next one
     joined = rows.withColumn("some", F.col("size") > 0).join(used, ["number", "start", "some"], "left")
