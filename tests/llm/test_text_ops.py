@@ -4,6 +4,7 @@ import hashlib
 import itertools
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,9 +75,15 @@ def test_forward_sums_all_segmentations():
 def test_escape_round_trip(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
     segment, lo, hi, _ = chat.render(text, [{"kind": "text", "text": text}])
-    assert chat.read_segment(segment) == (text, text)
     assert chat.unescape(segment[lo:hi]) == text
     assert segment.count("<|") == 2
+    # two turns, read back in pieces that end anywhere
+    reader, got, whole = chat.Reader(), [], segment * 2
+    spans = [(lo, hi), (len(segment) + lo, len(segment) + hi)]
+    for k in range(0, len(whole), 7):
+        got += reader.feed(whole[k : k + 7], spans if k == 0 else ())
+    reader.close()
+    assert got == [(text, text, [text])] * 2
 
 
 def test_chat_digests(spark):
@@ -93,12 +100,35 @@ def test_chat_digests(spark):
 def test_typed_parts(spark):
     parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None), ("audio", None, "b.wav", None, None, 2.0, None), ("document", None, "c.pdf", None, None, None, 3), ("text", "end", None, None, None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, text {chat.PARTS}")
-    r = chat.format_turns(df).orderBy("turn").collect()
+    r = chat.format_turns(df, tokenizer=public_tokenizers.path("byte_bpe_50k.json")).orderBy("turn").collect()
     assert r[0]["segment"] == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|>end<|im_end|>\n"
     assert [(a["kind"], a["ref"], a["tokens"]) for a in r[0]["attachments"]] == [("image", "a.png", 4), ("audio", "b.wav", 25), ("document", "c.pdf", 1536)]
-    assert r[0]["tokens"] == 4 + 25 + 1536 + 1 + 6 and r[1]["loss_start"] == r[1]["loss_end"]
-    with pytest.raises(ValueError):
-        chat.flatten([{"kind": "video"}])
+    assert r[0]["tokens"] == 4 + 25 + 1536 + sum(map(chat.counter(public_tokenizers.path("byte_bpe_50k.json")), ("see <|image|>", "end"))) and r[1]["loss_start"] == r[1]["loss_end"]
+    odd = [{"kind": "video", "ref": "v"}, None, {"kind": "image", "width": -56, "height": 0}, *({"kind": "audio", "seconds": x} for x in (float("nan"), float("inf"), -1.0, None)), {"kind": "document", "pages": -3}]
+    flat = chat.flatten(odd)
+    assert [(a["kind"], a["tokens"]) for a in flat.attachments] == [("unknown", 0), ("image", 1), *[("audio", 1)] * 4, ("document", 512)]
+    assert "".join(flat.pieces) == "<|unknown|><|image|>" + "<|audio|>" * 4 + "<|document|>"
+
+
+def test_reader_refuses_what_is_not_formatted():
+    for bad in ("x" + chat.START + "user\nhi" + chat.END + "\n", chat.START + "user\nhi"):
+        with pytest.raises(ValueError):
+            reader = chat.Reader()
+            list(reader.feed(bad))
+            reader.close()
+
+
+def test_chat_of_whole_table(spark, sf):
+    """All conversations against a formatting and reading of their own, conversation by conversation."""
+    rows = [(r["conv_id"], r["turn"], r["role"] or "", r["text"] or "") for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()] + [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]
+    want = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(r[1:] for r in rows if r[0] == conv)
+        said = "".join(t for _, role, t in turns if role == "assistant")
+        chars = sum(len(f"<|im_start|>{role}\n{t}<|im_end|>\n") + t.count("<|") for _, role, t in turns)
+        want[conv] = (len(turns), hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), chars)
+    got = {r["conv_id"]: tuple(r)[1:6] for r in chat.op3_chat_format(spark, sf).collect()}
+    assert got == want
 
 
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=/a>menu words here</a></ul></nav>

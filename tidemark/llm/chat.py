@@ -2,12 +2,18 @@
 
 A visitor flattens each message's parts (text, image, audio, document) into one
 string: text is escaped, an attachment becomes a placeholder in its place, and
-its reference and expanded token count are recorded.
+its reference and expanded token count are recorded. Text is counted in tokens of
+a public tokenizer, if its file is given.
 
 Defined cases: a null text or role is empty; a null or empty list of parts is an
-empty text; turns are ordered by turn (null first), ties by role and then text;
-repeated rows are turns of their own; rows without a conversation id form one
-conversation with a null id. Extra columns are ignored.
+empty text, and so is a null part; an attachment of unknown size (null, not
+finite, zero or less) counts as its smallest one; a part of a kind without a
+method becomes an ``unknown`` placeholder of no tokens; turns are ordered by turn
+(null first), ties by role and then text; repeated rows are turns of their own;
+rows without a conversation id form one conversation with a null id; a text of any
+length is formatted whole, and a conversation of any number of turns is read as a
+stream; an empty table gives no rows. Extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -15,12 +21,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import parts_for, table
 
@@ -28,7 +37,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -63,35 +72,54 @@ class Flattened:
         self.tokens += tokens
 
 
+def _size(value, least: float) -> float:
+    """A finite size above zero, or the smallest one."""
+    return value if value is not None and math.isfinite(value) and value > 0 else least
+
+
 class PartVisitor:
-    """One method for each kind of part; a subclass may change sizes or placeholders."""
+    """One method for each kind of part; a subclass may change sizes or placeholders.
+
+    ``count`` gives the number of tokens of a text.
+    """
 
     patch, audio_rate, page_tokens = 28, 12.5, 512
 
+    def __init__(self, count: Callable[[str], int] | None = None):
+        self.count = count or (lambda _: 0)
+
     def visit(self, part: dict, out: Flattened) -> None:
-        kind = part.get("kind") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part: {kind}")
-        method(part, out)
+        getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_unknown)(part, out)
 
     def visit_text(self, part: dict, out: Flattened) -> None:
         text = part.get("text") or ""
-        out.add(escape(text), len(_TOKEN.findall(text)))
+        out.add(escape(text), self.count(text))
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
         out.attachments.append({"kind": kind, "ref": part.get("ref"), "at": out.at, "tokens": tokens})
         out.add(f"<|{kind}|>", tokens)
 
     def visit_image(self, part: dict, out: Flattened) -> None:
-        w, h = part.get("width") or self.patch, part.get("height") or self.patch
-        self._attach("image", part, math.ceil(w / self.patch) * math.ceil(h / self.patch), out)
+        w, h = (math.ceil(_size(part.get(side), self.patch) / self.patch) for side in ("width", "height"))
+        self._attach("image", part, w * h, out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0.0) * self.audio_rate)), out)
+        self._attach("audio", part, math.ceil(_size(part.get("seconds"), 1 / self.audio_rate) * self.audio_rate), out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 1) * self.page_tokens, out)
+        self._attach("document", part, math.ceil(_size(part.get("pages"), 1)) * self.page_tokens, out)
+
+    def visit_unknown(self, part: dict, out: Flattened) -> None:
+        self._attach("unknown", part, 0, out)
+
+
+def counter(path: str) -> Callable[[str], int]:
+    """Counts the tokens of a text by the tokenizer in the file ``path``; control strings in it are ordinary text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def flatten(parts: list[dict] | None, visitor: PartVisitor | None = None) -> Flattened:
@@ -108,19 +136,44 @@ def render(role: str | None, parts: list[dict] | None, visitor: PartVisitor | No
     return f"{head}{body}{END}\n", len(head), len(head) + len(body), flat
 
 
-def read_segment(segment: str) -> tuple[str, str]:
-    """Role and text of a turn, read back from its segment."""
-    role, body = segment.removeprefix(START).split("\n", 1)
-    return unescape_role(role), unescape(body.removesuffix(f"{END}\n"))
+class Reader:
+    """Reads a formatted conversation back, in pieces of any size.
 
+    Turns are what lies between turn marks; ``masked`` is the text under the loss
+    mask, whose spans are offsets in the whole conversation.
+    """
 
-def format_turns(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", trained_role: str = "assistant", visitor: PartVisitor | None = None) -> DataFrame:
+    def __init__(self):
+        self.rest, self.at, self.spans = "", 0, []
+
+    def feed(self, piece: str, spans: Iterable[tuple[int, int]] = ()) -> Iterator[tuple[str, str, list[str]]]:
+        """(role, text, masked texts) of each turn that ends in ``piece``."""
+        self.rest += piece
+        self.spans += spans
+        done = 0
+        for m in _TURN.finditer(self.rest):
+            if m.start() != done:
+                raise ValueError("text between turns")
+            done = m.end()
+            stop = self.at + done
+            masked = [self.rest[a - self.at : z - self.at] for a, z in self.spans if z <= stop]
+            self.spans = [(a, z) for a, z in self.spans if z > stop]
+            yield unescape_role(m[1]), unescape(m[2]), [unescape(x) for x in masked]
+        self.rest, self.at = self.rest[done:], self.at + done
+
+    def close(self) -> None:
+        if self.rest or self.spans:
+            raise ValueError("the conversation ends inside of a turn")
+
+
+def format_turns(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", trained_role: str = "assistant", visitor: type[PartVisitor] = PartVisitor, tokenizer: str | None = None) -> DataFrame:
     """One row for each turn: its segment, loss span, attachments and token count.
 
     A conversation's formatted string is its segments in the order of
     ``turn, role, ordinal`` joined by nothing. ``content_col`` is a string or an
     array of parts as in ``PARTS``. Offsets are code points within the segment;
-    the loss span is null unless the role is ``trained_role``.
+    the loss span is null unless the role is ``trained_role``. Texts count as no
+    tokens unless ``tokenizer`` names the file of one.
     """
     typed = isinstance(messages.schema[content_col].dataType, T.ArrayType)
     content = F.col(content_col) if typed else F.coalesce(F.col(content_col).cast("string"), F.lit(""))
@@ -130,10 +183,11 @@ def format_turns(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int32())]))
 
     def run(batches):
+        part_visitor = visitor(counter(tokenizer) if tokenizer else None)
         for b in batches:
             segments, starts, ends, tokens, attached = [], [], [], [], []
             for role, content in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                segment, lo, hi, flat = render(role, content if typed else [{"kind": "text", "text": content}], visitor)
+                segment, lo, hi, flat = render(role, content if typed else [{"kind": "text", "text": content}], part_visitor)
                 segments.append(segment)
                 starts.append(lo if role == trained_role else None)
                 ends.append(hi if role == trained_role else None)
@@ -148,48 +202,57 @@ def format_turns(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, read back from its formatted segments.
+    """Digests of each conversation, read back from its formatted string.
 
-    Segments are hash-partitioned by conversation and sorted, then folded as a
-    stream: a conversation of any length needs one running hash, not its rows.
+    Segments are hash-partitioned by conversation, sorted, and joined to one string,
+    in which a ``Reader`` finds the turns by their marks and the trained texts by the
+    loss mask. It is read as a stream: a conversation of any length needs two running
+    hashes, not its rows.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
-    ordered = turns.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end").repartition(parts_for(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment").select("conv_id", "segment", "loss_start", "loss_end")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    ordered = turns.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end", "tokens").repartition(parts_for(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment").select("conv_id", "segment", "loss_start", "loss_end", "tokens")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
+
+    class Digest:
+        def __init__(self, key):
+            self.key, self.reader, self.chars, self.tokens = key, Reader(), 0, 0
+            self.n, self.turns, self.loss_chars, self.loss = 0, hashlib.sha256(), 0, hashlib.sha256()
+
+        def add(self, segment, lo, hi, tokens):
+            span = [] if lo is None else [(self.chars + lo, self.chars + hi)]
+            for role, text, masked in self.reader.feed(segment, span):
+                self.n += 1
+                self.turns.update(f"{role}\n{text}\n".encode())
+                for x in masked:
+                    self.loss_chars += len(x)
+                    self.loss.update(x.encode())
+            self.chars += len(segment)
+            self.tokens += tokens
+
+        def closed(self):
+            self.reader.close()
+            return self.key, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.tokens
 
     def run(batches):
-        key, state = None, None
-
-        def closed():
-            return [key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
-
+        digest = None
         for b in batches:
             done = []
-            for conv, segment, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
-                if state is None or conv != key:
-                    if state is not None:
-                        done.append(closed())
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_segment(segment)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if lo is not None:
-                    loss = unescape(segment[lo:hi])
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += len(segment)
+            for conv, segment, lo, hi, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                if digest is None or conv != digest.key:
+                    if digest is not None:
+                        done.append(digest.closed())
+                    digest = Digest(conv)
+                digest.add(segment, lo, hi, tokens)
             yield _rows(done)
-        if state is not None:
-            yield _rows([closed()])
+        if digest is not None:
+            yield _rows([digest.closed()])
 
     def _rows(done):
-        cols = list(zip(*done)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        cols = list(zip(*done)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
 
     key_type = to_arrow_type(turns.schema["conv_id"].dataType)
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -199,4 +262,4 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations and of conversation -1, whose texts hold control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string").coalesce(1)
-    return digests(format_turns(rows.unionByName(probe)))
+    return digests(format_turns(rows.unionByName(probe), tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
