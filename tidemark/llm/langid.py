@@ -57,6 +57,8 @@ class Model:
     #: Probabilities are scaled by this for each letter so that products stay near one.
     SCALE = 16.0
     UNKNOWN = 1e-6
+    #: Words times languages in memory at once, each with a probability at every position.
+    CELLS = 80_000
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,6 +89,9 @@ class Model:
         One forward pass over all words at once: longest first, so that those that
         still have a position are a leading slice.
         """
+        most = max(1, self.CELLS // max(1, len(self.languages)))
+        if len(words) > most:
+            return np.vstack([self.log_words(words[k : k + most]) for k in range(0, len(words), most)])
         items = [(k, s) for k, w in enumerate(words) for s in parts(w)]
         items.sort(key=lambda x: -len(x[1]))
         size, width, tables = len(items), len(self.languages), self._by_length()
@@ -121,71 +126,103 @@ class Model:
         return out
 
 
-def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = 3, prior: float = 50.0) -> Model:
+class Lattice:
+    """All segmentations of words into pieces, as edges between positions."""
+
+    def __init__(self, words: list[str], vocab: dict[str, int]):
+        longest, edges = max(map(len, vocab), default=1), []
+        for k, w in enumerate(words):
+            edges += [(k, i, j, vocab.get(w[i:j], -1)) for j in range(1, len(w) + 1) for i in range(max(0, j - longest), j) if i == j - 1 or w[i:j] in vocab]
+        self.word, self.start, self.stop, self.piece = np.array(edges, np.int32).reshape(-1, 4).T
+        self.ends = np.fromiter(map(len, words), np.int64, len(words))
+        self.width = int(self.ends.max(initial=0)) + 1
+        self.into, self.out_of = list(self._steps(self.stop)), list(self._steps(self.start))[::-1]
+
+    def _steps(self, key: np.ndarray):
+        """Edges by the position ``key`` that they lead to, those of a word together."""
+        order = np.lexsort((self.word, key))
+        stops = np.searchsorted(key[order], np.arange(self.width + 1))
+        for at, (lo, hi) in enumerate(zip(stops, stops[1:])):
+            if hi > lo:
+                e = order[lo:hi]
+                first = np.flatnonzero(np.concatenate([[True], self.word[e][1:] != self.word[e][:-1]]))
+                yield at, e, self.word[e][first], first
+
+    def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in each language, given how often each language has each word."""
+        pieces, languages = prob.shape
+        # probabilities are scaled by letter so that products stay near one; the scale cancels out
+        p = np.vstack([prob, np.full((1, languages), Model.UNKNOWN)])[self.piece] * Model.SCALE ** (self.stop - self.start)[:, None]
+        ahead, back = (np.zeros((self.width, len(self.ends), languages)) for _ in range(2))
+        ahead[0], back[self.ends, np.arange(len(self.ends))] = 1.0, 1.0
+        for j, e, words, first in self.into:
+            ahead[j, words] += np.add.reduceat(ahead[self.start[e], self.word[e]] * p[e], first)
+        for i, e, words, first in self.out_of:
+            back[i, words] += np.add.reduceat(back[self.stop[e], self.word[e]] * p[e], first)
+        total = ahead[self.ends, np.arange(len(self.ends))]
+        share = np.divide(counts, total, out=np.zeros_like(total), where=total > 0)
+        known = self.piece >= 0
+        w, i, j = self.word[known], self.start[known], self.stop[known]
+        uses = share[w] * ahead[i, w] * p[known] * back[j, w]
+        return np.stack([np.bincount(self.piece[known], uses[:, k], pieces) for k in range(languages)], axis=1)
+
+
+def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = 3, prior: float = 50.0, words_at_once: int = 20_000) -> Model:
     """Expectation-maximisation of the piece probabilities from word counts by language.
 
     ``prior`` pseudo-observations spread over all languages' mean smooth each one.
+    Long words count by their parts, as in scoring.
     """
-    languages = sorted(counts)
-    width, longest = len(vocab), max(map(len, vocab), default=1)
-    lattices: dict[str, list[tuple[int, int, int]]] = {}
-    for words in counts.values():
-        for w in words:
-            if w not in lattices:
-                s = MARK + w
-                lattices[w] = [(i, j, vocab.get(s[i:j], -1)) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if s[i:j] in vocab or i == j - 1]
+    languages, width = sorted(counts), len(vocab)
+    by_part: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
+    for k, lang in enumerate(languages):
+        for w, n in counts[lang].items():
+            for part in parts(w):
+                by_part[part][k] += n
+    words = sorted(by_part, key=lambda w: (len(w), w))
+    each = max(1, words_at_once * 4 // max(4, len(languages)))
+    chunks = [words[k : k + each] for k in range(0, len(words), each)]
+    lattices = [(Lattice(c, vocab), np.array([by_part[w] for w in c])) for c in chunks]
     prob = np.full((width, len(languages)), 1.0 / max(1, width))
     for _ in range(rounds):
         expected = np.zeros((width, len(languages)))
-        for k, lang in enumerate(languages):
-            p = prob[:, k].tolist() + [Model.UNKNOWN]
-            soft = [0.0] * width
-            for w, c in counts[lang].items():
-                n, edges = len(w) + 1, lattices[w]
-                a = [0.0] * (n + 1)
-                a[0] = 1.0
-                for i, j, q in edges:
-                    a[j] += a[i] * p[q] * 16.0 ** (j - i)
-                b = [0.0] * (n + 1)
-                b[n] = 1.0
-                for i, j, q in reversed(edges):
-                    b[i] += b[j] * p[q] * 16.0 ** (j - i)
-                if a[n] <= 0:
-                    continue
-                for i, j, q in edges:
-                    if q >= 0:
-                        soft[q] += c * a[i] * p[q] * 16.0 ** (j - i) * b[j] / a[n]
-            expected[:, k] = soft
+        for lattice, n in lattices:
+            expected += lattice.expected(prob, n)
         mean = (expected.sum(1) + 0.01) / (expected.sum() + 0.01 * width)
         prob = (expected + prior * mean[:, None]) / (expected.sum(0) + prior)
     return Model(vocab, languages, prob)
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, words_per_language: int = 3000, max_languages: int = 512, vocab_path: str | None = None) -> Model:
-    """Fit on a bounded sample: at most ``docs_per_language`` whole texts of each language.
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200, most_words: int = 20_000_000, max_languages: int = 512, vocab_path: str | None = None) -> Model:
+    """Fit on a bounded sample: all words of at most ``docs_per_language`` whole texts of each language.
 
     Their ids have the smallest hashes, so that the sample doesn't depend on the
-    order of rows. Their ``words_per_language`` most frequent words reach the
-    driver. More than ``max_languages`` distinct labels raise an error.
+    order of rows. The sample's words with their counts reach the driver. More than
+    ``max_languages`` labels or ``most_words`` distinct words are an error.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
-    rank = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    ids = rows.select("i", "l").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= docs_per_language).select("i", "l")
+    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l")).where("l is not null and t is not null")
+    # the smallest hashes of 256 slices of each language first: no task ranks a whole language
+    hashed = rows.select("i", "l").withColumn("h", F.xxhash64("i")).withColumn("slice", F.pmod("h", F.lit(256)))
+    for slices in (["l", "slice"], ["l"]):
+        rank = F.row_number().over(Window.partitionBy(*slices).orderBy("h", "i"))
+        hashed = hashed.withColumn("r", rank).where(F.col("r") <= docs_per_language).drop("r")
+    ids = hashed.select("i", "l")
     chosen = rows.join(F.broadcast(ids.distinct()), ["i", "l"], "left_semi")
 
     def count(batches):
         for b in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[lang].update(w for w in words_of(text) if len(w) < MAX_WORD)
+                seen[lang].update(words_of(text))
             flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int64())], ["l", "w", "n"])
 
     counted = chosen.select("l", "t").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= words_per_language).select("l", "w", "n")
     by_lang: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, w, n in bounded_rows(top, words_per_language * max_languages, "training words"):
+    for lang, w, n in bounded_rows(counted, most_words, "training words"):
         by_lang[lang][w] = n
+    if len(by_lang) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise the bound")
     return fit(by_lang, vocabulary(vocab_path))
 
 
