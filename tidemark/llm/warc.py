@@ -7,7 +7,8 @@ that a 304 may update are merged over the stored ones.
 
 Defined cases: a null URL matches nothing (``no_earlier``); of responses at the
 same time the one with the larger record id counts; a response at the revisit's
-own time isn't earlier; null times match nothing; null header maps are empty;
+own time isn't earlier; null times match nothing; null header maps are empty, null
+values too; header names that differ in case only are one;
 repeated revisits are each resolved; an empty table gives no rows. DataFrame
 functions only. A URL with any share of the records is split into time slices:
 each slice is sorted by itself, and one summary row a slice carries the latest
@@ -37,9 +38,19 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(stored: Column, update: Column) -> Column:
-    """Stored headers with those of the 304 over them that it may update; names in lower case."""
+    """Stored headers with those of the 304 over them that it may update.
+
+    Names are in lower case; values of names that differ in case only are one list,
+    joined by ``, `` in the order of their original names.
+    """
     empty = F.create_map().cast("map<string,string>")
-    lower = lambda m: F.transform_keys(F.coalesce(m, empty), lambda k, _: F.lower(k))
+
+    def lower(m: Column) -> Column:
+        entries = F.array_sort(F.map_entries(F.coalesce(m, empty)))
+        names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+        value = lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", ")
+        return F.map_from_arrays(names, F.transform(names, value))
+
     new = F.map_filter(lower(update), lambda k, _: ~k.isin(NOT_MERGED))
     old = F.map_filter(lower(stored), lambda k, _: ~F.map_contains_key(new, k))
     return F.map_from_entries(F.array_sort(F.concat(F.map_entries(old), F.map_entries(new))))
