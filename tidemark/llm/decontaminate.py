@@ -149,11 +149,11 @@ def item_blocks(items: DataFrame, block_bytes: int):
         yield [(r["i"], r["t"]) for r in items.where(F.col("b") == k).select("i", "t").collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 1_000_000) -> DataFrame:
     """One row for each document: doc_id, n_words, hit_runs (word index ranges) and items found.
 
-    A benchmark of at most ``block_bytes`` of text is broadcast as one table, in
-    one narrow pass. A larger one is searched in blocks of that size, one pass
+    A benchmark of at most ``block_bytes`` of text is broadcast as one table (about
+    150 bytes for each byte of text), in one narrow pass. A larger one is searched in blocks of that size, one pass
     each, and the passes' rows are merged by row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -177,7 +177,7 @@ def n_hit():
     return F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"])
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
+def clean_only(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 1_000_000) -> DataFrame:
     """``docs`` without the contaminated ones; a narrow filter for each block of the benchmark."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     where, out = docs.columns.index(text_col), docs
