@@ -7,8 +7,10 @@ linear scorer on hashed features learns those labels from a bounded sample and
 scores every document.
 
 Defined cases: a null or empty text is bad with score 0; a document on which all
-labellers abstain gets the prior; ties of the sample go by id; repeated rows are
-each scored; an empty table gives no rows; extra columns are ignored.
+labellers abstain gets the prior; a text of any length is read whole; rows without
+an id are sampled like others; ties of the sample go by id; repeated rows are each
+scored; an empty table gives no rows; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -76,24 +78,27 @@ class LabelModel:
         return float(1.0 / (1.0 + np.exp(np.clip(bad - good, -500, 500))))
 
 
-def fit_labels(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> LabelModel:
-    """EM from how often each pattern of votes occurs; labellers are taken as better than chance."""
+def fit_labels(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior: float = 0.01) -> LabelModel:
+    """EM from how often each pattern of votes occurs.
+
+    It starts from labellers that are better than chance and seldom vote bad on a
+    good document. That start also counts as ``prior`` of the documents in every
+    round, so that votes which never occur keep a probability; the rest is estimated.
+    """
     k = len(LABELLERS)
     if not patterns:
         return LabelModel(np.full((k, 2, 3), 1 / 3), 0.5)
     pats = np.array(list(patterns), dtype=int)
     n = np.array(list(patterns.values()), dtype=float)
-    model = LabelModel(np.tile([[0.6, 0.2, 0.2], [0.2, 0.2, 0.6]], (k, 1, 1)), 0.7)
+    start = np.tile([[0.4, 0.3, 0.3], [0.02, 0.18, 0.8]], (k, 1, 1))
+    model = LabelModel(start, 0.7)
     for _ in range(rounds):
         p = np.array([model.posterior(x) for x in pats])
-        acc = np.empty((k, 2, 3))
+        acc = max(1.0, prior * n.sum()) * start
         for v in (-1, 0, 1):
             m = pats == v
-            acc[:, 1, v + 1] = (m * (n * p)[:, None]).sum(0)
-            acc[:, 0, v + 1] = (m * (n * (1 - p))[:, None]).sum(0)
-        acc = (acc + 1.0) / (acc + 1.0).sum(2, keepdims=True)
-        # a bad vote on a good document is taken as rare, else one kind of bad documents becomes the class
-        acc[:, 1, 0] = np.minimum(acc[:, 1, 0], 0.005)
+            acc[:, 1, v + 1] += (m * (n * p)[:, None]).sum(0)
+            acc[:, 0, v + 1] += (m * (n * (1 - p))[:, None]).sum(0)
         model = LabelModel(acc / acc.sum(2, keepdims=True), float(np.clip(n @ p / n.sum(), 0.02, 0.98)))
     return model
 
@@ -125,12 +130,12 @@ class Scorer:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.weights @ features(text), -50, 50))))
 
 
-def fit_scorer(texts: list[str | None], soft: list[float], rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> Scorer:
-    """Adagrad over the soft labels, all of the sample in each round."""
+def fit_scorer(x: np.ndarray, soft: list[float], rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> Scorer:
+    """Adagrad from rows of ``features`` to the soft labels, all of the sample in each round."""
     w = np.zeros(BUCKETS + 5)
-    if not texts:
+    if not len(x):
         return Scorer(w)
-    x, y, g = np.stack([features(t).astype(np.float32) for t in texts]), np.array(soft), np.full(BUCKETS + 5, 1e-8)
+    y, g = np.array(soft), np.full(BUCKETS + 5, 1e-8)
     for _ in range(rounds):
         err = 1.0 / (1.0 + np.exp(-np.clip(x @ w.astype(np.float32), -50, 50))) - y
         step = err.astype(np.float32) @ x / len(y) + decay * w
@@ -147,17 +152,29 @@ def vote_patterns(docs: DataFrame, *, text_col: str = "text") -> dict[tuple[int,
             seen = Counter(map(votes, b.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["p", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n"))
     return {tuple(p): n for p, n in bounded_rows(rows.orderBy("p"), 3 ** len(LABELLERS), "vote patterns")}
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 4000) -> tuple[LabelModel, Scorer]:
-    """Label model from all documents; scorer from at most ``most_docs`` whole texts with the smallest id hashes."""
+    """Label model from all documents; scorer from at most ``most_docs`` whole texts with the smallest id hashes.
+
+    Features are taken on the executors: what reaches the driver is ``most_docs``
+    rows of a fixed width, however long the texts are.
+    """
     labels = fit_labels(vote_patterns(docs, text_col=text_col))
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    ids = rows.select("h", "i").orderBy("h", "i").limit(most_docs)
-    chosen = [r["t"] for r in rows.join(F.broadcast(ids.distinct()), ["h", "i"], "left_semi").orderBy("h", "i", "t").limit(most_docs).select("t").collect()]
-    return labels, fit_scorer(chosen, [labels.posterior(votes(t)) for t in chosen])
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    ids = rows.select("h", F.coalesce("i", F.lit("")).alias("i")).orderBy("h", "i").limit(most_docs)
+    chosen = rows.withColumn("i", F.coalesce("i", F.lit(""))).join(F.broadcast(ids.distinct()), ["h", "i"], "left_semi")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype("<f4").tobytes() for t in texts], pa.binary()), pa.array([list(votes(t)) for t in texts], pa.list_(pa.int32()))], ["h", "i", "x", "v"])
+
+    found = chosen.select("h", "i", "t").mapInArrow(run, "h long, i string, x binary, v array<int>").orderBy("h", "i", "x").limit(most_docs).collect()
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), "<f4").reshape(-1, BUCKETS + 5)
+    return labels, fit_scorer(x, [labels.posterior(tuple(r["v"])) for r in found])
 
 
 def classify(docs: DataFrame, labels: LabelModel, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
