@@ -187,6 +187,28 @@ def test_leaks(spark):
     assert decontaminate.find_contamination(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_of_whole_table(spark, sf):
+    """All documents against every window of every item, word by word."""
+    pattern = re.compile(rb"[0-9a-z\x80-\xff]+")
+    words = lambda t: [w.decode(errors="surrogateescape") for w in pattern.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))]
+    windows = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r["text"])
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(r["item_id"]))
+    sizes, want = {len(w) for w in windows}, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w, hit, items = words(r["text"]), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    items |= found
+        want[r["doc_id"]] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.op6_decontaminate(spark, sf).collect()}
+    assert got == want and any(x[4] for x in got.values())
+
+
 def test_leaks_of_items_without_id(spark):
     bench = spark.createDataFrame([(None, "Short One"), ("b1", "other words")], "item_id string, text string")
     rows = [(1, "a short, ONE b"), (2, "short one other words"), (3, "none")]
@@ -361,3 +383,9 @@ def test_revisits(spark):
         assert got[4] == (1, "resolved", {"content-type": "a", "etag": '"1"', "age": "9"})
         assert got[5][:2] == (None, "no_earlier") and got[6][:2] == (2, "mismatch") and got[7][:2] == (2, "resolved") and got[8][:2] == (2, "unverified") and got[9][1] == got[10][1] == "no_earlier" and 11 not in got
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_header_names_that_differ_in_case(spark):
+    df = spark.sql("select map('Age', '1', 'AGE', null, 'Via', 'x', 'via', 'y') old, map('age', '2', 'Age', '3', 'Content-Length', '9') new")
+    assert df.select(warc.merged_headers(df.old, df.new).alias("h")).first()["h"] == {"age": "3, 2", "via": "x, y"}
+    assert df.select(warc.merged_headers(df.old, F.lit(None).cast("map<string,string>")).alias("h")).first()["h"] == {"age": "1", "via": "x, y"}

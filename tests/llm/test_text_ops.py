@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +71,27 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [[brute("▁" + w, k) for k in (0, 1)] for w in words])
 
 
+def test_expected_uses_of_pieces():
+    vocab = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab"])}
+    prob = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.3, 0.2], [0.2, 0.3]])
+    words, counts = ["▁ab", "▁a", "▁abab", "acb"], np.array([[2.0, 1.0], [1.0, 0.0], [0.0, 3.0], [1.0, 1.0]])
+    want = np.zeros((5, 2))
+    for w, n in zip(words, counts):
+        uses, total = np.zeros((5, 2)), np.zeros(2)
+        for cuts in itertools.product([0, 1], repeat=len(w) - 1):
+            at = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(w)]
+            pieces = [w[a:z] for a, z in zip(at, at[1:])]
+            if any(x not in vocab and len(x) > 1 for x in pieces):
+                continue
+            p = np.prod([prob[vocab[x]] if x in vocab else [langid.Model.UNKNOWN] * 2 for x in pieces], axis=0)
+            total += p
+            for x in pieces:
+                if x in vocab:
+                    uses[vocab[x]] += p
+        want += n * uses / total
+    assert np.allclose(langid.Lattice(words, vocab).expected(prob, counts), want)
+
+
 @given(st.text(alphabet="<|\\>im_endstart \n", max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_escape_round_trip(text):
@@ -170,6 +192,30 @@ def test_quality_against_labels(spark):
     assert got.where("quality = 1 and not keep").count() <= 0.01 * n
 
 
+def test_label_model_is_plain_em():
+    """Against EM over single documents, and against the accuracies that made the votes."""
+    rng = np.random.default_rng(2)
+    k, n = len(weaklabel.LABELLERS), 3000
+    good = rng.random(n) < 0.8
+    truth = np.array([[rng.dirichlet([6, 3, 3]), rng.dirichlet([0.3, 2, 12])] for _ in range(k)])
+    votes = [tuple(int(rng.choice(3, p=truth[j, int(g)])) - 1 for j in range(k)) for g in good]
+    model = weaklabel.fit_labels(Counter(votes), rounds=20)
+    acc, prior = np.tile([[0.4, 0.3, 0.3], [0.02, 0.18, 0.8]], (k, 1, 1)), 0.7
+    for _ in range(20):
+        p = []
+        for v in votes:
+            a = [np.prod([acc[j, c, x + 1] for j, x in enumerate(v) if x]) for c in (0, 1)]
+            p.append(prior * a[1] / (prior * a[1] + (1 - prior) * a[0]))
+        new = 0.01 * n * np.tile([[0.4, 0.3, 0.3], [0.02, 0.18, 0.8]], (k, 1, 1))
+        for q, v in zip(p, votes):
+            for j, x in enumerate(v):
+                new[j, 1, x + 1] += q
+                new[j, 0, x + 1] += 1 - q
+        acc, prior = new / new.sum(2, keepdims=True), float(np.clip(np.mean(p), 0.02, 0.98))
+    assert np.allclose(model.accuracy, acc) and abs(model.prior - prior) < 1e-9
+    assert abs(model.prior - 0.8) < 0.05 and np.abs(model.accuracy - truth)[:, :, 0].max() < 0.12
+
+
 def test_quality_small_cases(spark):
     d = docs(spark, [(1, None), (2, ""), (3, "word " * 50_000), (3, "word " * 50_000), (None, "A fine line of words. Another fine one.")])
     rows = weaklabel.classify(d, *weaklabel.train(d)).collect()
