@@ -171,6 +171,32 @@ def test_extraction_cases(spark):
     assert html_extract.extract_pages(df.limit(0), html_extract.learn(df.limit(0))).count() == 0
 
 
+ARTICLE = "<p>" + "A long story of many words is told in here. " * 6 + "</p>"
+STORY = ("A long story of many words is told in here. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="layout no-sidebar">{ARTICLE}</div>', STORY),
+        (f'<div class="social-science">{ARTICLE}</div>', STORY),
+        (f'<article>{ARTICLE}</article><section class="comments"><article class="comment"><p>{"I do not agree with that at all. " * 30}</p></article></section>', STORY),
+        (f'<main>{ARTICLE}<section id="comment-list"><article><p>first</p></article></section></main>', STORY),
+        (f'<article>{ARTICLE}</article><aside><article><p>{"Read one more thing that is not of here. " * 30}</p></article></aside>', STORY),
+        (f'<article>{ARTICLE}<p>a <math><mi>x</mi></math> b <object>c</object> <canvas>d</canvas></p><xmp>e <b> f</xmp></article>', STORY + "\na x b c d\ne <b> f"),
+        (f'<div class="widget">{ARTICLE}</div>', STORY),
+        (f'<div class="sidebar left">{"menu word " * 50}</div><div class="cookie-notice">{"we use cookies " * 50}</div>{ARTICLE}<div id="footer">{"imprint " * 90}</div>', STORY),
+    ],
+)
+def test_extraction_of_odd_pages(page, want):
+    labelled = html_extract.observe(f"<nav><a>x y</a></nav><div class='w'><article>{ARTICLE * 3}</article></div><ul><li>a<li>b</ul>")
+    tokens = {t for t, _ in labelled}
+    learned = html_extract.weights_of({t: (labelled[t, True] + labelled[t, False], labelled[t, True]) for t in tokens})
+    assert learned.word > 0 and learned.costs["li"] > learned.costs["p"]
+    for weights in (html_extract.DEFAULT, learned):
+        assert html_extract.extract(page, weights) == want
+
+
 def test_extraction_of_whole_table(spark, sf):
     import html
     import re

@@ -1,22 +1,30 @@
 """Main-text extraction as a maximum-scoring subsequence.
 
-A page is a sequence of text runs and tags. Words score positive and tags
-negative; one linear scan finds the contiguous stretch with the largest sum,
-which is widened to whole blocks. The weights come from labelled pages: pages
-that mark their content by an ``article`` or ``main`` element. A tag costs the
-more, the more often it stands outside the content. Elements that never hold
-content (menus, adverts, forms, comments) are dropped wherever they stand; their
-words cost a little.
+A page is a sequence of words, tags and class names. Words score positive, tags
+and class names negative; one linear scan finds the contiguous stretch with the
+largest sum, which is widened to whole blocks. The weights are log-odds from
+labelled pages, those that mark their content by an ``article`` or ``main`` element:
+how much more often a token stands inside of the content than elsewhere. Elements
+that never hold content (menus, adverts, forms, comments and what lies in them) are
+dropped wherever they stand; their words cost a little.
+
+An element is dropped by its name, its role, or a class or id that is a word of
+``NOISE_WORDS``, alone or with words of ``PLACE_WORDS`` (``sidebar-left``, not
+``no-sidebar``). If nothing at all is left of a page, it is scanned once more
+without regard to classes and ids.
 
 Defined cases: null or empty html, or html without words outside of dropped
 elements, gives an empty text; broken markup (unclosed elements or comments,
-stray ``<``) is read as far as it goes; repeated rows are each extracted; extra
-columns are ignored. ``br`` and table cells count as white space inside a block.
+stray ``<``) is read as far as it goes; a page of any length is read whole; repeated
+rows and rows without an id are each extracted; an empty table gives no rows; extra
+columns are ignored, whatever their names. ``br`` and table cells count as white
+space inside a block.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -28,34 +36,36 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_rows, table
 
 # Element and class names with a meaning in HTML and in common page templates.
-RAW = "script style noscript template iframe svg title textarea select option object canvas math xmp".split()
+RAW = "script style noscript template iframe svg title textarea select".split()
+LITERAL = "xmp"  # its content is text, tags included
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul xmp".split())
 DROPPED = frozenset("head nav footer aside form button menu dialog".split()) | frozenset(RAW)
 CONTENT = frozenset(("article", "main"))
 NOISE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split())
+PLACE_WORDS = frozenset("area bar block body bottom box button buttons column container content global group header holder inner item items left link links list main outer page panel primary right row secondary section signup site slot thread top unit wrap wrapper".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join([*RAW, LITERAL]) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(.*?)(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_PART = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 @dataclass
 class Weights:
-    """``tags``: cost of each tag name; ``word`` and ``noise_word``: gain and cost of a word outside and inside dropped elements."""
+    """``word``: gain of a word; ``noise_word``: cost of one in a dropped element; ``costs`` of tags by name and of classes by ``.name``."""
 
     word: float = 1.0
     noise_word: float = 0.02
-    tags: dict[str, float] = field(default_factory=dict)
+    costs: dict[str, float] = field(default_factory=dict)
     unseen: float = 1.0
-    noise_classes: frozenset[str] = NOISE_WORDS
 
 
-#: What a page without any labelled page to learn from is scored by.
-DEFAULT = Weights(tags=dict.fromkeys("p b i em strong span br h1 h2 h3 h4 h5 h6 blockquote pre code sup sub u small a ul ol li dl dt dd table thead tbody tr td th figure figcaption img picture source hr".split(), 0.1) | dict.fromkeys("nav aside form footer script style button".split(), 0.5))
+#: What pages are scored by where no labelled page is there to learn from.
+DEFAULT = Weights(costs=dict.fromkeys("p b i em strong span br h1 h2 h3 h4 h5 h6 blockquote pre code sup sub u small a ul ol li dl dt dd table thead tbody tr td th figure figcaption img picture source hr".split(), 0.1) | dict.fromkeys("nav aside form footer script style button".split(), 0.5))
+#: Tags that text is made of: pages that happen not to use them inside of their content don't make them costly.
+INLINE = frozenset("p b i em strong span br h1 h2 h3 h4 h5 h6 blockquote pre code sup sub u small a ul ol li dl dt dd table thead tbody tr td th figure figcaption img picture source hr".split())
 
 
 @dataclass(slots=True)
@@ -69,19 +79,22 @@ class Run:
     inside: bool
 
 
-def _classes(tag: str) -> tuple[set[str], set[str]]:
-    words, roles = set(), set()
+def _classes(tag: str) -> tuple[list[str], list[str]]:
+    names, roles = [], []
     for key, value in _ATTRIBUTE.findall(tag):
-        value = value.strip("\"'").lower()
-        if key.lower() == "role":
-            roles.add(value)
-        else:
-            words.update(value.replace("_", "-").split())
-    return words, roles
+        values = value.strip("\"'").lower().split()
+        (roles if key.lower() == "role" else names).extend(values)
+    return names, roles
+
+
+def is_noise(name: str) -> bool:
+    """Whether a class or id says that an element holds no content: a noise word, with words of places at most."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in NOISE_WORDS for x in parts) and all(x in NOISE_WORDS or x in PLACE_WORDS for x in parts)
 
 
-def scan(html: str, noise_classes: frozenset[str] = NOISE_WORDS):
-    """Yields ``Run``s and ``(name, inside, noise)`` for tags, in page order."""
+def scan(html: str, by_class: bool = True):
+    """Yields ``Run``s and ``(tokens, inside, noise)`` for tags, in page order; tokens are a tag's name and its classes."""
     stack: list[tuple[str, bool, bool]] = []  # name, noise, inside content
     block, noise, inside = 0, False, False
     for m in _TOKEN.finditer(html):
@@ -90,7 +103,12 @@ def scan(html: str, noise_classes: frozenset[str] = NOISE_WORDS):
             text = entities.unescape(token) if "&" in token else token
             yield Run(text, block, len(text.split()), noise, inside)
             continue
-        if m.group(1) or token.startswith(("<!", "<?")):
+        if m[1]:
+            if m[1].lower() == LITERAL:
+                yield Run(m[2], block + 1, len(m[2].split()), noise, inside)
+                block += 2
+            continue
+        if token.startswith(("<!", "<?")):
             continue
         named = _NAME.match(token)
         if not named:
@@ -106,38 +124,44 @@ def scan(html: str, noise_classes: frozenset[str] = NOISE_WORDS):
                     del stack[k:]
                     break
             was, (noise, inside) = noise, (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            yield name, inside, was
+            yield (name,), inside, was
             continue
         if name in VOID or token.endswith("/>") and name not in BLOCK:
-            yield name, inside, noise
+            yield (name,), inside, noise
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             noise, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        classes, roles = _classes(token) if "=" in token else ((), ())
+        classes, roles = _classes(token) if "=" in token else ([], [])
         was = inside
-        if name in CONTENT:
-            noise, inside = bool(inside and noise), True
-        elif name in DROPPED or name == "header" and not inside or classes and name not in ("html", "body") and (any(c in noise_classes or not noise_classes.isdisjoint(c.split("-")) for c in classes)) or roles and not NOISE_ROLES.isdisjoint(roles):
+        if name in DROPPED or name == "header" and not inside or name not in ("html", "body") and (by_class and any(map(is_noise, classes)) or not NOISE_ROLES.isdisjoint(roles)):
             noise = True
+        elif name in CONTENT and not noise:
+            inside = True
         stack.append((name, noise, inside))
-        yield name, was, noise
+        yield (name, *(f".{c}" for c in classes)), was, noise
 
 
-def observe(html: str | None) -> Counter | None:
-    """What a labelled page tells: tags inside and outside its content; None if it isn't labelled."""
-    if not html or not re.search(r"<(article|main)\b", html, re.I):
-        return None
+def observe(html: str) -> Counter:
+    """How often each token and words (the token ``""``) stand inside and outside of a labelled page's content."""
     seen: Counter = Counter()
     for x in scan(html):
-        if not isinstance(x, Run) and not x[2]:
-            seen[x[:2]] += 1
+        if isinstance(x, Run):
+            seen["", x.inside and not x.noise] += x.words
+        else:
+            for token in x[0]:
+                seen[token, x[1] and not x[2]] += 1
     return seen
 
 
-def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", most_pages: int = 5000) -> Weights:
-    """Weights from at most ``most_pages`` labelled pages, those whose ids have the smallest hashes."""
-    rows = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(html_col).alias("t"))
+def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", most_pages: int = 5000, least: int = 5, most_tokens: int = 1_000_000) -> Weights:
+    """Weights from at most ``most_pages`` labelled pages, those whose ids have the smallest hashes.
+
+    Tokens that occur fewer than ``least`` times are taken as unseen; more than
+    ``most_tokens`` others are an error.
+    """
+    rows = pages.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{html_col}`").cast("string").alias("t"))
+    rows = rows.where(F.col("t").rlike(r"(?i)<(article|main)\b"))
     ids = rows.select("h", "i").orderBy("h", "i").limit(most_pages)
     chosen = rows.join(F.broadcast(ids.distinct()), ["h", "i"], "left_semi").select("t")
 
@@ -145,29 +169,40 @@ def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
         for b in batches:
             seen: Counter = Counter()
             for html in b.column(0).to_pylist():
-                seen.update(observe(html) or ())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0][:64] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["tag", "inside", "n"])
+                seen.update(observe(html))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["token", "inside", "n"])
 
-    counted = chosen.mapInArrow(run, "tag string, inside boolean, n long").groupBy("tag").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("k"))
-    rows = bounded_rows(counted.orderBy(F.desc("n"), "tag").limit(1000), 1000, "tag weights")
-    return weights_of({tag: (n, k) for tag, n, k in rows}) if rows else DEFAULT
+    counted = chosen.mapInArrow(run, "token string, inside boolean, n long").groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("k"))
+    rows = bounded_rows(counted.where((F.col("n") >= least) | (F.col("token") == "")), most_tokens, "tokens of labelled pages")
+    return weights_of({token: (n, k) for token, n, k in rows})
 
 
 def weights_of(counts: dict[str, tuple[int, int]]) -> Weights:
-    """Cost of a tag: small inside content, up to 12 words outside of it."""
-    tags = {t: 0.1 + 12.0 * (n - k + 0.5) / (n + 5.0) if n >= 5 else DEFAULT.unseen for t, (n, k) in counts.items()}
-    # inline and paragraph tags that the labelled pages happen not to use keep their default
-    return Weights(tags={t: v for t, v in DEFAULT.tags.items()} | {t: v if t not in DEFAULT.tags else min(v, 0.4) for t, v in tags.items()})
+    """Log-odds of each token's (occurrences, those inside): a word's is a gain, any other token's a cost.
+
+    Words gain a little and tags cost a little whatever the pages say.
+    """
+    inside, total = (sum(c[k] for c in counts.values()) for k in (1, 0))
+    if not inside or not counts.get("", (0, 0))[1]:
+        return DEFAULT
+    odds = {t: math.log((k + 0.5) / (inside + 1.0)) - math.log((n - k + 0.5) / (total - inside + 1.0)) for t, (n, k) in counts.items()}
+    word = max(0.1, odds.pop(""))
+    costs = {t: max(0.1 * word, -w) if t not in INLINE else min(max(0.1 * word, -w), 0.5 * word) for t, w in odds.items()}
+    return Weights(word=word, noise_word=0.02 * word, costs={t: c * word for t, c in DEFAULT.costs.items()} | costs, unseen=word)
 
 
 def extract(html: str | None, weights: Weights = DEFAULT) -> str:
     """The text of the best stretch, its blocks joined by newlines."""
     if not html:
         return ""
+    return _best(scan(html), weights) or _best(scan(html, by_class=False), weights)
+
+
+def _best(tokens, weights: Weights) -> str:
     runs: list[Run] = []
     total, start, best, span = 0.0, 0, 0.0, None
-    costs, unseen, gain = weights.tags, weights.unseen, weights.word
-    for x in scan(html, weights.noise_classes):
+    costs, unseen, gain = weights.costs, weights.unseen, weights.word
+    for x in tokens:
         if isinstance(x, Run):
             if x.noise:  # dropped in any case: a long one within the content must not cut it in two
                 total -= weights.noise_word * x.words
@@ -179,7 +214,9 @@ def extract(html: str | None, weights: Weights = DEFAULT) -> str:
                 if total > best and x.words:
                     best, span = total, (start, len(runs) - 1)
         elif not x[2]:
-            total -= costs.get(x[0], unseen)
+            # of classes only those count that labelled pages have; within marked content a tag costs little
+            cost = sum(costs.get(t, unseen if t[0] != "." else 0.0) for t in x[0])
+            total -= min(cost, 0.1 * gain) if x[1] else cost
     if span is None:
         return ""
     first, last = runs[span[0]].block, runs[span[1]].block
@@ -194,7 +231,7 @@ def extract(html: str | None, weights: Weights = DEFAULT) -> str:
 def extract_pages(pages: DataFrame, weights: Weights, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: id, url, text, n_chars (code points)."""
     shared = pages.sparkSession.sparkContext.broadcast(weights)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches):
