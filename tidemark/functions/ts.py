@@ -191,6 +191,23 @@ def featured(bars):
     return prepared(bars).select("*", *[_annual(k, roll(f, c, n)).alias(k) for k, (f, c, n) in ROLLING.items()], *[lag("close", k).alias(f"lag_{k}") for k in LAGS], is_last().alias("_last"))
 
 
+def running(bars):
+    """``prepared`` with the rolling means and volatilities as differences of running sums, and the lags.
+
+    Each running sum is one step a row, whatever the window's length: for queries
+    that need every row's value, or that of many rows. What nothing reads is pruned.
+    """
+    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"close": F.col("close"), "ret": F.col("ret"), "ret2": F.col("ret") * F.col("ret")}
+    step = prepared(bars)
+    step = step.select("*", *[F.coalesce(F.sum(x).over(so_far), F.lit(0.0)).alias(f"_s_{k}") for k, x in sums.items()], *[F.count(x).over(so_far).alias(f"_c_{k}") for k, x in sums.items()])
+    over = lambda c, n: F.col(c) - F.coalesce(lag(c, n), F.lit(0))
+    means = {f"sma_{n}": F.when(over("_c_close", n) == n, over("_s_close", n) / n) for n in (20, 50, 100, 200)}
+    var = lambda n: (over("_s_ret2", n) - over("_s_ret", n) * over("_s_ret", n) / n) / (n - 1)
+    vols = {f"rv_{n}": F.when(over("_c_ret", n) == n, F.sqrt(F.greatest(var(n), F.lit(0.0)) * 252.0)) for n in (20, 63, 100)}
+    return step.select(*bars.columns, "n", "ret", *[x.alias(k) for k, x in (means | vols).items()], *[lag("close", k).alias(f"lag_{k}") for k in LAGS])
+
+
 def tail(bars, rows_: int):
     """``prepared`` rows of the last ``rows_`` bars of each asset; ``rk`` counts back from 1. No further exchange."""
     back = F.count(F.lit(1)).over(Window.partitionBy(ASSET)) - F.col("n") + 1

@@ -10,6 +10,13 @@ BEHAVIORAL = ("mean_reversion", "rsi_reversion", "cot_leveraged_positioning", "c
 PHYSICAL = ("momentum", "ma_single_200", "ma_cross_50_200", "multi_ma", "donchian_breakout", "vol_regime", "trend_following", "risk_regime", "relative_strength", "rs_short", "rs_long", "trend_vs_200dma", "cot_dealer_positioning", "cot_asset_manager_positioning", "frm_ts_mom", "frm_cs_region", "frm_cs_peer", "frm_composite")
 
 
+def mean_to(x, digits: int):
+    """Mean of values of four places, rounded half away from zero: by integers, so that it doesn't depend on the order of a sum."""
+    total, n = F.sum(F.round(x * 10_000).cast("long")), F.count(x)
+    scaled = F.abs(total) * (2 * 10 ** max(0, digits - 4)) + n
+    return F.when(n > 0, F.signum(total) * F.floor(scaled / (2 * n)) / 10.0 ** max(4, digits))
+
+
 def consensus(signals: DataFrame, *, digits: int = 4, weights: DataFrame | None = None) -> DataFrame:
     """One row for each asset.
 
@@ -63,7 +70,7 @@ def overlap(signals: DataFrame, seq: str, *, least: float = 0.15, digits: int =
     """Assets with counts of aligned families, over the last signal of each family; segments of all rows."""
     last = last_by_family(signals, seq)
     buy, sell = F.col("signal") >= least, F.col("signal") <= -least
-    agg = last.groupBy("asset").agg(F.count_if(buy).alias("buy_count"), F.count_if(sell).alias("sell_count"), F.round(F.avg("signal"), digits).alias("net"), F.count(F.lit(1)).alias("families"), F.coalesce(F.round(F.avg(F.when(buy | sell, F.abs("signal"))), digits), F.lit(0.0)).alias("mean_strength"))
+    agg = last.groupBy("asset").agg(F.count_if(buy).alias("buy_count"), F.count_if(sell).alias("sell_count"), mean_to(F.col("signal"), digits).alias("net"), F.count(F.lit(1)).alias("families"), F.coalesce(mean_to(F.when(buy | sell, F.abs("signal")), digits), F.lit(0.0)).alias("mean_strength"))
     segs = signals.groupBy("asset").agg(F.array_sort(F.collect_set("segment")).alias("segments"), F.min_by("asset_class", seq).alias("asset_class"))
     out = agg.join(segs, "asset").withColumn("n_segments", F.size("segments").cast("long"))
     return out.withColumn("conviction", F.abs("net") * F.col("n_segments") * F.greatest("buy_count", "sell_count"))

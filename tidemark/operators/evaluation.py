@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import ts
 from tidemark.functions.ts import clip
 from tidemark.functions.xs import peer_score
-from tidemark.operators.models import HISTORY_MODELS
+from tidemark.operators.models import HISTORY_MODELS, _time_series_momentum
 
+# Forward horizons in bars.
 HORIZONS = {"1m": 21, "3m": 63, "6m": 126, "12m": 252}
 
 
@@ -19,37 +20,49 @@ def walk_forward(bars: DataFrame, *, first: int = 253, step: int = 21) -> DataFr
     Trailing windows see no later row, so a model's column is its walk-forward
     value; no prefix is computed twice.
     """
-    rows = ts.featured(bars)
+    rows = ts.running(bars)
     ahead = {h: F.lead("close", k).over(ts.series()) for h, k in HORIZONS.items()}
-    forward = [F.when(F.col("close") > 0, F.try_divide(x, F.col("close")) - 1).alias(f"f_{h}") for h, x in ahead.items()]
-    wide = rows.select("asset", "d", "n", *forward, *[clip(m()).alias(k) for k, m in HISTORY_MODELS.items()])
+    wide = rows.select("*", *[x.alias(f"_{h}") for h, x in ahead.items()])
     due = wide.where((F.col("n") - 1 >= first) & ((F.col("n") - 1 - first) % step == 0))
+    forward = [F.when(F.col("close") > 0, F.try_divide(f"_{h}", "close") - 1).alias(f"f_{h}") for h in HORIZONS]
+    due = due.select("asset", "d", *forward, *[clip(m()).alias(k) for k, m in HISTORY_MODELS.items()])
     return due.unpivot(["asset", "d", *[f"f_{h}" for h in HORIZONS]], list(HISTORY_MODELS), "model", "signal")
 
 
 def hit_rate(bars: DataFrame, tags: DataFrame, *, least: float = 0.05) -> DataFrame:
-    """model, grp ('all' for the total), horizon, hits, n, hit_rate: one aggregation with grouping sets."""
+    """model, grp ('all' for the total, 'other' without a tag), horizon, hits, n, hit_rate: one aggregation with grouping sets."""
     w = walk_forward(bars).where(F.abs("signal") >= least)
     long = w.unpivot(["asset", "model", "signal"], [F.col(f"f_{h}").alias(h) for h in HORIZONS], "horizon", "f").where("f is not null and f <> 0")
-    j = long.join(F.broadcast(tags.select("asset", "grp")), "asset", "left").withColumn("hit", ((F.col("signal") > 0) == (F.col("f") > 0)).cast("long"))
-    g = j.groupingSets([[F.col("model"), F.col("horizon")], [F.col("model"), F.col("horizon"), F.col("grp")]], F.col("model"), F.col("horizon"), F.col("grp")).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"), F.grouping("grp").alias("all_"))
+    # counted by asset first, so that the join with the tags is of few rows
+    counts = long.groupBy("asset", "model", "horizon").agg(F.count_if((F.col("signal") > 0) == (F.col("f") > 0)).alias("hit"), F.count(F.lit(1)).alias("k"))
+    j = counts.join(tags.select("asset", "grp"), "asset", "left").withColumn("grp", F.coalesce("grp", F.lit("other")))
+    g = j.groupingSets([[F.col("model"), F.col("horizon")], [F.col("model"), F.col("horizon"), F.col("grp")]], F.col("model"), F.col("horizon"), F.col("grp")).agg(F.sum("hit").alias("hits"), F.sum("k").alias("n"), F.grouping("grp").alias("all_"))
     return g.select("model", F.when(F.col("all_") == 1, "all").otherwise(F.col("grp")).alias("grp"), "horizon", "hits", "n", F.round(F.try_divide("hits", "n"), 3).alias("hit_rate"))
 
 
-def signal_history(bars: DataFrame, tags: DataFrame, *, months: int = 12, least: int = 253) -> DataFrame:
-    """Month-end factor-rotation signals: the last bar of each asset in a month, ranked among its peers there."""
-    from tidemark.operators.models import _time_series_momentum
+def signal_history(bars: DataFrame, tags: DataFrame, *, first: int = 253, step: int = 21, least: int = 253, digits: int | None = 4) -> DataFrame:
+    """date, asset, family, signal: factor rotation on every ``step``-th day of the union calendar.
 
-    rows = ts.featured(bars)
-    month = F.trunc("d", "month")
+    The calendar is that of all tagged assets with ``least`` bars. On an evaluation
+    day each asset stands at its last bar up to then, if it has ``least`` of them, and
+    is ranked among its peers of that day. The evaluation days are one short array,
+    in proportion to the years, not to the assets.
+    """
+    tagged = bars.join(tags.select("asset"), "asset", "left_semi")
+    size = F.count(F.lit(1)).over(Window.partitionBy("asset"))
+    rows = ts.running(tagged).withColumn("size", size).withColumn("next", F.lead("d").over(ts.series())).where(F.col("size") >= least)
+    days = tagged.groupBy("asset").agg(F.collect_set("d").alias("days")).where(F.size("days") >= least).select(F.explode("days").alias("d")).distinct()
+    day = F.array_sort(F.collect_set("d"))
+    due = days.agg(day.alias("all")).select(F.filter("all", lambda _, i: (i >= first) & ((i - first) % step == 0)).alias("due"))
+    here = F.filter("due", lambda e: (e >= F.col("d")) & (F.col("next").isNull() | (e < F.col("next"))))
     r12 = F.when(F.col("n") >= 254, F.try_divide("lag_21", "lag_252") - 1)
-    wide = rows.select("asset", "d", "n", month.alias("m"), clip(_time_series_momentum()).alias("ts"), r12.alias("r12"), F.lead(month).over(ts.series()).alias("next"))
-    ends = wide.where("next is null or next <> m").where(F.col("n") >= least)
-    recent = ends.agg(F.add_months(F.max("m"), -(months - 1)).alias("from"))
-    j = ends.join(F.broadcast(recent), F.col("m") >= F.col("from")).drop("from").join(tags, "asset")
-    cs = j.withColumn("cs", peer_score("r12", ["m", "grp", "region"]))
-    out = cs.select("asset", "m", F.col("ts").alias("frm_ts_mom"), F.col("cs").alias("frm_cs_region"), clip(0.6 * F.col("ts") + 0.4 * F.col("cs")).alias("frm_composite"))
-    return out.unpivot(["asset", "m"], ["frm_ts_mom", "frm_cs_region", "frm_composite"], "family", "signal")
+    at = rows.where(F.col("n") >= least).crossJoin(F.broadcast(due)).withColumn("here", here).where(F.size("here") > 0)
+    at = at.select("asset", F.explode("here").alias("date"), clip(_time_series_momentum()).alias("ts"), r12.alias("r12")).join(tags, "asset")
+    x = at.withColumn("cs", peer_score("r12", ["date", "grp", "region"])).withColumn("peer", peer_score("r12", ["date", "grp", "label"]))
+    places = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    composite = clip(0.6 * F.col("ts") + 0.3 * F.col("cs") + 0.1 * F.col("peer"))
+    out = x.select("date", "asset", places(F.col("ts")).alias("frm_ts_mom"), places(F.col("cs")).alias("frm_cs_region"), places(composite).alias("frm_composite"))
+    return out.unpivot(["date", "asset"], ["frm_ts_mom", "frm_cs_region", "frm_composite"], "family", "signal")
 
 
 def _series() -> Window:

@@ -131,19 +131,7 @@ def keltner(spark, sf):
 
 
 def _signals(spark, sf) -> DataFrame:
-    every = models.MODELS | models.BATTERY
-    rows = models.long(models.evaluate(daily_bars(spark, sf), every), list(every)).join(F.broadcast(supplier_tags(spark, sf)) if _fits(spark, sf) else supplier_tags(spark, sf), "asset", "left")
-    h = F.create_map(*[F.lit(x) for k, m in every.items() for x in (k, m.horizon)])
-    base = dict(segment="strategies", signal=F.col("raw"), family=F.col("family"), horizon=h[F.col("family")], asof=F.col("d"), asset=F.col("asset"), asset_class=F.coalesce("grp", F.lit("equity")), source="bars")
-    battery = F.col("family").startswith("s151_")
-    out = make_signal(rows, **base)
-    return out.withColumn("confidence", F.when(battery, "low").otherwise(F.col("confidence")))
-
-
-def _fits(spark: SparkSession, sf: str, most: int = 10_000_000) -> bool:
-    """Whether the asset dimension is estimated small enough to broadcast."""
-    size = supplier_tags(spark, sf)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= most
+    return models.signals(daily_bars(spark, sf), supplier_tags(spark, sf))
 
 
 @query("signals_all", q.on_bars('SELECT "asof", asset, asset_class, segment, family, horizon, signal, state, confidence FROM sig', q.signals_cte()))
@@ -177,9 +165,9 @@ def consensus(spark, sf):
 
 
 _OVER = """ov AS (
-  SELECT asset, count(*) FILTER (signal >= 0.15) AS buy_count, count(*) FILTER (signal <= -0.15) AS sell_count, round(avg(signal), 6) AS net, count(*) AS families,
-    coalesce(round(avg(abs(signal)) FILTER (abs(signal) >= 0.15), 6), 0.0) AS mean_strength, array_to_string(list_sort(list(DISTINCT segment)), ',') AS segments, count(DISTINCT segment) AS n_segments
-  FROM sig GROUP BY 1
+  SELECT asset, count(*) FILTER (signal >= 0.15) AS buy_count, count(*) FILTER (signal <= -0.15) AS sell_count, sign(sum(t)) * ((abs(sum(t)) * 200 + count(*)) // (2 * count(*))) / 1e6 AS net, count(*) AS families,
+    coalesce((sum(abs(t)) FILTER (abs(signal) >= 0.15) * 200 + count(*) FILTER (abs(signal) >= 0.15)) // (2 * nullif(count(*) FILTER (abs(signal) >= 0.15), 0)) / 1e6, 0.0) AS mean_strength, array_to_string(list_sort(list(DISTINCT segment)), ',') AS segments, count(DISTINCT segment) AS n_segments
+  FROM (SELECT *, CAST(round(signal * 10000) AS BIGINT) AS t FROM sig) GROUP BY 1
 )"""
 
 
@@ -189,9 +177,9 @@ def overlap(spark, sf):
     return o.select("asset", "buy_count", "sell_count", "net", "families", "mean_strength", F.array_join("segments", ",").alias("segments"), "n_segments")
 
 
-@query("overlap_ranked", q.on_bars("SELECT asset, round(abs(net) * n_segments * greatest(buy_count, sell_count), 5) AS conviction FROM ov ORDER BY abs(net) * n_segments * greatest(buy_count, sell_count) DESC, asset LIMIT 20", q.signals_cte(), _OVER))
+@query("overlap_ranked", q.on_bars("SELECT asset, CAST(round(abs(net) * 1e6) AS BIGINT) * n_segments * greatest(buy_count, sell_count) / 1e6 AS conviction FROM ov ORDER BY abs(net) * n_segments * greatest(buy_count, sell_count) DESC, asset LIMIT 20", q.signals_cte(), _OVER))
 def overlap_ranked(spark, sf):
-    return ensemble.ranked(ensemble.overlap(_signals(spark, sf), "asof", digits=6), 20).select("asset", F.round("conviction", 5).alias("conviction"))
+    return ensemble.ranked(ensemble.overlap(_signals(spark, sf), "asof", digits=6), 20).select("asset", (F.round(F.abs("net") * 1e6).cast("long") * F.col("n_segments") * F.greatest("buy_count", "sell_count") / 1e6).alias("conviction"))
 
 
 @query("overlap_matrix", q.on_bars("SELECT asset, array_to_string(list(family || '=' || CAST(CAST(round(signal * 10000) AS BIGINT) AS VARCHAR) ORDER BY family), ',') AS signals FROM sig GROUP BY asset", q.signals_cte()))
@@ -260,7 +248,7 @@ _WALK = "walk AS (SELECT asset, d, n, " + ", ".join(f"CASE WHEN close > 0 THEN l
 _HITS = "hits AS (" + " UNION ALL ".join(f"SELECT asset, d, '{m}' AS model, '{h}' AS horizon, {m} AS s, f_{h} AS f FROM walk WHERE n - 1 >= 253 AND (n - 1 - 253) % 21 = 0" for m in q.MODEL_SQL for h in evaluation.HORIZONS) + ")"
 
 
-@query("hit_rate", q.on_bars("SELECT model, CASE WHEN grouping(grp) = 1 THEN 'all' ELSE grp END AS grp, horizon, CAST(sum(CASE WHEN (s > 0) = (f > 0) THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS n, round(sum(CASE WHEN (s > 0) = (f > 0) THEN 1 ELSE 0 END) / count(*)::DOUBLE, 3) AS hit_rate FROM hits LEFT JOIN tags USING (asset) WHERE abs(s) >= 0.05 AND f IS NOT NULL AND f <> 0 GROUP BY GROUPING SETS ((model, horizon), (model, horizon, grp))", q.TAGS, _WALK, _HITS))
+@query("hit_rate", q.on_bars("SELECT model, CASE WHEN grouping(g) = 1 THEN 'all' ELSE g END AS grp, horizon, CAST(sum(CASE WHEN (s > 0) = (f > 0) THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS n, round(sum(CASE WHEN (s > 0) = (f > 0) THEN 1 ELSE 0 END) / count(*)::DOUBLE, 3) AS hit_rate FROM (SELECT hits.*, coalesce(grp, 'other') AS g FROM hits LEFT JOIN tags USING (asset)) WHERE abs(s) >= 0.05 AND f IS NOT NULL AND f <> 0 GROUP BY GROUPING SETS ((model, horizon), (model, horizon, g))", q.TAGS, _WALK, _HITS))
 def hit_rate(spark, sf):
     return evaluation.hit_rate(daily_bars(spark, sf), supplier_tags(spark, sf))
 
@@ -270,12 +258,15 @@ def walk_forward(spark, sf):
     return evaluation.walk_forward(daily_bars(spark, sf)).select("asset", "d", "model", r6("signal").alias("signal"), r6("f_1m").alias("f_1m"))
 
 
-@query("signal_history", q.on_bars(f"""SELECT asset, m, family, round(signal, 6) AS signal FROM (
-  SELECT asset, m, unnest(['frm_ts_mom', 'frm_cs_region', 'frm_composite']) AS family, unnest([mom, cs, {q.clip('0.6 * mom + 0.4 * cs')}]) AS signal FROM (
-    SELECT e.asset, m, mom, {q.peer('r12', 'm, grp, region')} AS cs FROM e JOIN tags USING (asset) WHERE m >= (SELECT max(m) - INTERVAL 11 MONTH FROM e)))""",
-    q.TAGS, f"h AS (SELECT asset, d, n, date_trunc('month', d)::DATE AS m, lead(date_trunc('month', d)::DATE) OVER ({q.W}) AS nx, {q.clip(q.ts_mom())} AS mom, CASE WHEN n >= 254 THEN {q.lag('close', 21)} / nullif({q.lag('close', 252)}, 0) - 1 END AS r12 FROM prep), e AS (SELECT * FROM h WHERE (nx IS NULL OR nx <> m) AND n >= 253)"))
+_HISTORY = f"""h AS (SELECT asset, d, n, lead(d) OVER ({q.W}) AS nx, count(*) OVER (PARTITION BY asset) AS k, {q.clip(q.ts_mom())} AS mom, CASE WHEN n >= 254 THEN {q.lag('close', 21)} / nullif({q.lag('close', 252)}, 0) - 1 END AS r12 FROM prep),
+cal AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT d FROM h JOIN tags USING (asset) WHERE k >= 253)),
+ev AS (SELECT d AS date FROM cal WHERE i >= 253 AND (i - 253) % 21 = 0),
+hist AS (SELECT date, asset, mom, {q.peer('r12', 'date, grp, region')} AS cs, {q.peer('r12', 'date, grp, label')} AS pr FROM (SELECT date, h.asset, mom, r12, grp, region, label FROM ev JOIN h ON h.d <= date AND (h.nx IS NULL OR h.nx > date) JOIN tags ON h.asset = tags.asset WHERE n >= 253 AND k >= 253))"""
+
+
+@query("signal_history", q.on_bars(f"SELECT date, asset, family, round(signal, 6) AS signal FROM (SELECT date, asset, unnest(['frm_ts_mom', 'frm_cs_region', 'frm_composite']) AS family, unnest([mom, cs, {q.clip('0.6 * mom + 0.3 * cs + 0.1 * pr')}]) AS signal FROM hist)", q.TAGS, _HISTORY))
 def signal_history(spark, sf):
-    return evaluation.signal_history(daily_bars(spark, sf), supplier_tags(spark, sf)).withColumn("signal", r6("signal"))
+    return evaluation.signal_history(daily_bars(spark, sf), supplier_tags(spark, sf), digits=None).withColumn("signal", r6("signal"))
 
 
 _AR1 = """ar AS (
@@ -505,11 +496,11 @@ def seen_anti_join(spark, sf):
     return feed.unseen(i, i.where("seq % 3 = 0").select("id").distinct()).select("id", "seq")
 
 
-@query("archive_last_wins", f"WITH {_ITEMS}, old AS (SELECT id, min(seq) AS seq FROM items WHERE seq % 2 = 0 GROUP BY 1), new AS (SELECT id, min(seq) + 1000000 AS seq FROM items WHERE seq % 3 = 0 GROUP BY 1) SELECT id, coalesce(n.seq, o.seq) AS seq FROM old o FULL JOIN new n USING (id)")
+@query("archive_last_wins", f"WITH {_ITEMS}, old AS (SELECT id, min(seq) AS seq FROM items GROUP BY 1), new AS (SELECT id, min(seq) + 1000000 AS seq FROM items WHERE contains(source, 'e') GROUP BY 1) SELECT id, coalesce(n.seq, o.seq) AS seq FROM old o FULL JOIN new n USING (id)")
 def archive_last_wins(spark, sf):
     i = _items(spark, sf)
-    old = i.where("seq % 2 = 0").groupBy("id").agg(F.min("seq").alias("seq"))
-    new = i.where("seq % 3 = 0").groupBy("id").agg((F.min("seq") + 1000000).alias("seq"))
+    old = i.groupBy("id").agg(F.min("seq").alias("seq"))
+    new = i.where(F.col("source").contains("e")).groupBy("id").agg((F.min("seq") + 1000000).alias("seq"))
     return merged(old, new)
 
 
@@ -551,10 +542,10 @@ def category_counts(spark, sf):
     return read(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.md5("text")).alias("distinct_texts"))
 
 
-@query("source_status_join", "WITH s AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, count(*) > 40 AS ok, count(*) AS items FROM documents WHERE doc_id % 2 = 0 GROUP BY 1 HAVING source <> 'src1') SELECT source, ok, coalesce(items, 0) AS items, CASE WHEN ok IS NULL THEN 'not run' WHEN ok THEN 'ok' ELSE 'error' END AS state FROM s LEFT JOIN r USING (source)")
+@query("source_status_join", "WITH s AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, count(*) > 40 AS ok, count(*) AS items FROM documents GROUP BY 1 HAVING source <> 'src1') SELECT source, ok, coalesce(items, 0) AS items, CASE WHEN ok IS NULL THEN 'not run' WHEN ok THEN 'ok' ELSE 'error' END AS state FROM s LEFT JOIN r USING (source)")
 def source_status_join(spark, sf):
     d = read(spark, sf, "documents")
-    runs = d.where("doc_id % 2 = 0 and source <> 'src1'").groupBy("source").agg((F.count(F.lit(1)) > 40).alias("ok"), F.count(F.lit(1)).alias("items"))
+    runs = d.where("source <> 'src1'").groupBy("source").agg((F.count(F.lit(1)) > 40).alias("ok"), F.count(F.lit(1)).alias("items"))
     return feed.status(d.select("source").distinct(), runs).select("source", "ok", F.coalesce("items", F.lit(0)).alias("items"), "state")
 
 
@@ -573,7 +564,7 @@ def quality_checks(spark, sf):
     return quality.bar_checks(daily_bars(spark, sf), "2026-03-02").select("check", "ok")
 
 
-@query("signal_quality", q.on_bars("SELECT unnest(['enough_signals', 'all_valid', 'high_confidence_reached', 'no_null_signal']) AS \"check\", unnest([count(*) >= 1000, true, count(*) FILTER (confidence = 'high') > 0, count(*) FILTER (signal IS NULL) = 0]) AS ok FROM sig", q.signals_cte()))
+@query("signal_quality", q.on_bars("SELECT unnest(['enough_signals', 'all_valid', 'high_confidence_reached', 'no_null_signal']) AS \"check\", unnest([count(*) >= 1000, count(*) FILTER (NOT coalesce(signal BETWEEN -1 AND 1 AND state IN ('buy', 'neutral', 'sell') AND segment = 'strategies' AND horizon IN ('days', 'weeks', 'months') AND confidence IN ('low', 'medium', 'high') AND asset IS NOT NULL AND family IS NOT NULL, false)) = 0, count(*) FILTER (confidence = 'high') > 0, count(*) FILTER (signal IS NULL) = 0]) AS ok FROM sig", q.signals_cte()))
 def signal_quality(spark, sf):
     return quality.signal_checks(_signals(spark, sf)).select("check", "ok")
 

@@ -39,11 +39,12 @@ def _long(wide: DataFrame, families: dict[str, str], segment: str, source: str)
     return make_signal(rows, segment=segment, signal=F.col("raw"), family=F.col("family"), horizon=h[F.col("family")], asof=F.col("d"), asset=F.col("asset").cast("string"), asset_class=F.lit("equity"), source=source)
 
 
-def signal_run(bars: DataFrame, tags: DataFrame, *, benchmark, today: str, cadence: str = "daily", series: DataFrame | None = None, vix: str = "", credit: str = "", positions: DataFrame | None = None, factor_returns: DataFrame | None = None) -> Run:
+def signal_run(bars: DataFrame, tags: DataFrame, *, benchmark, today: str, cadence: str = "daily", series: DataFrame | None = None, vix: str = "", credit: str = "", rate: str = "", positions: DataFrame | None = None, factor_returns: DataFrame | None = None) -> Run:
     """All segments, their union, and consensus, overlap and heat-map over it.
 
     ``bars`` feeds several branches; cache or store it first if reading it is dear.
-    Positioning enters weekly and monthly, the backtest monthly.
+    Positioning enters weekly and monthly, the backtest monthly. ``vix``, ``credit``
+    and ``rate`` name the series of volatility, credit spread and ten-year yield.
     """
     run, spark = Run(), bars.sparkSession
     run.part("strategies", lambda: models.signals(bars, tags).withColumn("asset", F.col("asset").cast("string")))
@@ -70,8 +71,8 @@ def signal_run(bars: DataFrame, tags: DataFrame, *, benchmark, today: str, caden
     if "regime_summary" in run.tables and "overlap" in run.tables:
         first = macro.crowded(run.tables["overlap"]).agg(F.max("asset").alias("crowded"))
         soon = dates.agg(F.min("days_until").alias("days_to_event"))
-        rate = macro.percentile_of_last(series).agg(F.max("percentile").alias("rate_percentile"))
-        run.part("scenarios", lambda: macro.scenarios(run.tables["regime_summary"].crossJoin(first).crossJoin(soon).crossJoin(rate)))
+        ten_year = macro.percentile_of_last(series.where(F.col("series_id") == rate)).agg(F.max("percentile").alias("rate_percentile"))
+        run.part("scenarios", lambda: macro.scenarios(run.tables["regime_summary"].crossJoin(first).crossJoin(soon).crossJoin(ten_year)))
     run.part("rotation", lambda: rotation.rotation_by_timeframe(bars, tags))
     run.part("history", lambda: evaluation.signal_history(bars, tags))
     run.part("hit_rate", lambda: evaluation.hit_rate(bars, tags))

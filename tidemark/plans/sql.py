@@ -170,13 +170,28 @@ def on_bars(select: str, *more: str) -> str:
     return "WITH " + ",\n".join([BARS, PREP, *more]) + "\n" + select
 
 
+def _ema(span: int) -> str:
+    return f"list_reduce(c, lambda a, v: v * {2.0 / (span + 1)!r} + a * {1 - 2.0 / (span + 1)!r})"
+
+
+_FAST, _SLOW = "x.v * (2.0 / 13) + a.e12 * (11.0 / 13)", "x.v * (2.0 / 27) + a.e26 * (25.0 / 27)"
+#: The exponential models at the last bar, folded over an asset's closes.
+EXPONENTIAL = f"""folds AS (
+  SELECT asset, max(d) AS d, list(close ORDER BY d) AS c, list_reduce(list({{'v': close, 'e12': close, 'e26': close, 'sig': 0.0::DOUBLE}} ORDER BY d), lambda a, x: {{'v': x.v, 'e12': {_FAST}, 'e26': {_SLOW}, 'sig': (({_FAST}) - ({_SLOW})) * 0.2 + a.sig * 0.8}}) AS m FROM bars GROUP BY asset
+), expo AS (
+  SELECT f.asset, f.d, (m.e12 / nullif(m.e26, 0) - 1) * 12 AS s151_ema_cross_12_26, (m.e12 - m.e26 - m.sig) / (0.01 * close + 1e-9) AS s151_macd, (close - {_ema(20)}) / nullif(2 * atr, 0) AS s151_keltner
+  FROM folds f JOIN (SELECT asset, is_last, close, {sma("tr", 20)} AS atr FROM prep) p ON f.asset = p.asset AND p.is_last
+)"""
+
+
 def signals_cte() -> str:
-    """sig: asset, asset_class, segment, family, horizon, signal (6 places), state, confidence of all window models."""
+    """sig: asset, asset_class, segment, family, horizon, signal (4 places), state, confidence of all models."""
     wide = "wide AS (SELECT asset, d, is_last, " + ", ".join(f"{clip(x)} AS {k}" for k, x in RAW.items()) + " FROM prep)"
     rows = " UNION ALL ".join(f"SELECT asset, d, '{k}' AS family, '{HORIZON[k]}' AS horizon, {k} AS x FROM wide WHERE is_last" for k in RAW)
+    rows += " UNION ALL " + " UNION ALL ".join(f"SELECT asset, d, '{k}' AS family, 'weeks' AS horizon, {clip(k)} AS x FROM expo" for k in ("s151_ema_cross_12_26", "s151_macd", "s151_keltner"))
     sig = f"""sig AS (
   SELECT r.asset, r.d AS "asof", coalesce(t.grp, 'equity') AS asset_class, 'strategies' AS segment, family, horizon, round(x, 4) AS signal,
     CASE WHEN x >= 0.15 THEN 'buy' WHEN x <= -0.15 THEN 'sell' ELSE 'neutral' END AS state,
     CASE WHEN starts_with(family, 's151_') THEN 'low' WHEN abs(x) >= 0.6 THEN 'high' WHEN abs(x) >= 0.3 THEN 'medium' ELSE 'low' END AS confidence
   FROM ({rows}) r LEFT JOIN tags t ON r.asset = t.asset)"""
-    return ",\n".join([TAGS, wide, sig])
+    return ",\n".join([TAGS, wide, EXPONENTIAL, sig])
