@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entities that feeds use, ampersand last so that nothing is decoded twice.
+# Entities that feeds use most, for the SQL that states the same result; ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 # What marks a page or an entry as visual.
 VISUAL_TAGS = ("img", "figure", "table", "svg", "picture", "canvas")
@@ -15,8 +16,28 @@ CHART_WORDS = ("chart", "figure", "exhibit", "graph", "table", "heatmap", "infog
 NOT_CONTENT_IMAGES = ("logo", "icon", "avatar", "sprite")
 
 
+#: All named references that end in a semicolon, from the standard library's table.
+NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+
+
 def unescape(s: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, s)
+    """Character references decoded, each once: by number, or by name as far as there is one."""
+    parts = F.regexp_extract_all(s, F.lit(r"(?s)(&#?[0-9A-Za-z]+;|&|[^&]+)"), F.lit(1))
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def point(digits: Column, base: int) -> Column:
+        # beyond the last code point, and halves of a pair, stay as they are
+        n = F.conv(digits, base, 10).cast("long")
+        ok = (F.length(digits) <= 8) & n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(x: Column) -> Column:
+        body = F.substring(x, 2, 1_000_000).substr(F.lit(1), F.length(x) - 2)
+        decimal, hexadecimal = F.regexp_extract(x, r"^&#([0-9]+);$", 1), F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]+);$", 1)
+        number = F.when(decimal != "", point(decimal, 10)).when(hexadecimal != "", point(hexadecimal, 16))
+        return F.when(x.startswith("&") & x.endswith(";") & (F.length(x) > 2), F.coalesce(number, F.try_element_at(names, body), x)).otherwise(x)
+
+    return F.when(s.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(s)
 
 
 def collapse(s: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -241,6 +243,29 @@ def ema_fold(values: Column, spans: tuple[int, ...]) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), seed, step)
 
 
+def ema_columns(bars, spans: tuple[int, ...] = (12, 20, 26), column: str = "close"):
+    """asset, d, ``column`` and on every row the exponential averages e<span>, seeded by the first value.
+
+    An average depends on all rows before, so an asset's series is worked on as a
+    whole; nulls keep the average as it is.
+    """
+    names = [ASSET, DAY, column]
+
+    def run(t):
+        t = t.sort_by(DAY)
+        x = t.column(column).to_numpy(zero_copy_only=False).astype(float)
+        out = {f"e{n}": np.full(len(x), np.nan) for n in spans}
+        for n, e in zip(spans, out.values()):
+            a, last = 2.0 / (n + 1), np.nan
+            for k, v in enumerate(x.tolist()):
+                last = last if v != v else v if last != last else v * a + last * (1 - a)
+                e[k] = last
+        return pa.table({**{c: t.column(c) for c in names}, **{k: pa.array(v, pa.float64(), from_pandas=True) for k, v in out.items()}})
+
+    kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
+    return bars.select(*names).groupBy(ASSET).applyInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in names] + [f"e{n} double" for n in spans]))
+
+
 def macd_fold(values: Column) -> Column:
     """Struct of e12, e26 and sig: the 9-span average of their difference, in one pass."""
     first = F.element_at(values, 1)

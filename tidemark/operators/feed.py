@@ -13,8 +13,24 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean_text, has_visual, item_id, page_is_visual
 
 
-def with_ids(items: DataFrame, summary_limit: int = 320) -> DataFrame:
-    return items.select("seq", item_id(F.col("link"), F.col("title")).alias("id"), "source", clean_text(F.col("title")).alias("title"), "link", clean_text(F.col("summary"), summary_limit).alias("summary"))
+def with_ids(items: DataFrame, summary_limit: int = 320, title_limit: int = 240) -> DataFrame:
+    """Entries with a link and a title as items: seq, id, source, category, title, link, summary, published."""
+    optional = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in items.columns else F.lit("")
+    rows = items.select("seq", "source", optional("category").alias("category"), clean_text(F.col("title"), title_limit).alias("title"), F.coalesce("link", F.lit("")).alias("link"), clean_text(F.col("summary"), summary_limit).alias("summary"), optional("published").alias("published"))
+    return rows.where("link <> '' and title <> ''").select("seq", item_id(F.col("link"), F.col("title")).alias("id"), "source", "category", "title", "link", "summary", "published")
+
+
+def enabled(sources: DataFrame) -> DataFrame:
+    """Sources that are switched on and have an address."""
+    return sources.where("enabled and coalesce(url, '') <> ''")
+
+
+def in_category(items: DataFrame, category: str, sources: list[str] | None = None, visual: str | None = None) -> DataFrame:
+    """Items of a category, of some sources and of one kind where these are given."""
+    rows = items.where(F.col("category") == category)
+    if sources:
+        rows = rows.where(F.col("source").isin(*sources))
+    return rows.where(F.col("visual") == visual) if visual else rows
 
 
 def capped(items: DataFrame, k: int = 25) -> DataFrame:
@@ -37,12 +53,22 @@ def search(items: DataFrame, text: str) -> DataFrame:
     return items.where(F.lower("title").contains(q) | F.lower("source").contains(q))
 
 
-def classify(entries: DataFrame, *, budget: int = 120, **words) -> DataFrame:
+def classify(entries: DataFrame, *, budget: int | None = 120, split: str | None = None, **words) -> DataFrame:
     """``kind``: visual or text. Media, an image enclosure or a drawing in the summary decide; else
-    the page does, for as many entries as ``budget`` allows, in order of ``seq``."""
-    e = entries.withColumn("_hint", F.coalesce(F.col("media"), F.lit(False)) | F.coalesce(F.col("enclosure").contains("image"), F.lit(False)) | has_visual(F.col("summary")))
-    k = F.sum(F.when(~F.col("_hint") & F.col("page").isNotNull(), 1).otherwise(0)).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) if budget is not None else F.lit(0)
-    return e.withColumn("kind", F.when(F.col("_hint"), "visual").when((k <= (budget if budget is not None else 0)) & page_is_visual(F.col("page"), **words), "visual").otherwise("text")).drop("_hint")
+    the page does, for as many entries as ``budget`` allows, in order of ``seq``.
+
+    Only entries of the category ``split`` are told apart, where it is given; others are
+    ``n/a`` and spend nothing. The entries whose page is read are a top-k of that size.
+    """
+    mine = F.coalesce(F.col("category") == split, F.lit(False)) if split else F.lit(True)
+    hint = F.coalesce(F.col("media"), F.lit(False)) | F.coalesce(F.col("enclosure").contains("image"), F.lit(False)) | has_visual(F.col("summary"))
+    e = entries.withColumn("_mine", mine).withColumn("_hint", hint)
+    asked = e.where("_mine and not _hint and page is not null").select("seq")
+    if budget is not None:
+        asked = F.broadcast(asked.orderBy("seq").limit(budget))
+    e = e.join(asked.distinct().withColumn("_read", F.lit(True)), "seq", "left")
+    page = F.coalesce(F.col("_read"), F.lit(False)) & page_is_visual(F.col("page"), **words)
+    return e.withColumn("kind", F.when(~F.col("_mine"), "n/a").when(F.col("_hint") | page, "visual").otherwise("text")).drop("_hint", "_mine", "_read")
 
 
 def status(sources: DataFrame, runs: DataFrame) -> DataFrame:
@@ -135,3 +161,31 @@ def news_hits(news: DataFrame, movers: DataFrame) -> DataFrame:
     j = news.crossJoin(F.broadcast(names))
     text = F.upper(F.concat_ws(" ", "title", "source"))
     return j.withColumn("hot", F.exists("names", lambda n: text.contains(n))).drop("names")
+
+
+def hot_news(items: DataFrame, movers: DataFrame, limit: int = 8) -> DataFrame:
+    """News items, those that name a mover first, then by date as published."""
+    news = news_hits(items.where("category = 'news'"), movers)
+    return news.orderBy(F.desc("hot"), "published", "seq").limit(limit).select("title", "source", "link", "hot")
+
+
+def ticker_news(entries: DataFrame, movers: DataFrame, per: int = 2, most: int = 10) -> DataFrame:
+    """ticker, name, move, title, link, published: the first headlines of the first movers that have any.
+
+    ``entries`` (query, seq, title, link, published) are landed searches; ``movers``
+    (rank, ticker, name, w1) ask for their name, or else their ticker, as a stock.
+    """
+    few = movers.orderBy("rank").limit(most).withColumn("query", F.concat(F.coalesce(F.nullif("name", F.lit("")), F.col("ticker")), F.lit(" stock")))
+    first = F.row_number().over(Window.partitionBy("query").orderBy("seq"))
+    found = entries.join(F.broadcast(few.select("query")).distinct(), "query", "left_semi").withColumn("_k", first).where(F.col("_k") <= per)
+    return found.join(F.broadcast(few), "query").select("ticker", F.coalesce("name", F.lit("")).alias("name"), F.col("w1").alias("move"), "title", "link", F.left("published", F.lit(16)).alias("published"))
+
+
+def crawled(pages: DataFrame, start: str, least: int = 12) -> DataFrame:
+    """Pages that a crawl from ``start`` has found as entries: title, link, summary; without the start and the untitled."""
+    link = F.trim(F.coalesce("url", F.lit("")))
+    key = F.regexp_replace(F.regexp_replace(link, "#.*$", ""), "/+$", "")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    title = F.trim(F.coalesce(some("meta_title"), some("title"), F.left("text", F.lit(120)), F.lit("")))
+    rows = pages.where((link != "") & (key != start.split("#")[0].rstrip("/"))).select(title.alias("title"), link.alias("link"), F.left(F.coalesce("text", F.lit("")), F.lit(300)).alias("summary"))
+    return rows.where(F.length("title") >= least).withColumn("title", F.left("title", F.lit(240)))

@@ -158,6 +158,16 @@ def recursive(bars: DataFrame) -> DataFrame:
     )
 
 
+def exponential_history(bars: DataFrame) -> DataFrame:
+    """asset, d and the exponential models on every row; the signal line averages the two averages' difference."""
+    e = ts.ema_columns(bars).withColumn("diff", F.col("e12") - F.col("e26"))
+    # the signal line is seeded by the first difference, which is 0
+    line = ts.ema_columns(e, (9,), "diff").select("asset", "d", F.col("e9").alias("sig"))
+    atr = ts.prepared(bars).select("asset", "d", sma("tr", 20).alias("atr"))
+    rows = e.join(line, ["asset", "d"]).join(atr, ["asset", "d"])
+    return rows.select("asset", "d", ((ratio("e12", "e26") - 1) * 12).alias("s151_ema_cross_12_26"), ((F.col("diff") - F.col("sig")) / (0.01 * F.col("close") + 1e-9)).alias("s151_macd"), F.try_divide(F.col("close") - F.col("e20"), 2 * F.col("atr")).alias("s151_keltner"))
+
+
 def signals(bars: DataFrame, tags: DataFrame) -> DataFrame:
     """All per-series signals and the exponential ones as records; tags are a small dimension."""
     every = MODELS | BATTERY

@@ -9,6 +9,7 @@ from tidemark.functions import ts
 from tidemark.functions.text import percent
 from tidemark.functions.ts import change
 
+# Horizons in bars; the sentences of the brief are fixed texts too.
 HORIZONS = {"w1": 5, "m1": 21, "m3": 63, "m6": 126, "y1": 252, "y3": 756}
 
 
@@ -68,6 +69,30 @@ def rebased(bars: DataFrame, tail: int = 252) -> DataFrame:
     return cut.select("asset", "d", (F.try_divide("close", F.first("close").over(ts.series().rowsBetween(Window.unboundedPreceding, 0))) - 1).alias("rebased"))
 
 
+def comparative(bars: DataFrame, window: int | str, today: str, hourly: DataFrame | None = None) -> DataFrame:
+    """asset, d, pct: change in percent since the start of a window of ``window`` bars, or of the year ('YTD').
+
+    A window of at most six bars shows ``hourly`` (asset, d, close) whole, where that is
+    given. Series of under two rows or without a first price are left out.
+    """
+    if window == "YTD":
+        rows = bars.where(F.col("d") >= F.trunc(F.to_date(F.lit(today)), "year"))
+    elif hourly is not None and window <= 6:
+        rows = hourly
+    else:
+        back = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("d")))
+        rows = bars.withColumn("_k", back).where(F.col("_k") <= window)
+    w = Window.partitionBy("asset")
+    rows = rows.select("asset", "d", "close", F.min_by("close", "d").over(w).alias("first"), F.count(F.lit(1)).over(w).alias("n"))
+    return rows.where("n >= 2 and first > 0").select("asset", "d", ((F.try_divide("close", "first") - 1) * 100).alias("pct"))
+
+
+def daily_series(bars: DataFrame, keep: int = 252, digits: int = 4) -> DataFrame:
+    """asset, d, c: the last ``keep`` closes that there are."""
+    back = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("d")))
+    return bars.where("close is not null").withColumn("_k", back).where(F.col("_k") <= keep).select("asset", "d", F.round("close", digits).alias("c"))
+
+
 def month_seasonality(bars: DataFrame) -> DataFrame:
     """Mean and hit-rate of monthly changes by calendar month."""
     ends = bars.groupBy("asset", F.trunc("d", "month").alias("m")).agg(F.max_by("close", "d").alias("c"))

@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from tidemark.sources import adapters
 from tidemark.sources.adapters import daily_bars, read, supplier_tags
 from tidemark.sources.readers import last_rows
 from tidemark.sources.sinks import merged
+from tidemark.sources.work import shared_dir
 from tidemark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,7 +266,7 @@ ev AS (SELECT d AS date FROM cal WHERE i >= 253 AND (i - 253) % 21 = 0),
 hist AS (SELECT date, asset, mom, {q.peer('r12', 'date, grp, region')} AS cs, {q.peer('r12', 'date, grp, label')} AS pr FROM (SELECT date, h.asset, mom, r12, grp, region, label FROM ev JOIN h ON h.d <= date AND (h.nx IS NULL OR h.nx > date) JOIN tags ON h.asset = tags.asset WHERE n >= 253 AND k >= 253))"""
 
 
-@query("signal_history", q.on_bars(f"SELECT date, asset, family, round(signal, 6) AS signal FROM (SELECT date, asset, unnest(['frm_ts_mom', 'frm_cs_region', 'frm_composite']) AS family, unnest([mom, cs, {q.clip('0.6 * mom + 0.3 * cs + 0.1 * pr')}]) AS signal FROM hist)", q.TAGS, _HISTORY))
+@query("signal_history", q.on_bars(f"SELECT date, asset, family, round(signal, 6) + 0.0 AS signal FROM (SELECT date, asset, unnest(['frm_ts_mom', 'frm_cs_region', 'frm_composite']) AS family, unnest([mom, cs, {q.clip('0.6 * mom + 0.3 * cs + 0.1 * pr')}]) AS signal FROM hist)", q.TAGS, _HISTORY))
 def signal_history(spark, sf):
     return evaluation.signal_history(daily_bars(spark, sf), supplier_tags(spark, sf), digits=None).withColumn("signal", r6("signal"))
 
@@ -412,7 +414,7 @@ def gamma(spark, sf):
     return c.groupBy("ticker").agg(r6(F.sum("g")).alias("gamma"), F.count(F.lit(1)).alias("n"))
 
 
-@query("gex", f"WITH {_CHAIN}, near AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY expiry) AS e FROM chain) SELECT ticker, round(x / 1e9, 6) AS net_gex_bn, CASE WHEN x >= 0 THEN 'positive (vol-dampening)' ELSE 'negative (vol-amplifying)' END AS regime FROM (SELECT ticker, sum((CASE side WHEN 'call' THEN 1.0 ELSE -1.0 END) * {_GAMMA} * oi * 100 * s * s * 0.01) AS x FROM near WHERE e <= 4 AND t > 0 GROUP BY 1)")
+@query("gex", f"WITH {_CHAIN}, near AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY expiry) AS e FROM chain) SELECT ticker, round(x / 1e9, 6) + 0.0 AS net_gex_bn, CASE WHEN x >= 0 THEN 'positive (vol-dampening)' ELSE 'negative (vol-amplifying)' END AS regime FROM (SELECT ticker, sum((CASE side WHEN 'call' THEN 1.0 ELSE -1.0 END) * {_GAMMA} * oi * 100 * s * s * 0.01) AS x FROM near WHERE e <= 4 AND t > 0 GROUP BY 1)")
 def gex(spark, sf):
     return macro.net_gamma(_chain(spark, sf)).withColumn("net_gex_bn", r6("net_gex_bn"))
 
@@ -496,11 +498,11 @@ def seen_anti_join(spark, sf):
     return feed.unseen(i, i.where("seq % 3 = 0").select("id").distinct()).select("id", "seq")
 
 
-@query("archive_last_wins", f"WITH {_ITEMS}, old AS (SELECT id, min(seq) AS seq FROM items GROUP BY 1), new AS (SELECT id, min(seq) + 1000000 AS seq FROM items WHERE contains(source, 'e') GROUP BY 1) SELECT id, coalesce(n.seq, o.seq) AS seq FROM old o FULL JOIN new n USING (id)")
+@query("archive_last_wins", f"WITH {_ITEMS}, old AS (SELECT id, min(seq) AS seq FROM items GROUP BY 1), new AS (SELECT id, min(seq) + 1000000 AS seq FROM items WHERE contains(source, '.net') GROUP BY 1) SELECT id, coalesce(n.seq, o.seq) AS seq FROM old o FULL JOIN new n USING (id)")
 def archive_last_wins(spark, sf):
     i = _items(spark, sf)
     old = i.groupBy("id").agg(F.min("seq").alias("seq"))
-    new = i.where(F.col("source").contains("e")).groupBy("id").agg((F.min("seq") + 1000000).alias("seq"))
+    new = i.where(F.col("source").contains(".net")).groupBy("id").agg((F.min("seq") + 1000000).alias("seq"))
     return merged(old, new)
 
 
@@ -569,26 +571,24 @@ def signal_quality(spark, sf):
     return quality.signal_checks(_signals(spark, sf)).select("check", "ok")
 
 
+def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The table ``events`` as a stream of files."""
+    source = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    return source.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+
+
 @query("streaming_dedup", "SELECT DISTINCT user_id FROM events")
 def streaming_dedup(spark, sf):
-    """Stream of events deduplicated by user, run to its end through memory of the query's own."""
-    return _drain(spark, sf, lambda s: streams.deduplicated(s, "user_id", "ts", "3650 days").select("user_id"), "append", ["user_id"])
+    """Stream of events deduplicated by user, run to its end."""
+    return streams.drained(streams.deduplicated(_events_stream(spark, sf), "user_id", "ts", "3650 days").select("user_id"), _folder(spark))
 
 
 @query("streaming_bars", "SELECT event_type AS key, date_trunc('hour', ts) AS start, round(max(value), 6) AS high, round(min(value), 6) AS low, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_bars(spark, sf):
-    ticks = lambda s: s.select(F.col("event_type").alias("key"), "ts", "event_id", "value")
-    out = _drain(spark, sf, lambda s: streams.bars(ticks(s), late="1 hour"), "complete", ["key", "start"])
+    ticks = _events_stream(spark, sf).select(F.col("event_type").alias("key"), "ts", "event_id", "value")
+    out = streams.drained(streams.bars(ticks, late="1 hour"), _folder(spark), ["key", "start"])
     return out.select("key", F.col("start").cast("timestamp_ntz").alias("start"), r6("high").alias("high"), r6("low").alias("low"), "n")
-
-
-def _drain(spark: SparkSession, sf: str, build, mode: str, keys: list[str]) -> DataFrame:
-    """Run a file stream over ``events`` once and return its table."""
-    import uuid
-
-    name = f"tidemark_{uuid.uuid4().hex}"
-    schema = read(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    done = build(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name)

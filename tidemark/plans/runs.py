@@ -82,13 +82,16 @@ def signal_run(bars: DataFrame, tags: DataFrame, *, benchmark, today: str, caden
 
 
 def feed_run(entries: DataFrame, seen: DataFrame, archive: DataFrame | None = None, *, per_source: int = 25, budget: int = 120) -> Run:
-    """Entries (seq, source, link, title, summary, media, enclosure, page) -> new items, merged day archive, seen ids, status."""
+    """Entries (seq, source, category, link, title, summary, published, media, enclosure, page) -> new items, merged day archive, seen ids, status."""
     from tidemark.sources.sinks import merged
 
     run = Run()
     few = feed.capped(entries, per_source)
-    kinds = feed.classify(few, budget=budget).select("seq", F.col("kind").alias("visual"))
-    items = feed.unseen(feed.with_ids(few), seen).join(kinds, "seq")
+    new = feed.unseen(feed.with_ids(few), seen)
+    # pages are read for new insights only, so that items seen before spend nothing of the budget
+    raw = few.select("seq", "media", "enclosure", F.col("summary").alias("_summary"), "page")
+    kinds = feed.classify(new.drop("summary").join(raw, "seq").withColumnRenamed("_summary", "summary"), budget=budget, split="insight")
+    items = new.join(kinds.select("seq", F.col("kind").alias("visual")), "seq")
     run.tables["new"] = items
     run.tables["archive"] = merged(archive, items) if archive is not None else items
     run.tables["seen"] = seen.select("id").unionByName(items.select("id")).distinct()

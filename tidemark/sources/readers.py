@@ -5,10 +5,16 @@ Each one turns a file into a typed DataFrame; fetching it is the caller's.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from html.parser import HTMLParser
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import first_number
+from tidemark.sources.sinks import cached
 
 PRICE_COLUMNS = ["open", "high", "low", "close", "volume"]
 
@@ -20,6 +26,21 @@ def price_panel(bars: DataFrame, least: int = 60) -> DataFrame:
     return rows.join(long, "asset", "left_semi")
 
 
+def prices(spark: SparkSession, root: str, name: str, wanted: DataFrame, *, landed: DataFrame | None = None, max_age_hours: float = 18.0, least: int = 60) -> tuple[DataFrame | None, DataFrame]:
+    """(bars of the wanted assets, wanted assets without any): from a young cache, else from ``landed``.
+
+    Where the cache lacks some, ``landed`` (fetched by the caller) adds these.
+    """
+    held = cached(spark, root, name, max_age_hours)
+    held = None if held is None else held.join(wanted.select("asset"), "asset", "left_semi")
+    if landed is not None:
+        more = price_panel(landed.join(wanted.select("asset"), "asset", "left_semi"), least)
+        more = more if held is None else more.join(held.select("asset").distinct(), "asset", "left_anti")
+        held = more if held is None else held.select(*more.columns).unionByName(more)
+    missing = wanted.select("asset") if held is None else wanted.select("asset").join(held.select("asset").distinct(), "asset", "left_anti")
+    return held, missing
+
+
 def fred_csv(spark: SparkSession, path: str, series_id: str, keep: int = 520) -> DataFrame:
     """series_id, d, value: the last ``keep`` readable values."""
     raw = spark.read.option("header", True).csv(path)
@@ -74,12 +95,45 @@ def header_row(cells: list) -> int | None:
     return next((i for i, c in enumerate(cells) if isinstance(c, str) and c.strip().lower() == "date"), None)
 
 
-def factor_sheet(spark: SparkSession, rows: list[list], least: int = 24) -> DataFrame:
-    """A workbook sheet read into rows of cells: factor, m, r for the series of over ``least`` values."""
-    at = header_row([r[0] if r else None for r in rows])
-    names = rows[at] if at is not None else []
-    cells = [(str(names[k]).strip(), str(r[0]), str(r[k])) for r in rows[(at or 0) + 1 :] for k in range(1, min(len(r), len(names))) if names[k]] if at is not None else []
-    long = spark.createDataFrame(cells, "factor string, m string, r string").select("factor", F.trunc(F.col("m").try_cast("date"), "month").alias("m"), F.col("r").try_cast("double").alias("r")).where("m is not null and r is not null")
+def sheet_cells(spark: SparkSession, path: str, sheet: str) -> list[list[str | None]]:
+    """Rows of cells of a sheet of a workbook, as text; one file is one workbook, so it fits the driver."""
+    data = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    book = zipfile.ZipFile(io.BytesIO(bytes(data)))
+    tree = lambda name: ElementTree.fromstring(book.read(name))
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in tree("xl/sharedStrings.xml")]
+    names = [e.attrib["name"] for e in tree("xl/workbook.xml").iter() if local(e) == "sheet"]
+    if sheet not in names:
+        return []
+    rows: list[list[str | None]] = []
+    for row in (e for e in tree(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml").iter() if local(e) == "row"):
+        cells: list[str | None] = []
+        for c in (e for e in row if local(e) == "c"):
+            at = 0
+            for letter in c.attrib.get("r", "").rstrip("0123456789"):
+                at = at * 26 + ord(letter) - 64
+            cells += [None] * (max(at - 1, len(cells)) - len(cells))
+            text = "".join(t.text or "" for t in c.iter() if local(t) in ("v", "t"))
+            cells.append(shared[int(text)] if c.attrib.get("t") == "s" and text else text or None)
+        rows.append(cells)
+    return rows
+
+
+def factor_sheet(spark: SparkSession, rows: list[list], regions: dict[str, str] | None = None, label: str = "", least: int = 24) -> DataFrame:
+    """Cells of a sheet -> factor, region, m, r of the series of over ``least`` values below the row headed by 'date'.
+
+    ``regions`` maps the columns that count to regions, the factor then is
+    'REGION:label'; without it every column is a factor. Dates are ISO, month/day/year
+    or a sheet's day numbers.
+    """
+    at = header_row([r[0] if r else None for r in rows[:40]])
+    names = [str(n).strip() if n is not None else "" for n in rows[at]] if at is not None else []
+    wanted = {k: (f"{regions[n]}:{label}", regions[n]) if regions else (n, n[:2]) for k, n in enumerate(names) if k and n and (not regions or n in regions)}
+    cells = [(*wanted[k], str(r[0]), str(r[k])) for r in (rows[at + 1 :] if at is not None else []) for k in wanted if k < len(r) and r[0] is not None and r[k] is not None]
+    day = F.coalesce(F.try_to_timestamp("m", F.lit("M/d/yyyy")).cast("date"), F.when(F.col("m").rlike(r"^[0-9]+([.]0*)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.col("m").try_cast("double").cast("int"))), F.col("m").try_cast("date"))
+    long = spark.createDataFrame(cells, "factor string, region string, m string, r string").select("factor", "region", F.trunc(day, "month").alias("m"), F.col("r").try_cast("double").alias("r")).where("m is not null and r is not null")
     return long.join(long.groupBy("factor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > least), "factor", "left_semi")
 
 
@@ -93,16 +147,61 @@ def union_last_wins(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return out.withColumn("_last", last).where("_from = _last").drop("_from", "_last")
 
 
-def constituents(table: DataFrame) -> DataFrame:
-    """symbol with '.' as '-', name."""
-    return table.select(F.translate(F.trim("symbol"), ".", "-").alias("symbol"), "name").dropDuplicates(["symbol"])
+class _Table(HTMLParser):
+    """Rows of cells of the first table of a page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list[str]] = []
+        self.state, self.cell = "before", None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table" and self.state == "before":
+            self.state = "inside"
+        elif self.state == "inside" and tag == "tr":
+            self.rows.append([])
+        elif self.state == "inside" and tag in ("td", "th") and self.rows:
+            self.rows[-1].append("")
+            self.cell = True
+        elif tag == "sup":
+            self.cell = None
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.state == "inside":
+            self.state = "after"
+        elif tag in ("td", "th"):
+            self.cell = None
+
+    def handle_data(self, data):
+        if self.state == "inside" and self.cell:
+            self.rows[-1][-1] += data
+
+
+def first_table(spark: SparkSession, html: str) -> DataFrame:
+    """The first table of one page, columns named by its head in lower case."""
+    page = _Table()
+    page.feed(html)
+    head, *body = page.rows or [[]]
+    names = [" ".join(n.split()).lower() for n in head]
+    rows = [tuple(" ".join(c.split()) for c in r) for r in body if len(r) == len(names)]
+    return spark.createDataFrame(rows, ", ".join(f"`{n or k}` string" for k, n in enumerate(names)) or "none string")
+
+
+def constituents(table: DataFrame, symbol: str = "symbol", name: str = "security") -> DataFrame:
+    """symbol with '.' as '-', name; of repeated symbols one."""
+    rows = table.select(F.trim(F.translate(F.col(f"`{symbol}`"), ".", "-")).alias("symbol"), F.trim(F.col(f"`{name}`")).alias("name"))
+    return rows.groupBy("symbol").agg(F.min("name").alias("name"))
 
 
 def landed_feed(spark: SparkSession, path: str) -> DataFrame:
-    """RSS 2.0 files as items: title, link, summary, published."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string, updated string, created string").load(path)
-    pick = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("pubDate", "updated", "created")], F.lit(""))
-    return raw.select("title", "link", F.col("description").alias("summary"), pick.alias("published"))
+    """RSS 2.0 items and Atom entries of feed files: title, link, summary, published."""
+    first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(n)), F.lit("")) for n in names], F.lit(""))
+    rss = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string, updated string, created string").load(path)
+    atom = spark.read.format("xml").option("rowTag", "entry").option("valueTag", "_text").schema("title string, link array<struct<_href:string,_rel:string>>, summary string, content string, published string, updated string, created string").load(path)
+    # the alternate link, which may leave its relation out
+    href = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")[0]["_href"]
+    entries = atom.withColumn("href", href).select(first("title").alias("title"), first("href").alias("link"), first("summary", "content").alias("summary"), first("published", "updated", "created").alias("published"))
+    return rss.select(first("title").alias("title"), first("link").alias("link"), first("description").alias("summary"), first("pubDate", "updated", "created").alias("published")).unionByName(entries)
 
 
 def first_way(fetched: DataFrame, order: tuple[str, ...] = ("direct", "render", "crawl")) -> DataFrame:
@@ -112,11 +211,23 @@ def first_way(fetched: DataFrame, order: tuple[str, ...] = ("direct", "render",
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` that their host's rules don't forbid; hosts without rules are open."""
+    """``urls`` that their host's rules (host, allowed) don't forbid; hosts without rules are open."""
     host = F.lower(F.regexp_extract("url", "//([^/:]+)", 1))
-    return urls.withColumn("host", host).join(F.broadcast(rules), "host", "left").where(F.coalesce("allowed", F.lit(True))).drop("allowed", "host")
+    return urls.withColumn("host", host).join(rules.select("host", "allowed"), "host", "left").where(F.coalesce("allowed", F.lit(True))).drop("allowed", "host")
 
 
-def within_budget(spent: float | None, limit: float) -> bool:
+def spent(usage: DataFrame) -> float | None:
+    """US dollars of the month: the discounted sum, else the plain one; None where neither can be read."""
+    number = lambda c: F.sum(F.col(c).try_cast("double"))
+    row = usage.agg(F.coalesce(F.nullif(number("discounted"), F.lit(0.0)), number("plain")).alias("usd")).first()
+    return None if row is None else row["usd"]
+
+
+def within_budget(spent_: float | None, limit: float) -> bool:
     """Unreadable spending counts as exhausted."""
-    return spent is not None and spent < limit
+    return spent_ is not None and spent_ < limit
+
+
+def gate(enabled: bool, spent_: float | None, limit: float) -> str | None:
+    """Why a paid crawl must not run, or None."""
+    return "apify:disabled" if not enabled else None if within_budget(spent_, limit) else "apify:budget"
