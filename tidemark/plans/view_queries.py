@@ -217,12 +217,12 @@ def hot_news(spark, sf):
     return feed.hot_news(feed.with_ids(_entries(spark, sf)), movers)
 
 
-@query("ticker_news", "WITH m AS (SELECT s_name AS ticker, CASE WHEN s_suppkey < 4 THEN s_name ELSE '' END AS name, s_acctbal AS w1, s_suppkey AS rank FROM supplier ORDER BY s_suppkey LIMIT 10), e AS (SELECT s_name || ' stock' AS query, l_orderkey * 10 + l_linenumber AS seq, l_shipmode_ AS title FROM (SELECT *, CAST(l_shipdate AS VARCHAR) AS l_shipmode_ FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey) SELECT ticker, name, w1 AS move, e.title, CAST(e.seq AS VARCHAR) AS link, left(e.title, 16) AS published FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seq) AS k FROM e) e JOIN m ON e.query = coalesce(nullif(m.name, ''), m.ticker) || ' stock' WHERE k <= 2")
+@query("ticker_news", "WITH m AS (SELECT s_name AS ticker, CASE WHEN s_suppkey < 4 THEN s_name ELSE '' END AS name, s_acctbal AS w1, s_suppkey AS rank FROM supplier ORDER BY s_suppkey LIMIT 10), e AS (SELECT s_name || ' stock' AS query, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS seq, l_shipmode_ AS title FROM (SELECT *, CAST(l_shipdate AS VARCHAR) AS l_shipmode_ FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey) SELECT ticker, name, w1 AS move, e.title, CAST(e.seq AS VARCHAR) AS link, left(e.title, 16) AS published FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seq) AS k FROM e) e JOIN m ON e.query = coalesce(nullif(m.name, ''), m.ticker) || ' stock' WHERE k <= 2")
 def ticker_news(spark, sf):
     s, li = read(spark, sf, "supplier"), read(spark, sf, "lineitem")
     movers = s.select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("ticker"), F.when(F.col("s_suppkey") < 4, F.col("s_name")).otherwise("").alias("name"), F.col("s_acctbal").alias("w1"))
     when = F.date_format(F.col("l_shipdate"), "yyyy-MM-dd HH:mm:ss")
-    landed = li.join(s, li.l_suppkey == s.s_suppkey).select(F.concat("s_name", F.lit(" stock")).alias("query"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), when.alias("title"), when.alias("published"))
+    landed = li.join(s, li.l_suppkey == s.s_suppkey).select(F.concat("s_name", F.lit(" stock")).alias("query"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("seq"), when.alias("title"), when.alias("published"))
     return feed.ticker_news(landed.withColumn("link", F.col("seq").cast("string")), movers)
 
 
