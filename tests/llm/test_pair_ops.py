@@ -166,6 +166,19 @@ def test_pigeonhole_loses_no_pair():
             assert any(t >= 0 and len(flipped & set(g)) <= t for g, t in zip(groups, limits))
 
 
+def test_estimates_follow_the_counts():
+    """Against all pairs, on bits of which some are copies of others."""
+    rng = np.random.default_rng(6)
+    bits = rng.random((1500, 64)) < rng.uniform(0.2, 0.8, 64)
+    bits[:, 1], bits[:, 2], bits[:, 3] = bits[:, 0], bits[:, 0], bits[:, 0] ^ (rng.random(1500) < 0.1)
+    both = bits.T.astype(float) @ bits
+    for group in ([0, 1, 2, 3], [0, 5, 6, 7, 8], [10, 11, 12]):
+        x = bits[:, group].astype(np.int8)
+        apart = (x[:, None, :] != x[None, :, :]).sum(2)[np.triu_indices(len(x), 1)]
+        want = [(apart <= t).sum() for t in range(4)]
+        assert np.allclose(simhash.estimated_candidates(len(x), both, group, 3), want, rtol=0.1)
+
+
 def test_spanning_large_group():
     rng = np.random.default_rng(4)
     f = np.uint64(rng.integers(1 << 60)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))

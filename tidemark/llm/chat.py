@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import parts_for, table
+from tidemark.llm.common import bounded_batches, parts_for, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
@@ -175,6 +175,7 @@ def format_turns(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     the loss span is null unless the role is ``trained_role``. Texts count as no
     tokens unless ``tokenizer`` names the file of one.
     """
+    bounded_batches(messages.sparkSession)
     typed = isinstance(messages.schema[content_col].dataType, T.ArrayType)
     content = F.col(content_col) if typed else F.coalesce(F.col(content_col).cast("string"), F.lit(""))
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), content.alias("content"))

@@ -3,33 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.work import shared_dir
+
 _written: list[tuple[SparkSession, str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder serves a session of one process; on a
-    cluster that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 @contextmanager
 def shuffles_end_here(spark: SparkSession):
     """Spark deletes the shuffle files of what is written inside as soon as it is written."""
@@ -56,6 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     driver ends.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = _path(spark, name)
     with shuffles_end_here(spark):
         df.write.option("compression", "zstd").parquet(path)
@@ -100,10 +86,22 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded_batches(spark: SparkSession, bytes_: int = 8 << 20) -> None:
+    """Arrow batches of at most ``bytes_`` in this session, however long the texts are; a smaller bound stays.
+
+    The setting stays too, since plans run after they are made.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > bytes_:
+        spark.conf.set(key, str(bytes_))
+
+
 def parts_for(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows, table
+from tidemark.llm.common import bounded_batches, bounded_rows, table
 
 # Element and class names with a meaning in HTML and in common page templates.
 RAW = "script style noscript template iframe svg title textarea select".split()
@@ -230,6 +230,7 @@ def _best(tokens, weights: Weights) -> str:
 
 def extract_pages(pages: DataFrame, weights: Weights, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: id, url, text, n_chars (code points)."""
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(weights)
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows, table
+from tidemark.llm.common import bounded_batches, bounded_rows, table
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_WORD = 64
@@ -58,7 +58,7 @@ class Model:
     SCALE = 16.0
     UNKNOWN = 1e-6
     #: Words times languages in memory at once, each with a probability at every position.
-    CELLS = 80_000
+    CELLS = 40_000
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,13 +200,14 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     order of rows. The sample's words with their counts reach the driver. More than
     ``max_languages`` labels or ``most_words`` distinct words are an error.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l")).where("l is not null and t is not null")
-    # the smallest hashes of 256 slices of each language first: no task ranks a whole language
-    hashed = rows.select("i", "l").withColumn("h", F.xxhash64("i")).withColumn("slice", F.pmod("h", F.lit(256)))
-    for slices in (["l", "slice"], ["l"]):
-        rank = F.row_number().over(Window.partitionBy(*slices).orderBy("h", "i"))
-        hashed = hashed.withColumn("r", rank).where(F.col("r") <= docs_per_language).drop("r")
-    ids = hashed.select("i", "l")
+    # the lowest of 65,536 ranges of hashes that hold enough documents, so that no task ranks a whole language
+    hashed = rows.select("i", "l").withColumn("h", F.xxhash64("i")).withColumn("range", F.shiftright("h", 48))
+    before = Window.partitionBy("l").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    low = hashed.groupBy("l", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("n") < docs_per_language)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
+    ids = hashed.join(low.select("l", "range"), ["l", "range"], "left_semi").withColumn("r", rank).where(F.col("r") <= docs_per_language).select("i", "l")
     chosen = rows.join(F.broadcast(ids.distinct()), ["i", "l"], "left_semi")
 
     def count(batches):
@@ -229,7 +230,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 class Scorer:
     """Scores texts; keeps the last ``most`` distinct words."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.index: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
@@ -275,6 +276,7 @@ class Scorer:
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; a narrow pass over whole texts."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])

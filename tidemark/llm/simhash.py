@@ -113,15 +113,34 @@ def grouped_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def estimated_candidates(n: int, p: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Estimated pairs within distance 0..most of each other on the bits of ``group``."""
-    ways = np.zeros(most + 1)
-    ways[0] = 1.0
-    for b in group:
-        differ = 2 * p[b] * (1 - p[b])
-        ways[1:] = ways[1:] * (1 - differ) + ways[:-1] * differ
-        ways[0] *= 1 - differ
-    return list(np.cumsum(ways) * n * (n - 1) / 2)
+def estimated_candidates(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]:
+    """Estimated pairs within distance 0..most of each other on the bits of ``group``.
+
+    From how often pairs of bits are set together, over all fingerprints: the bits are
+    put in a chain, each next to the one it is most correlated with, along which
+    whether two random fingerprints differ in a bit depends on the bit before.
+    """
+    share = both / max(1, n)
+    p = np.diag(share)
+    one = p * p + (1 - p) ** 2  # two fingerprints agree in a bit
+    two = share**2 + (p[:, None] - share) ** 2 + (p[None, :] - share) ** 2 + (1 - p[:, None] - p[None, :] + share) ** 2  # in both of two bits
+    chain, left = [group[0]], set(group[1:])
+    while left:
+        chain.append(max(left, key=lambda b: (round(float(two[chain[-1], b] - one[chain[-1]] * one[b]), 9), -b)))
+        left.remove(chain[-1])
+    ways = np.zeros((most + 1, 2))  # by number of differing bits, and whether the last one agrees
+    ways[0, 1] = one[chain[0]]
+    ways[1:2, 0] = 1 - one[chain[0]]
+    for i, j in zip(chain, chain[1:]):
+        agree_agree, agree = two[i, j], one[i]
+        differ_agree = max(0.0, one[j] - two[i, j])
+        after_agree = min(1.0, agree_agree / agree) if agree > 0 else 0.0
+        after_differ = min(1.0, differ_agree / (1 - agree)) if agree < 1 else 0.0
+        new = np.zeros_like(ways)
+        new[:, 1] = ways[:, 1] * after_agree + ways[:, 0] * after_differ
+        new[1:, 0] = ways[:-1, 1] * (1 - after_agree) + ways[:-1, 0] * (1 - after_differ)
+        ways = new
+    return list(np.cumsum(ways.sum(1)) * n * (n - 1) / 2)
 
 
 def _ball(size: int, t: int) -> int:
@@ -132,7 +151,7 @@ def _ball(size: int, t: int) -> int:
     return total
 
 
-def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
     """Thresholds (-1: partition unused) that sum to ``distance - m + 1`` at the least cost, by dynamic programming.
 
     A cost counts the rows of probes and the estimated candidates.
@@ -141,7 +160,7 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> t
     budget = distance + 1  # sum of (threshold + 1)
     best: list[tuple[float, list[int]] | None] = [(0.0, [])] + [None] * budget
     for g in groups:
-        pairs = estimated_candidates(n, p, g, distance)
+        pairs = estimated_candidates(n, both, g, distance)
         costs = [0.0] + [n * (1 + _ball(len(g), t)) + 0.05 * pairs[t] for t in range(distance + 1)]
         new: list[tuple[float, list[int]] | None] = [None] * (budget + 1)
         for used, state in enumerate(best):
@@ -157,11 +176,10 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> t
 
 def plan(n: int, both: np.ndarray, distance: int) -> tuple[list[list[int]], list[int]]:
     """The cheapest of two to ``distance + 2`` partitions with their thresholds."""
-    p = np.diag(both) / max(1, n)
     options = []
     for m in range(2, distance + 3):
         groups = grouped_bits(n, both, m)
-        cost, limits = allocate(n, p, groups, distance)
+        cost, limits = allocate(n, both, groups, distance)
         options.append((cost, m, groups, limits))
     _, _, groups, limits = min(options, key=lambda o: o[:2])
     return groups, limits

@@ -19,8 +19,8 @@ document with a smaller id. Suffixes matter up to that depth only.
 Documents are held in blocks, a table bucketed by block that is read in place in
 each step. A block sends a row for each of its distinct grams, so the rows grow in
 proportion to the text, and a string that all documents share is one row a block.
-A gram with more than ``bucket_rows`` snippets is taken out of its bucket and its
-suffixes are grouped one by one (``_one_by_one``), with the same result.
+A gram of more than ``bucket_rows`` occurrences is in no bucket: its suffixes are
+grouped one by one (``_one_by_one``), with partial sums and the same result.
 
 Defined cases: a null text is empty; a text shorter than ``length`` keeps all; a
 text longer than a block is a block of its own size and is scanned in pieces; rows
@@ -143,16 +143,17 @@ def least_grams(block: Block, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.
     return p[first], g[first], j[first], np.add.reduceat(n, first)
 
 
-def grams_of(block: Block, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of a block's least grams, and whether two of its documents have each."""
+def grams_of(block: Block, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of a block's least grams, how often each occurs, and whether two of its documents have it."""
     _, g, j, _ = least_grams(block, shape)
     if not len(g):
-        return g, np.zeros(0, bool)
+        return g, np.zeros(0, np.int64), np.zeros(0, bool)
     place = block.place[block.docs(j)]
     order = np.argsort(g, kind="stable")  # positions, and so places, ascend within a hash
     k, place = g[order], place[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], place[first] != place[np.append(first[1:], len(k)) - 1]
+    stop = np.append(first[1:], len(k))
+    return k[first], stop - first, place[first] != place[stop - 1]
 
 
 def snippets_of(block: Block, shape: Shape, shared: np.ndarray):
@@ -243,8 +244,7 @@ def suffix_leasts(rows: np.ndarray, group: np.ndarray, least: np.ndarray, shape:
     return out, row
 
 
-_ANSWER = pa.schema([("block", pa.int32()), ("index", pa.int32()), ("id", pa.int64()), ("leasts", pa.binary()), ("g", pa.int64()), ("snip", pa.binary())])
-_ANSWER_SQL = "block int, index int, id long, leasts binary, g long, snip binary"
+_ANSWER = pa.schema([("block", pa.int32()), ("index", pa.int32()), ("id", pa.int64()), ("leasts", pa.binary())])
 _EACH = ("block", "index", "id", "g", "snip")
 
 
@@ -270,66 +270,33 @@ def _settled(t: tuple, shape: Shape):
             leasts[k] = data[a:z] if each else data[a : a + 8]
     hit = np.flatnonzero(low[kind] < ids)
     values = [leasts[k] for k in kind[hit].tolist()]
-    none = pa.nulls(len(hit))
-    yield pa.RecordBatch.from_arrays([pa.array(block[hit]), pa.array(index[hit]), pa.array(ids[hit]), pa.array(values, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=_ANSWER)
+    yield pa.RecordBatch.from_arrays([pa.array(block[hit]), pa.array(index[hit]), pa.array(ids[hit]), pa.array(values, pa.binary())], schema=_ANSWER)
 
 
-def bucket_answers(each: DataFrame, shape: Shape, bucket_rows: int) -> DataFrame:
-    """(block, index, id, leasts): for each occurrence of a snippet the smallest ids of its suffixes, or one for all of them."""
-    width = shape.width + 2
+def bucket_answers(each: DataFrame, shape: Shape) -> DataFrame:
+    """(block, index, id, leasts): for each occurrence of a snippet the smallest ids of its suffixes, or one for all of them.
 
-    def passed(t: tuple):
-        """Occurrences of a gram with too many of them, as they are."""
-        block, index, ids, g, rows = t
-        for lo in range(0, len(g), SNIPPETS):
-            at = slice(lo, lo + SNIPPETS)
-            n = len(g[at])
-            yield pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(index[at]), pa.array(ids[at]), pa.nulls(n).cast(pa.binary()), pa.array(g[at]), pa.array([x.tobytes() for x in rows[at]], pa.binary())], schema=_ANSWER)
-
-    def divided(t: tuple):
-        g = t[3]
-        if not len(g):
-            return
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        size = np.diff(np.append(first, len(g)))
-        large = np.repeat(size > bucket_rows, size)
-        if large.any():
-            yield from passed(tuple(x[large] for x in t))
-        yield from _settled(tuple(x[~large] for x in t), shape)
+    ``each`` has grams of a bounded number of occurrences only; a task holds those of
+    about ``SNIPPETS`` at a time.
+    """
+    width = shape.width + 2
 
     def run(batches):
-        held, rows, large = [], 0, None
+        held, rows = [], 0
         for b in batches:
-            t = (*(b.column(k).to_numpy() for k in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, width))
-            if large is not None:  # a gram that has proved too large goes on
-                others = np.flatnonzero(t[3] != large)
-                n = int(others[0]) if len(others) else len(t[3])
-                yield from passed(tuple(x[:n] for x in t))
-                t = tuple(x[n:] for x in t)
-                if not len(t[3]):
-                    continue
-                large = None
-            held.append(t)
-            rows += len(t[3])
-            if rows < SNIPPETS and rows <= bucket_rows:
+            held.append((*(b.column(k).to_numpy() for k in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, width)))
+            rows += len(b)
+            if rows < SNIPPETS:
                 continue
             t = tuple(np.concatenate(x) for x in zip(*held))
             open_ = int(np.argmax(t[3] == t[3][-1]))  # the last gram may go on in the next batch
-            yield from divided(tuple(x[:open_] for x in t))
-            t = tuple(x[open_:].copy() for x in t)
-            held, rows = [t], len(t[3])
-            if rows > bucket_rows:
-                large, held, rows = t[3][0], [], 0
-                yield from passed(t)
+            yield from _settled(tuple(x[:open_] for x in t), shape)
+            held, rows = [tuple(x[open_:].copy() for x in t)], len(t[3]) - open_
         if held:
-            yield from divided(tuple(np.concatenate(x) for x in zip(*held)))
+            yield from _settled(tuple(np.concatenate(x) for x in zip(*held)), shape)
 
     dealt = each.select(*_EACH).repartition(parts_for(each.sparkSession), "g").sortWithinPartitions("g")
-    answers = stored(dealt.mapInArrow(run, _ANSWER_SQL), "answers")
-    small, large = answers.where("leasts is not null").select("block", "index", "id", "leasts"), answers.where("leasts is null").select(*_EACH)
-    if large.isEmpty():
-        return small
-    return small.unionByName(stored(_one_by_one(large, shape), "large"))
+    return dealt.mapInArrow(run, "block int, index int, id long, leasts binary")
 
 
 def _one_by_one(each: DataFrame, shape: Shape) -> DataFrame:
@@ -409,19 +376,21 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
         return Block(t.column("id").to_numpy(), t.column("text").to_pylist(), shape.starts)
 
     def grams(key, t):
-        g, several = grams_of(block_of(t), shape)
-        return pa.table({"g": pa.array(g.view(np.int64)), "block": pa.array(np.full(len(g), key[0].as_py(), np.int32)), "several": pa.array(several)})
+        g, times, several = grams_of(block_of(t), shape)
+        return pa.table({"g": pa.array(g.view(np.int64)), "block": pa.array(np.full(len(g), key[0].as_py(), np.int32)), "times": pa.array(np.where(several, -times, times).astype(np.int32))})
 
-    rows = slim.groupBy("block").applyInArrow(grams, "g long, block int, several boolean")
+    rows = slim.groupBy("block").applyInArrow(grams, "g long, block int, times int")
     # one row for each gram and block: a gram that all documents have is as many rows as there are blocks
-    counted = rows.repartition(parts_for(docs.sparkSession), "g").selectExpr("g", "block", "count(1) over (partition by g) > 1 or max(several) over (partition by g) as shared")
-    shared = counted.where("shared").select("g", "block")
+    whole = "over (partition by g)"
+    counted = rows.repartition(parts_for(docs.sparkSession), "g").selectExpr("g", "block", f"count(1) {whole} > 1 or min(times) {whole} < 0 as shared", f"sum(abs(times)) {whole} > {bucket_rows} as hot")
+    shared = counted.where("shared").select("g", "block", "hot")
 
     def spots(key, t, hits):
         if not len(hits) or not len(t):
             return _SPOTS.empty_table()
-        (g, snips, ids), (j, n, index, later) = snippets_of(block_of(t), shape, np.sort(hits.column("g").to_numpy().view(np.uint64)))
-        values = [g, snips, ids.astype("<i8"), j.astype("<i8"), n.astype("u1"), index.astype("<i4"), later]
+        shared, hot = hits.column("g").to_numpy().view(np.uint64), hits.column("hot").to_numpy(zero_copy_only=False)
+        (g, snips, ids), (j, n, index, later) = snippets_of(block_of(t), shape, np.sort(shared))
+        values = [g, snips, ids.astype("<i8"), _among(g, np.sort(shared[hot])), j.astype("<i8"), n.astype("u1"), index.astype("<i4"), later]
         at = range(0, len(j), PACK)  # no more snippets than occurrences
         packs = [pa.array([v[k : k + PACK].tobytes() for k in at], pa.binary()) for v in values]
         return pa.table([pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array(list(at), pa.int32()), *packs], schema=_SPOTS)
@@ -431,13 +400,14 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
 
     def unfold(batches):
         for b in batches:
-            for block, base, g, snips, ids in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for block, base, g, snips, ids, hot in zip(*(b.column(k).to_pylist() for k in range(6))):
                 n = len(ids) // 8
                 parts = np.frombuffer(snips, f"V{width}").tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(base, base + n, dtype=np.int32)), pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(g, "<i8")), pa.array(parts, pa.binary())], list(_EACH))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(base, base + n, dtype=np.int32)), pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(g, "<i8")), pa.array(parts, pa.binary()), pa.array(np.frombuffer(hot, "?"))], [*_EACH, "hot"])
 
-    each = held.select("block", "base", "g", "snips", "ids").mapInArrow(unfold, "block int, index int, id long, g long, snip binary")
-    answers = bucket_answers(each, shape, bucket_rows)
+    each = held.select("block", "base", "g", "snips", "ids", "hot").mapInArrow(unfold, "block int, index int, id long, g long, snip binary, hot boolean")
+    few, many = each.where("not hot"), each.where("hot")
+    answers = stored(bucket_answers(few, shape).unionByName(_one_by_one(many, shape)), "answers")
     runs = held.select("block", "j", "n", "index", "later").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _runs(a, b, shape), "block int, starts binary, stops binary")
 
     def finish(t, r):
@@ -447,14 +417,14 @@ def _remove_map(docs: DataFrame, id_col: str, text_col: str, length: int, block_
     return table_.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, schema)
 
 
-_SPOTS = pa.schema([("block", pa.int32()), ("base", pa.int32()), *((c, pa.binary()) for c in ("g", "snips", "ids", "j", "n", "index", "later"))])
+_SPOTS = pa.schema([("block", pa.int32()), ("base", pa.int32()), *((c, pa.binary()) for c in ("g", "snips", "ids", "hot", "j", "n", "index", "later"))])
 
 
 def _spans(mask: np.ndarray) -> int:
     return int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if len(mask) else 0
 
 
-def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 50_000) -> DataFrame:
+def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 2048) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def emit(block: Block, rows: pa.Table, masks: list[np.ndarray]) -> pa.Table:
@@ -469,7 +439,7 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_rows, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 50_000) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 2048) -> DataFrame:
     """``docs`` with what is left of each text; all other columns as they are.
 
     A character of which only some bytes are covered is kept whole, so that the

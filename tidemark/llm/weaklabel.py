@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_rows, table
+from tidemark.llm.common import bounded_batches, bounded_rows, table
 
 _SYMBOL = re.compile(r"[#$%&*|!<>{}\[\]=~^\\]")
 _SYMBOLS = re.compile(r"[#$%&*|!<>{}\[\]=~^\\]+")
@@ -179,6 +179,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
 
 def classify(docs: DataFrame, labels: LabelModel, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row for each document: id, weak_label (posterior of its votes), score, keep."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((labels, scorer))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
