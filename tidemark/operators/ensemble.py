@@ -25,7 +25,7 @@ def consensus(signals: DataFrame, *, digits: int = 4, weights: DataFrame | None
     """
     rows = signals
     if weights is not None:
-        rows = rows.join(F.broadcast(weights), "family", "left").withColumn("signal", F.col("signal") * F.coalesce("w", F.lit(1.0)))
+        rows = rows.join(weights, "family", "left").withColumn("signal", F.col("signal") * F.coalesce("w", F.lit(1.0)))
     axis = F.when(F.col("horizon") == "weeks", 1).when(F.col("horizon") == "months", 2).otherwise(0)
     b, p = F.col("family").isin(*BEHAVIORAL), F.col("family").isin(*PHYSICAL)
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))

@@ -103,7 +103,7 @@ def brief_run(bars: DataFrame, groups: DataFrame, tags: DataFrame, *, chain: Dat
     """``groups``: asset, grp, label in a few display groups, 'sector' among them."""
     run = Run()
     table = performance.returns_table(bars).join(performance.year_to_date(bars), "asset")
-    run.tables["overview"] = table.join(F.broadcast(groups), "asset")
+    run.tables["overview"] = table.join(groups, "asset")
     sectors = run.tables["overview"].where("grp = 'sector'").orderBy(F.desc_nulls_last("w1"))
     run.tables["sectors"] = sectors
     run.part("sparklines", lambda: performance.sparkline(bars))

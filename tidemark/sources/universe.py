@@ -54,7 +54,7 @@ def first_wins(frames: list[DataFrame], key: str) -> DataFrame:
 
 def labelled(df: DataFrame, dim: DataFrame) -> DataFrame:
     """``df`` with label and asset_class; an unknown asset is its own label, an equity."""
-    return df.join(F.broadcast(dim), "asset", "left").withColumn("label", F.coalesce("label", F.col("asset").cast("string"))).withColumn("asset_class", F.coalesce("asset_class", F.lit("equity")))
+    return df.join(dim, "asset", "left").withColumn("label", F.coalesce("label", F.col("asset").cast("string"))).withColumn("asset_class", F.coalesce("asset_class", F.lit("equity")))
 
 
 def market_assets(spark: SparkSession) -> DataFrame:
