@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as pipeline
@@ -32,6 +33,60 @@ def test_mixing_returns_each_row_once(spark, sf):
     assert sorted(r["text"] for r in got) == sorted(r[1] for r in rows) and all(r["taken"] == 300 for r in got)
 
 
+LONG = " ".join(f"word{i}" for i in range(60_000))
+ODD = [
+    (None, None, None, None, None), (None, "the one without an id and of some words " * 3, None, None, None), (1, "", "en", "s", 0), (2, None, "en", None, 0), (3, "123 !!", "en", "s", 7),
+    (4, LONG, "en", "s", len(LONG)), (5, "twice the same row in here and no more of it " * 3, "en", None, 9), (5, "twice the same row in here and no more of it " * 3, "en", None, 9), (6, LONG + " end", "en", "s", 1), (7, "\t \n", "xx", "", None),
+]
+
+
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, shared ids, and columns that bear names the stages use."""
+    names = ("row", "block", "id", "rest", "lang_pred", "score", "size", "taken", "target", "doc", "g", "key")
+    return spark.createDataFrame([(*r, *["own"] * len(names)) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+
+
+def test_language_of_odd_rows(spark, sf):
+    docs = odd(spark).unionByName(spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
+    got = pipeline.language_stage(spark, docs, sf)
+    assert got.columns == list(pipeline.COLUMNS)
+    ids = [r["doc_id"] for r in got.collect()]
+    assert not {1, 2, 3, 7} & set(ids) and len(got.collect()) > 0
+
+
+def test_near_duplicates_of_odd_rows(spark, sf):
+    got = pipeline.near_duplicate_stage(spark, odd(spark), sf)
+    assert got.columns == list(pipeline.COLUMNS)
+    # texts without words are one group, and the two long ones another
+    assert sorted((r["doc_id"] or 0, r["text"] is None) for r in got.collect()) == sorted([(0, True), (0, False), (1, False), (3, False), (4, False), (5, False)])
+
+
+def test_passages_of_odd_rows(spark, sf):
+    got = pipeline.passage_stage(spark, odd(spark), sf)
+    assert got.columns == list(pipeline.COLUMNS)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["doc_id"], []).append(r["text"])
+    assert len(rows[None]) == 2 and rows[1] == [""] and rows[2] == [None] and rows[3] == ["123 !!"] and rows[4] == [LONG] and rows[7] == ["\t \n"]
+    assert rows[6] == [" end"] and len(rows[5]) == 2 and set(rows[5]) == {"twice the same row in here and no more of it " * 3}
+
+
+def test_benchmark_of_odd_rows(spark, sf, tmp_path):
+    spark.createDataFrame([(None, "word7 word8 word9 word10 word11 word12 word13 word14 word15 word16"), ("a", None), ("b", ""), ("c", "the same"), ("c", "the same")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pipeline.benchmark_stage(spark, odd(spark), str(tmp_path))
+    assert got.columns == list(pipeline.COLUMNS)
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 0, 1, 2, 3, 7]
+
+
+def test_mixing_of_odd_rows(spark, sf):
+    got = pipeline.mixing_stage(spark, odd(spark), sf)
+    assert got.columns == [*pipeline.COLUMNS, "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    words = sum(len((t or "").split()) for _, t, *_ in ODD)
+    assert sum(r["taken"] for r in rows) == words  # two sources: their targets share all words
+    assert {r["doc_id"] for r in rows} <= {None, 3, 4, 5, 6} and all(0 < r["taken"] <= 3 * r["size"] for r in rows)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
