@@ -137,7 +137,30 @@ def test_copies_that_only_the_original_joins(spark):
         rows.append((k + 5, " ".join(edit)))
     sets = [simhash.shingle_hashes(t, 5) for _, t in rows]
     assert all(simhash.similarity(sets[0], x) >= 0.8 for x in sets) and simhash.similarity(sets[1], sets[2]) < 0.8
-    assert {r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == {5}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for most in ("10000", "37"):  # large groups go over the ends of batches
+        spark.conf.set(key, most)
+        try:
+            assert {r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == {5}
+        finally:
+            spark.conf.unset(key)
+
+
+def test_template_family_loses_no_twins(spark):
+    """Texts of one template below .8 to one another, some with a twin: each twin is with its own."""
+    rnd = random.Random(15)
+    template, rows = [f"t{i}" for i in range(120)], []
+    for k in range(3000):
+        text = list(template)
+        for at in range(6, 114, 9):
+            text[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(text)))
+    twins = {k: 10_000 + k for k in rnd.sample(range(3000), 100)}
+    rows += [(i, rows[k][1] + " more") for k, i in twins.items()]
+    a, b, c = (simhash.shingle_hashes(t, 5) for t in (rows[0][1], rows[1][1], " ".join(template)))
+    assert simhash.similarity(a, b) < 0.8 and simhash.similarity(a, c) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows[:3000]} | {i: k for k, i in twins.items()}
 
 
 def test_pairs_far_apart_in_fingerprints(spark):

@@ -7,11 +7,12 @@ within the distance still agrees in some partition. Every distinct fingerprint
 is indexed by its partition values and probes the values within the threshold;
 candidates are verified by their whole distance.
 
-Defined cases: texts without words have fingerprint zero and link like others;
-fewer words than a shingle make one shingle; equal fingerprints are one node, so
-copies never meet in pairs; rows that share an id link by their own fingerprints
-only; an empty table gives
-no rows; extra columns are ignored.
+Defined cases: texts without words, null ones too, have fingerprint zero and link
+like others; fewer words than a shingle make one shingle; a text of any length
+counts whole; equal fingerprints are one node, so copies never meet in pairs; rows
+that share an id link by their own fingerprints only; a row without an id links,
+but gives its component no id; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts_for, stored, table
+from tidemark.llm.common import broadcast_if_small, parts_for, stored, table
 from tidemark.llm.components import components, union
 
 BITS = 64
@@ -406,19 +407,36 @@ def wide_links(classes: DataFrame, *, least: float = 0.8) -> DataFrame:
 
     def link(batches):
         rest: tuple | None = None
+        run: tuple | None = None  # key, smallest id and size so far of a large group that goes on
         for b in batches:
-            key, ids, n = (b.column(k).to_numpy() for k in range(3))
+            t = tuple(b.column(k).to_numpy() for k in range(3))
+            if run is not None:
+                others = np.flatnonzero(t[0] != run[0])
+                m = int(others[0]) if len(others) else len(t[0])
+                yield _members(t[0][:m], t[1][:m], run[1], run[2])
+                run, t = (run[0], run[1], run[2] + m) if m == len(t[0]) else None, tuple(x[m:] for x in t)
             if rest is not None:
-                key, ids, n = (np.concatenate(x) for x in zip(rest, (key, ids, n)))
-            if not len(key):
+                t = tuple(np.concatenate(x) for x in zip(rest, t))
+            if not len(t[0]):
                 continue
-            open_ = int(np.argmax(key == key[-1]))
-            rest = (key[open_:], ids[open_:], n[open_:])
+            open_ = int(np.argmax(t[0] == t[0][-1]))
+            rest = tuple(x[open_:] for x in t)
             if open_:
-                yield _pairs(key[:open_], ids[:open_], n[:open_])
+                yield _pairs(*(x[:open_] for x in t))
+            if len(rest[0]) > SMALL:
+                run, rest = (rest[0][0], rest[1][0], len(rest[0])), _emptied(rest)
+                yield _members(t[0][open_:], t[1][open_:], run[1], 0)
         if rest is not None and len(rest[0]):
             yield _pairs(*rest)
 
+    def _emptied(t):
+        return tuple(x[:0] for x in t)
+
+    def _members(key, ids, least_id, before):
+        """Rows of a large group, ``before`` of whose members are out already."""
+        n = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(key), pa.array(np.full(n, least_id)), pa.array(ids), pa.array((np.arange(n) + before) // BLOCK)], ["large", "key", "a", "b", "block"])
+
     def _pairs(key, ids, n):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
@@ -436,12 +454,11 @@ def wide_links(classes: DataFrame, *, least: float = 0.8) -> DataFrame:
         # of a large group a row for each member, beside the smallest id
         many, at = ~few, np.arange(len(key)) - np.repeat(first, size)
         where = pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(int(many.sum()), bool)]))
-        blocks = np.repeat(-(-size // BLOCK), size)
         none = np.zeros(len(x), np.int64)
-        return pa.RecordBatch.from_arrays([where, pa.array(np.append(none, key[many])), pa.array(np.append(x, ids[first][group][many])), pa.array(np.append(y, ids[many])), pa.array(np.append(none, at[many] // BLOCK)), pa.array(np.append(none, blocks[many]))], ["large", "key", "a", "b", "block", "blocks"])
+        return pa.RecordBatch.from_arrays([where, pa.array(np.append(none, key[many])), pa.array(np.append(x, ids[first][group][many])), pa.array(np.append(y, ids[many])), pa.array(np.append(none, at[many] // BLOCK))], ["large", "key", "a", "b", "block"])
 
     dealt = classes.select("id", "n", "bands").mapInArrow(deal, "key long, id long, n long")
-    return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key", "id").mapInArrow(link, "large boolean, key long, a long, b long, block long, blocks long")
+    return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key", "id").mapInArrow(link, "large boolean, key long, a long, b long, block long")
 
 
 def spanning_similar(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -481,14 +498,15 @@ def spanning_similar(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray],
 def links_of_large(large: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b): verified links that are still missing between the members of large groups.
 
-    ``large``: key, id, block, blocks; ``roots``: what is joined already. Groups
+    ``large``: key, id, block; ``roots``: what is joined already. Groups
     that are whole drop out. Of the others each pair of blocks is searched by
     itself, so a task holds two blocks of members with their sets at a time.
     """
     rows = large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), (F.max("block") + 1).alias("blocks")).where("lo < hi").select("key", "blocks")
+    open_ = broadcast_if_small(stored(open_, "open"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("block"))))
-    rows = rows.join(open_, "key", "left_semi").withColumn("other", other)
+    rows = rows.join(open_, "key").withColumn("other", other)
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(sets, "id")
 
     def run(group):
@@ -523,7 +541,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = stored(shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), "sets")
     links = stored(similar_links(pairs, sets, least), "verified")
     roots = components(links)
-    large = found.where("large").select("key", F.col("b").alias("id"), "block", "blocks")
+    large = found.where("large").select("key", F.col("b").alias("id"), "block")
     if not large.isEmpty():
         roots = components(links.unionByName(links_of_large(large, roots, sets, least)))
     rooted = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
