@@ -24,7 +24,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,4 +262,4 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations and of conversation -1, whose texts hold control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string").coalesce(1)
-    return digests(format_turns(rows.unionByName(probe), tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
+    return digests(format_turns(rows.unionByName(probe))).drop("n_tokens")

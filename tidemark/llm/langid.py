@@ -230,7 +230,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 class Scorer:
     """Scores texts; keeps the last ``most`` distinct words."""
 
-    def __init__(self, model: Model, most: int = 150_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most = model, most
         self.index: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
