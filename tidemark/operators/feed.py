@@ -14,9 +14,12 @@ from tidemark.functions.text import clean_text, has_visual, item_id, page_is_vis
 
 
 def with_ids(items: DataFrame, summary_limit: int = 320, title_limit: int = 240) -> DataFrame:
-    """Entries with a link and a title as items: seq, id, source, category, title, link, summary, published."""
-    optional = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in items.columns else F.lit("")
-    rows = items.select("seq", "source", optional("category").alias("category"), clean_text(F.col("title"), title_limit).alias("title"), F.coalesce("link", F.lit("")).alias("link"), clean_text(F.col("summary"), summary_limit).alias("summary"), optional("published").alias("published"))
+    """Entries with a link and a title as items: seq, id, source, category, title, link, summary, published.
+
+    Without a column ``category`` all are insights.
+    """
+    optional = lambda c, x="": F.coalesce(F.col(c).cast("string"), F.lit("")) if c in items.columns else F.lit(x)
+    rows = items.select("seq", "source", optional("category", "insight").alias("category"), clean_text(F.col("title"), title_limit).alias("title"), F.coalesce("link", F.lit("")).alias("link"), clean_text(F.col("summary"), summary_limit).alias("summary"), optional("published").alias("published"))
     return rows.where("link <> '' and title <> ''").select("seq", item_id(F.col("link"), F.col("title")).alias("id"), "source", "category", "title", "link", "summary", "published")
 
 
