@@ -47,12 +47,12 @@ def positioning_signals(rows: DataFrame, *, keep: int = 104, least: int = 8) ->
 
 
 def net_gamma(chain: DataFrame, *, expiries: int = 4) -> DataFrame:
-    """ticker, net_gex_bn, regime over each ticker's first expiries: ticker, expiry, right, strike, iv, oi, spot, years."""
+    """ticker, net_gex_bn, regime, spot over each ticker's first expiries: ticker, expiry, right, strike, iv, oi, spot, years."""
     near = F.dense_rank().over(Window.partitionBy("ticker").orderBy("expiry"))
     rows = chain.withColumn("_k", near).where((F.col("_k") <= expiries) & (F.col("years") > 0))
     g = rows.withColumn("g", bs_gamma(F.col("spot"), F.col("strike"), F.col("years"), F.coalesce("iv", F.lit(0.0))))
-    net = g.groupBy("ticker").agg(F.sum(exposure(F.col("right"), F.col("spot"), F.col("g"), F.col("oi"))).alias("net")).where("net is not null and not isnan(net)")
-    return net.select("ticker", (F.col("net") / 1e9).alias("net_gex_bn"), F.when(F.col("net") >= 0, "positive (vol-dampening)").otherwise("negative (vol-amplifying)").alias("regime"))
+    net = g.groupBy("ticker").agg(F.sum(exposure(F.col("right"), F.col("spot"), F.col("g"), F.col("oi"))).alias("net"), F.max("spot").alias("spot")).where("net is not null and not isnan(net)")
+    return net.select("ticker", (F.col("net") / 1e9).alias("net_gex_bn"), F.when(F.col("net") >= 0, "positive (vol-dampening)").otherwise("negative (vol-amplifying)").alias("regime"), "spot")
 
 
 def curve_snapshot(series: DataFrame) -> DataFrame:

@@ -414,7 +414,7 @@ def gamma(spark, sf):
     return c.groupBy("ticker").agg(r6(F.sum("g")).alias("gamma"), F.count(F.lit(1)).alias("n"))
 
 
-@query("gex", f"WITH {_CHAIN}, near AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY expiry) AS e FROM chain) SELECT ticker, round(x / 1e9, 6) + 0.0 AS net_gex_bn, CASE WHEN x >= 0 THEN 'positive (vol-dampening)' ELSE 'negative (vol-amplifying)' END AS regime FROM (SELECT ticker, sum((CASE side WHEN 'call' THEN 1.0 ELSE -1.0 END) * {_GAMMA} * oi * 100 * s * s * 0.01) AS x FROM near WHERE e <= 4 AND t > 0 GROUP BY 1)")
+@query("gex", f"WITH {_CHAIN}, near AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY expiry) AS e FROM chain) SELECT ticker, round(x / 1e9, 6) + 0.0 AS net_gex_bn, CASE WHEN x >= 0 THEN 'positive (vol-dampening)' ELSE 'negative (vol-amplifying)' END AS regime, spot FROM (SELECT ticker, max(s) AS spot, sum((CASE side WHEN 'call' THEN 1.0 ELSE -1.0 END) * {_GAMMA} * oi * 100 * s * s * 0.01) AS x FROM near WHERE e <= 4 AND t > 0 GROUP BY 1)")
 def gex(spark, sf):
     return macro.net_gamma(_chain(spark, sf)).withColumn("net_gex_bn", r6("net_gex_bn"))
 
