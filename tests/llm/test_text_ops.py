@@ -185,6 +185,9 @@ STORY = ("A long story of many words is told in here. " * 6).strip()
         (f'<article>{ARTICLE}</article><aside><article><p>{"Read one more thing that is not of here. " * 30}</p></article></aside>', STORY),
         (f'<article>{ARTICLE}<p>a <math><mi>x</mi></math> b <object>c</object> <canvas>d</canvas></p><xmp>e <b> f</xmp></article>', STORY + "\na x b c d\ne <b> f"),
         (f'<div class="widget">{ARTICLE}</div>', STORY),
+        (f'<form action="/"><div><article>{ARTICLE}<form><p>your name</p></form></article></div></form>', STORY),
+        (f'<div class="content-sidebar-wrap"><main>{ARTICLE}</main><div class="blog-sidebar">{"old posts " * 80}</div></div>', STORY),
+        (f'<article>{ARTICLE}</article><div class="post-comments">{"I do not agree at all. " * 60}</div><ul class="social-share-icons"><li>share this</ul>', STORY),
         (f'<div class="sidebar left">{"menu word " * 50}</div><div class="cookie-notice">{"we use cookies " * 50}</div>{ARTICLE}<div id="footer">{"imprint " * 90}</div>', STORY),
     ],
 )

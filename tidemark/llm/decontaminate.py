@@ -11,8 +11,9 @@ Defined cases: a null or wordless text has no words, no hits and isn't
 contaminated; a null or wordless item has no window; an item with fewer words
 than a window is one window; items that share a window are all counted; equal
 item ids count once; an item without an id is searched and makes a text
-contaminated, but is not among the items found; an empty benchmark leaves all clean; extra columns are
-ignored. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
+contaminated, but is not among the items found; repeated rows are each searched, and
+a text of any length whole; an empty benchmark leaves all clean, an empty table gives
+no rows; extra columns are ignored, whatever their names, or kept by ``clean_only``. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ dropped wherever they stand; their words cost a little.
 
 An element is dropped by its name, its role, or a class or id that is a word of
 ``NOISE_WORDS``, alone or with words of ``PLACE_WORDS`` (``sidebar-left``, not
-``no-sidebar``). If nothing at all is left of a page, it is scanned once more
+``no-sidebar``). A ``main`` counts wherever it stands, an ``article`` inside of a form
+too. If nothing at all is left of a page, it is scanned once more
 without regard to classes and ids.
 
 Defined cases: null or empty html, or html without words outside of dropped
@@ -41,9 +42,8 @@ LITERAL = "xmp"  # its content is text, tags included
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul xmp".split())
 DROPPED = frozenset("head nav footer aside form button menu dialog".split()) | frozenset(RAW)
-CONTENT = frozenset(("article", "main"))
 NOISE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split())
-PLACE_WORDS = frozenset("area bar block body bottom box button buttons column container content global group header holder inner item items left link links list main outer page panel primary right row secondary section signup site slot thread top unit wrap wrapper".split())
+PLACE_WORDS = frozenset("all alert area article articles author bar blog block body bottom box button buttons column container content count desktop email entry facebook fixed floating form gdpr global google group head header heading holder icon icons image inner item items leave left link links list load mail main mobile more new news outer page panel post posts primary reader readers replies reply right row secondary section show signup site slot sticky story text the thread this title top twitter unit user users video web wrap wrapper your".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join([*RAW, LITERAL]) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(.*?)(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
@@ -89,23 +89,25 @@ def _classes(tag: str) -> tuple[list[str], list[str]]:
 
 def is_noise(name: str) -> bool:
     """Whether a class or id says that an element holds no content: a noise word, with words of places at most."""
-    parts = [x for x in re.split(r"[^a-z]+", name) if x]
-    return any(x in NOISE_WORDS for x in parts) and all(x in NOISE_WORDS or x in PLACE_WORDS for x in parts)
+    parts = {x for x in re.split(r"[^a-z]+", name) if x}
+    if "sidebar" in parts and not parts.isdisjoint(("content", "main")):  # a frame around both
+        return False
+    return not parts.isdisjoint(NOISE_WORDS) and parts <= NOISE_WORDS | PLACE_WORDS
 
 
 def scan(html: str, by_class: bool = True):
     """Yields ``Run``s and ``(tokens, inside, noise)`` for tags, in page order; tokens are a tag's name and its classes."""
-    stack: list[tuple[str, bool, bool]] = []  # name, noise, inside content
-    block, noise, inside = 0, False, False
+    stack: list[tuple[str, int, bool]] = []  # name, noise (1: a form only), inside content
+    block, noise, inside = 0, 0, False
     for m in _TOKEN.finditer(html):
         token = m.group()
         if token[0] != "<" or token == "<":
             text = entities.unescape(token) if "&" in token else token
-            yield Run(text, block, len(text.split()), noise, inside)
+            yield Run(text, block, len(text.split()), noise > 0, inside)
             continue
         if m[1]:
             if m[1].lower() == LITERAL:
-                yield Run(m[2], block + 1, len(m[2].split()), noise, inside)
+                yield Run(m[2], block + 1, len(m[2].split()), noise > 0, inside)
                 block += 2
             continue
         if token.startswith(("<!", "<?")):
@@ -117,29 +119,29 @@ def scan(html: str, by_class: bool = True):
         if name in BLOCK:
             block += 1
         elif name in ("br", "td", "th"):
-            yield Run(" ", block, 0, noise, inside)
+            yield Run(" ", block, 0, noise > 0, inside)
         if token[1] == "/":
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            was, (noise, inside) = noise, (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            was, (noise, inside) = noise > 0, (stack[-1][1], stack[-1][2]) if stack else (0, False)
             yield (name,), inside, was
             continue
         if name in VOID or token.endswith("/>") and name not in BLOCK:
-            yield (name,), inside, noise
+            yield (name,), inside, noise > 0
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-            noise, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            noise, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         classes, roles = _classes(token) if "=" in token else ([], [])
         was = inside
         if name in DROPPED or name == "header" and not inside or name not in ("html", "body") and (by_class and any(map(is_noise, classes)) or not NOISE_ROLES.isdisjoint(roles)):
-            noise = True
-        elif name in CONTENT and not noise:
-            inside = True
+            noise = max(noise, 1 if name == "form" else 2)
+        elif name == "main" or name == "article" and noise < 2:  # a form or a frame may hold the whole page
+            noise, inside = 0, True
         stack.append((name, noise, inside))
-        yield (name, *(f".{c}" for c in classes)), was, noise
+        yield (name, *(f".{c}" for c in classes)), was, noise > 0
 
 
 def observe(html: str) -> Counter:
