@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, parts_for, stored, table
+from tidemark.llm.common import broadcast_if_small, stored, table
 from tidemark.llm.components import components, union
 
 BITS = 64
@@ -292,8 +292,7 @@ def near_links(fps: DataFrame, *, distance: int = 3) -> DataFrame:
     """(a, b): links that connect distinct fingerprints as all pairs within ``distance`` would."""
     n, both = bit_counts(fps)
     groups, limits = plan(n, both, distance)
-    parts = parts_for(fps.sparkSession)
-    keyed = keys(fps, groups, limits).repartition(parts, "part", "key").sortWithinPartitions("part", "key")
+    keyed = keys(fps, groups, limits).repartition("part", "key").sortWithinPartitions("part", "key")
 
     def run(batches):
         rest: tuple | None = None
@@ -397,7 +396,6 @@ def wide_links(classes: DataFrame, *, least: float = 0.8) -> DataFrame:
     group of more than ``SMALL`` with its smallest id a: such groups are searched
     by ``links_of_large``.
     """
-    spark = classes.sparkSession
 
     def deal(batches):
         for b in batches:
@@ -458,7 +456,7 @@ def wide_links(classes: DataFrame, *, least: float = 0.8) -> DataFrame:
         return pa.RecordBatch.from_arrays([where, pa.array(np.append(none, key[many])), pa.array(np.append(x, ids[first][group][many])), pa.array(np.append(y, ids[many])), pa.array(np.append(none, at[many] // BLOCK))], ["large", "key", "a", "b", "block"])
 
     dealt = classes.select("id", "n", "bands").mapInArrow(deal, "key long, id long, n long")
-    return dealt.repartition(parts_for(spark), "key").sortWithinPartitions("key", "id").mapInArrow(link, "large boolean, key long, a long, b long, block long")
+    return dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(link, "large boolean, key long, a long, b long, block long")
 
 
 def spanning_similar(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -535,15 +533,16 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "n", "cls", "bands"])
 
     prints = stored(rows.mapInArrow(run, "doc_id long, n long, cls binary, bands binary"), "prints")
-    classes = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     found = stored(wide_links(classes, least=least), "candidates")
-    pairs = stored(found.select("a", "b").where("a <> b").distinct(), "pairs")
+    pairs = found.select("a", "b").where("a <> b").distinct()
     sets = stored(shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), "sets")
-    links = stored(similar_links(pairs, sets, least), "verified")
-    roots = components(links)
+    roots = components(similar_links(pairs, sets, least))
     large = found.where("large").select("key", F.col("b").alias("id"), "block")
     if not large.isEmpty():
-        roots = components(links.unionByName(links_of_large(large, roots, sets, least)))
+        # what is joined already goes on as links to the roots
+        more = links_of_large(large, roots, sets, least)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("cls", "component_id")
     return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")

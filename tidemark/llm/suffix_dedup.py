@@ -329,7 +329,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, car
     number = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("own", F.octet_length("text")), F.lit(number)).cast("int")
     rows = rows.select(block.alias("block"), F.coalesce("own", F.lit(NO_ID)).alias("id"), "own", "text", "rest")
-    return bucketed(rows, "blocks", "block", max(1, min(parts_for(docs.sparkSession), -(-number // 8))))
+    return bucketed(rows, "blocks", "block", max(1, min(parts_for(docs.sparkSession), -(-number // 4))))
 
 
 def _runs(spots: pa.Table, answers: pa.Table, shape: Shape) -> pa.Table:
@@ -424,7 +424,7 @@ def _spans(mask: np.ndarray) -> int:
     return int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if len(mask) else 0
 
 
-def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 65_536) -> DataFrame:
+def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_rows: int = 65_536) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def emit(block: Block, rows: pa.Table, masks: list[np.ndarray]) -> pa.Table:
@@ -439,7 +439,7 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _remove_map(docs, id_col, text_col, length, block_bytes, bucket_rows, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4_000_000, bucket_rows: int = 65_536) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 8_000_000, bucket_rows: int = 65_536) -> DataFrame:
     """``docs`` with what is left of each text; all other columns as they are.
 
     A character of which only some bytes are covered is kept whole, so that the
