@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.sources.work import shared_dir
 
 _written: list[tuple[SparkSession, str]] = []
+#: Intermediate tables are read once or twice but take room beside the shuffles.
+_WRITTEN = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -44,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(spark)
     path = _path(spark, name)
     with shuffles_end_here(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**_WRITTEN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +56,7 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     path = _path(spark, name)
     called = f"tidemark_{path.rsplit('/', 1)[-1].replace('-', '_')}"
     with shuffles_end_here(spark):
-        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(called)
+        df.repartition(n, key).write.options(**_WRITTEN, path=path).bucketBy(n, key).sortBy(key).saveAsTable(called)
     return spark.table(called)
 
 
