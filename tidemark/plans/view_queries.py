@@ -106,11 +106,11 @@ def segment_pivot(spark, sf):
     return views.pivot(rows, "asset", "segment", ["strategies", "themes"]).select("asset", r6("strategies").alias("strategies"), r6("themes").alias("themes"))
 
 
-@query("timeframe_pivot", q.on_bars("SELECT label, " + ", ".join(f"round(avg(signal) FILTER (timeframe = '{t}'), 6) AS f_{t}" for t in rotation.FRAMES) + f" FROM (SELECT timeframe, label, {q.peer('r', 'timeframe, grp, region')} AS signal FROM (" + " UNION ALL ".join(f"SELECT asset, '{t}' AS timeframe, CASE WHEN n >= {k + 2} THEN {q.change('close', k)} END AS r, n, is_last FROM prep" for t, k in rotation.FRAMES.items()) + ") x JOIN tags USING (asset) WHERE is_last AND n >= 60 AND r IS NOT NULL) GROUP BY label", q.TAGS))
+@query("timeframe_pivot", q.on_bars("SELECT label, " + ", ".join(f"round(avg(signal) FILTER (timeframe = '{t}'), 6) + 0.0 AS f_{t}" for t in rotation.FRAMES) + f" FROM (SELECT timeframe, label, {q.peer('r', 'timeframe, grp, region')} AS signal FROM (" + " UNION ALL ".join(f"SELECT asset, '{t}' AS timeframe, CASE WHEN n >= {k + 2} THEN {q.change('close', k)} END AS r, n, is_last FROM prep" for t, k in rotation.FRAMES.items()) + ") x JOIN tags USING (asset) WHERE is_last AND n >= 60 AND r IS NOT NULL) GROUP BY label", q.TAGS))
 def timeframe_pivot(spark, sf):
     rows = rotation.rotation_by_timeframe(daily_bars(spark, sf), supplier_tags(spark, sf))
     p = views.pivot(rows, "label", "timeframe", list(rotation.FRAMES))
-    return p.select("label", *[r6(F.col(f"`{t}`")).alias(f"f_{t}") for t in rotation.FRAMES])
+    return p.select("label", *[(r6(F.col(f"`{t}`")) + 0.0).alias(f"f_{t}") for t in rotation.FRAMES])
 
 
 # --- series ----------------------------------------------------------------------------
