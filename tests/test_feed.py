@@ -1,10 +1,13 @@
+import random
 from datetime import date
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.options import bs_gamma
 from tidemark.operators import calendar, feed, registry
+from tidemark.plans import queries
 from tidemark.sources import readers, sinks
 
 
@@ -93,3 +96,24 @@ def test_notes(spark):
     n = registry.add_note(registry.add_note(n, (datetime(2024, 1, 1), "f", "a" * 300, "x", "s", "t")), (datetime(2024, 1, 2), "f", "b", "y", "s2", "t2"))
     rows = n.collect()
     assert rows[0]["source"] == "s2" and len(rows[1]["title"]) == 200
+
+
+def test_percent_rounds_the_exact_double(spark):
+    """As printf and Python do: ties in the double to the even digit, decimals that only look like ties by their exact value."""
+    rnd = random.Random(3)
+    x = [k * 5 / 10000 for k in range(-3000, 3000)] + [k / 800 for k in range(-300, 300)] + [rnd.uniform(-1, 1) * 10.0 ** rnd.randrange(-6, 15) for _ in range(3000)]
+    x += [(2**52 + k / 2) / 1000 for k in range(200)] + [0.0, -0.0, -1e-9, 5e-324, 1e14, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame(list(enumerate(x)), "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(tx.percent(F.col("x"))).collect()]
+    assert got == ["n/a" if v is None else f"{v:+.1%}" for v in x]
+
+
+def test_market_cap_percent_of_odd_balances_same_as_sql(spark, tmp_path):
+    balances = [9325.0, -9325.0, 25.0, 75.0, -25.0, 1245.0, 2415.0, 2895.0, 0.0, -0.0, -0.4, 1.005, 2.675, -0.125, 0.005, 1.115, 9999.995, 12345678901234.56, None]
+    rows = [(k + 7 * i + 1, b) for i, b in enumerate(balances) for k in (0, 6)] + [(None, 25.0), (None, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = [tuple(r) for r in queries.QUERIES["market_cap_percent"](spark, str(tmp_path)).collect()]
+    want = con.execute(queries.ORACLE_SQL["market_cap_percent"]).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)

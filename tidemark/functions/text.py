@@ -80,8 +80,15 @@ def market_cap(s: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    """'+1.5%'; 'n/a' where missing."""
-    return F.when(x.isNull(), "n/a").otherwise(F.format_string("%+.1f%%", x * 100))
+    """'+1.5%'; 'n/a' where missing. Rounded as printf does: the exact value of the double, ties to the even digit.
+
+    ``format_string`` rounds the shortest decimal that reads as the double, halves up. Digits of a number
+    beyond the 17th are zeros.
+    """
+    y = x.cast("double") * 100
+    number = F.translate(F.format_number(y, 1), ",", "")
+    text = F.when(F.isnan(y), "nan").when(y == float("inf"), "inf").when(y == float("-inf"), "-inf").otherwise(number)
+    return F.when(x.isNull(), "n/a").otherwise(F.concat(F.when(text.startswith("-"), "").otherwise("+"), text, F.lit("%")))
 
 
 def has_visual(html: Column) -> Column:
