@@ -39,7 +39,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity .8 on five-word shingles: the one with the smallest id.
+    """One document of each group of SimHash near-duplicates: the one with the smallest id.
+
+    Links are those of ``op5_simhash``, fingerprints at three or fewer differing bits by the
+    generalised pigeonhole, and besides them a similarity of .8 on five-word shingles, which
+    fingerprints of 64 bits show only in part.
 
     Texts without words, null ones too, are alike. Of rows that share an id one stays;
     rows without an id all stay, since none of them can be named.

@@ -1,9 +1,11 @@
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as pipeline
-from tidemark.llm import entries
+from tidemark.llm import entries, simhash
 
 
 def test_stages_chain(spark, sf):
@@ -99,3 +101,39 @@ def test_revisits_same_as_sql(spark, sf):
     names = [c[0] for c in want.description]
     got = entries.QUERIES["op2_warc_revisits"](spark, sf).select(*names)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_near_duplicates_by_fingerprint_and_by_similarity(spark, sf):
+    """All pairs, by brute force: links within three bits of SimHash and links of similarity .8, of which each kind has pairs of its own."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(12):
+        line = " ".join(word() for _ in range(9)) + " "
+        rows += [(10 * k + j, line * 60 + " ".join(word() for _ in range(12))) for j in (0, 5, 7)]  # a line repeated, other words after it
+        text = [word() for _ in range(9)]
+        rows += [(10 * k + 1, " ".join(text)), (10 * k + 2, " ".join(text[:8]))]
+        text = [word() for _ in range(300)]
+        rows += [(10 * k + 3, " ".join(text)), (10 * k + 4, " ".join(text[:297])), (10 * k + 6, " ".join(word() for _ in range(80)))]
+    rows += [(k + 1000, t) for k, t in rows[5:9]] + [(2000, None), (2001, ""), (2002, " \t")]
+    fp, sets = {i: simhash.fingerprint(t) for i, t in rows}, {i: simhash.shingle_hashes(t, 5) for i, t in rows}
+    ids, kinds = sorted(fp), set()
+    root = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            kind = ((fp[i] ^ fp[j]).bit_count() <= 3, simhash.similarity(sets[i], sets[j]) >= 0.8)
+            kinds.add(kind)
+            if any(kind) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = {n: lo if r == hi else r for n, r in root.items()}
+    assert len(kinds) == 4
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicate_stage(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+
+
+def test_near_duplicates_leave_no_link_of_op5(spark, sf):
+    """No two documents that the stage keeps are in one component of op5."""
+    kept = pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).select("doc_id")
+    groups = entries.QUERIES["op5_simhash"](spark, sf).join(kept, "doc_id")
+    assert groups.count() == kept.count() > 0 and groups.groupBy("component_id").count().where("count > 1").isEmpty()

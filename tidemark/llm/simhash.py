@@ -514,10 +514,27 @@ def links_of_large(large: DataFrame, roots: DataFrame, sets: DataFrame, least: f
     return rows.select("key", "i", "j", "id", "root", "hashes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def fingerprint_links(prints: DataFrame, classes: DataFrame, *, distance: int) -> DataFrame:
+    """(a, b): links between ids of ``classes`` that join them as all pairs of fingerprints within ``distance`` would.
+
+    ``prints``: fp and cls of each row; ``classes``: cls and id. A fingerprint stands for the
+    smallest id of a class with it; the other classes with it link to that one.
+    """
+    member = prints.select("fp", "cls").distinct().join(classes.select("cls", "id"), "cls").select("fp", "id")
+    heads = stored(member.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    same = member.join(heads, "fp").select(F.col("head").alias("a"), F.col("id").alias("b")).where("a <> b")
+    side = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"h{n}"))
+    near = near_links(heads, distance=distance).join(side("a"), "a").join(side("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    return same.unionByName(near)
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, distance: int | None = None, fp_size: int = 3) -> DataFrame:
     """(doc_id, component_id) over verified similarity of ``size``-word shingles of at least ``least``.
 
-    Candidates are the pairs that share a key of ``wide_links``. In a group of at
+    With a ``distance`` fingerprints over ``fp_size``-word shingles within it link too, however
+    similar the sets are (``near_links``, all pairs).
+
+    Candidates of similarity are the pairs that share a key of ``wide_links``. In a group of at
     most ``SMALL`` all pairs are verified; in a larger one those with its smallest
     id, and then, as far as that leaves it in parts, all members of different
     parts (``links_of_large``). Pairs are decided on the
@@ -530,14 +547,18 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             texts = b.column(1).to_pylist()
             some = [(len(h), hashlib.md5(h.tobytes()).digest(), band_keys(h).tobytes()) for h in (shingle_hashes(t, size) for t in texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "n", "cls", "bands"])
+            fp = np.array([0 if distance is None else fingerprint(t, fp_size) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "fp", "n", "cls", "bands"])
 
-    prints = stored(rows.mapInArrow(run, "doc_id long, n long, cls binary, bands binary"), "prints")
+    prints = stored(rows.mapInArrow(run, "doc_id long, fp long, n long, cls binary, bands binary"), "prints")
     classes = prints.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     found = stored(wide_links(classes, least=least), "candidates")
     pairs = found.select("a", "b").where("a <> b").distinct()
     sets = stored(shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), "sets")
-    roots = components(similar_links(pairs, sets, least))
+    links = similar_links(pairs, sets, least)
+    if distance is not None:
+        links = links.unionByName(fingerprint_links(prints, classes, distance=distance))
+    roots = components(links)
     large = found.where("large").select("key", F.col("b").alias("id"), "block")
     if not large.isEmpty():
         # what is joined already goes on as links to the roots
@@ -548,12 +569,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return prints.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of similar ones: the one with the smallest id.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, distance: int | None = 3) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id.
 
+    Fingerprints within ``distance`` link, and so do sets of shingles of similarity ``least``.
     Of rows that share an id one stays; rows without an id are kept.
     """
-    groups = similar_groups(docs, id_col=id_col, text_col=text_col, size=size, least=least)
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, size=size, least=least, distance=distance)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
